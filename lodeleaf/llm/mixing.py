@@ -3,7 +3,7 @@
 1. Sources get targets by weight, capped at MAX_REPEAT times their size.
 2. Documents fall into blocks by hash. A source takes all its blocks as often
    as they fit whole into the target; of the next round, blocks in permuted
-   order as long as they fit, and a part of one more block.
+   order as long as they fit, and a part of one more block, up to the document nearest to the target.
 3. The block quotas of all sources are split among output shards by a binary
    tree. At each node the counts of the left half are drawn from the
    multivariate hypergeometric distribution, as a chain of hypergeometric
@@ -135,7 +135,7 @@ def block_plan(sized: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFr
     edge = small(picked.filter("part").select("s", "block", "left"))
     running = Window.partitionBy("s").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = sized.join(edge, ["s", "block"]).withColumn("sum", F.sum("size").over(running))
-    cuts = inside.filter("sum <= left").groupBy("s").agg(F.max("key").alias("cut"))
+    cuts = inside.filter(F.col("sum") - F.col("size") / 2 <= F.col("left")).groupBy("s").agg(F.max("key").alias("cut"))
     picked = picked.join(small(stored(cuts)), "s", "left").withColumn("part", F.col("part") & F.col("cut").isNotNull())
     draws = picked.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full").cast("int")))).filter("epoch < full or took or part")
     order = Window.partitionBy("s").orderBy("epoch", "p")
