@@ -7,18 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeleaf.llm.chat import op4_chat_format
+from lodeleaf.llm.linedup import op9_line_spread
 from lodeleaf.llm.mixing import op10_mix_sources
+from lodeleaf.llm.ngram_join import op3_ngram_jaccard
 from lodeleaf.llm.ogg import op6_ogg_media
+from lodeleaf.llm.packing import op5_best_fit
 from lodeleaf.llm.quality import op7_quality_rules
 from lodeleaf.llm.sharding import op1_hash_tree_shards
 from lodeleaf.llm.warc import op8_warc_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
+    "op5_best_fit": op5_best_fit,
     "op6_ogg_media": op6_ogg_media,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_chain": op8_warc_chain,
+    "op9_line_spread": op9_line_spread,
     "op10_mix_sources": op10_mix_sources,
 }
 
