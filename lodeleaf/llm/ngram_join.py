@@ -57,7 +57,7 @@ ZONE = 32
 SIGNATURE_BITS = 48
 PAIR = 0xD6E8FEB86659FD93
 PACKED = "r int, kind int, x binary, a binary, b binary, na binary, nb binary"
-LINKS = "kind string, sig long, a long, b long, na long, nb long"
+LINKS = "kind string, sig long, a long, b long, na long, nb long, bits binary"
 
 
 def planes(values: np.ndarray, width: int = 8) -> bytes:
@@ -87,6 +87,24 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token, at its hash modulo a power of two of at least twice their number."""
+    bits = np.zeros(bitmap_size(len(tokens)) * 8, np.uint8)
+    bits[tokens & U(len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bitmap_size(n: int) -> int:
+    return max(8, 1 << max(0, (2 * n - 1).bit_length() - 3))
+
+
+def most_shared(na: int, nb: int, a: bytes, b: bytes) -> int:
+    """An upper bound of the overlap: a bit set in one bitmap only stands for a token that the other set lacks."""
+    size = min(len(a), len(b))
+    one, two = (int.from_bytes(np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0).tobytes() if len(x) > size else x) for x in (a, b))
+    return min(na - (one & ~two).bit_count(), nb - (two & ~one).bit_count())
+
+
 # ---------------------------------------------------------------- frequent tokens
 
 
@@ -226,7 +244,7 @@ def flushed(ids: list[int | None], sets: list[np.ndarray], keys: np.ndarray, ran
     own = [sets[k] for _, k in known]
     doc = np.array([i for i, _ in known], np.int64).astype(U)
     n = np.array(list(map(len, own)), U)
-    yield spread(4), 4, none, planes(doc), none, planes(n, 4), none
+    yield spread(4), 4, b"".join(map(bitmap, own)), planes(doc), none, planes(n, 4), none
     # Equal sets: the smallest id stands for all.
     full = np.flatnonzero(n)
     if not len(full):
@@ -284,14 +302,17 @@ def met(group: pa.Table, ranges: int) -> pa.Table:
     def put(kind: str, **columns: np.ndarray) -> None:
         size = max(map(len, columns.values()))
         own = [pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(size, pa.int64()) for c in ("sig", "a", "b", "na", "nb")]
-        out.append(pa.table([pa.array([kind] * size, pa.string()), *own], names=["kind", "sig", "a", "b", "na", "nb"]))
+        bits = pa.array(columns["bits"], pa.binary()) if "bits" in columns else pa.nulls(size, pa.binary())
+        out.append(pa.table([pa.array([kind] * size, pa.string()), *own, bits], names=[f.split()[0] for f in LINKS.split(", ")]))
 
     for x in of(1):
         put("near", sig=unplanes(x["x"]), a=unplanes(x["a"]), b=unplanes(x["b"]), na=unplanes(x["na"], 4), nb=unplanes(x["nb"], 4))
     for x in of(3):
         put("same", a=unplanes(x["a"]), b=unplanes(x["b"]))
     for x in of(4):
-        put("doc", a=unplanes(x["a"]), na=unplanes(x["na"], 4))
+        n = unplanes(x["na"], 4)
+        ends = np.cumsum([bitmap_size(k) for k in n.tolist()]).tolist()
+        put("doc", a=unplanes(x["a"]), na=n, bits=[x["x"][i:j] for i, j in zip([0, *ends], ends, strict=False)])
     for x in of(5):
         put("doc", na=unplanes(x["na"], 4))
     if own := of(0):
@@ -330,16 +351,23 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)).cast(pa.int64()), pa.ListArray.from_arrays(ends, values)], ["id", "tokens"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with ok: whether 100 * intersection >= SIMILARITY * union."""
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True)
+        keep = [100 * (most := most_shared(na, nb, xa, xb)) >= SIMILARITY * (na + nb - most) for na, nb, xa, xb in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs(a, b) of which 100 * intersection >= SIMILARITY * union; bitmaps: (id, n, bits)."""
+    named = lambda c: bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    left = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    pairs = stored(left.mapInArrow(possible, "a long, b long").distinct())
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows, "id long, tokens array<long>")
-    sets = stored(sets)
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
+    sets = stored(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows, "id long, tokens array<long>"))
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
-    ok = 100 * shared >= SIMILARITY * (F.size("ta") + F.size("tb") - shared)
-    return stored(both.select("a", "b", ok.alias("ok")))
+    return stored(both.filter(100 * shared >= SIMILARITY * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
 
 
 def sizes_fit(na: str, nb: str):
@@ -375,13 +403,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, ranges))
     links = stored(docs.mapInArrow(signer(frequent, ranges), PACKED).groupBy("r").applyInArrow(lambda group: met(group, ranges), LINKS))
     pairs = stored(links.filter("kind = 'near'").groupBy("a", "b").agg(sizes_fit(F.first("na"), F.first("nb")).alias("fits")))
-    checked = verified(pairs.filter("fits").select("a", "b"), docs)
-    edges = stored(links.filter("kind = 'same'").select("a", "b").unionByName(checked.filter("ok").select("a", "b")))
+    bitmaps = links.filter("kind = 'doc' and a is not null").select(F.col("a").alias("id"), F.col("na").alias("n"), "bits")
+    linked = similar(pairs.filter("fits"), bitmaps, docs)
+    edges = stored(links.filter("kind = 'same'").select("a", "b").unionByName(linked))
     labels = stored(components(edges))
-    failed = stored(pairs.join(checked.filter("ok"), ["a", "b"], "left_anti"))
+    failed = stored(pairs.join(linked, ["a", "b"], "left_anti"))
     more = stored(across(links, failed, labels))
     if not more.isEmpty():
-        edges = edges.unionByName(verified(more, docs).filter("ok").select("a", "b"))
+        edges = edges.unionByName(similar(more, bitmaps, docs))
         labels = stored(components(edges))
     rows = links.filter("kind = 'doc'").select(F.col("a").alias("id"), F.col("na").alias("n_shingles"))
     return rows.join(labels, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))

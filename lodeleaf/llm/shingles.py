@@ -57,8 +57,8 @@ def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text)."""
+def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts begin and end."""
     space = SPACE[data]
     start = ~space
     start[1:] &= space[:-1]
@@ -68,7 +68,12 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     end[:-1] &= space[1:]
     closing = offsets[1:][np.diff(offsets) > 0] - 1
     end[closing] = ~space[closing]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text)."""
+    starts, ends = word_spans(offsets, data)
     hashes = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
