@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeleaf.llm.chat import op4_chat_format
 from lodeleaf.llm.linedup import op9_line_spread
+from lodeleaf.llm.lm import op2_attention_lm
 from lodeleaf.llm.mixing import op10_mix_sources
 from lodeleaf.llm.ngram_join import op3_ngram_jaccard
 from lodeleaf.llm.ogg import op6_ogg_media
@@ -18,6 +19,7 @@ from lodeleaf.llm.warc import op8_warc_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
+    "op2_attention_lm": op2_attention_lm,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_best_fit": op5_best_fit,
