@@ -2,8 +2,9 @@
 
 Tokens are the distinct 5-word shingles of a document. A document with n
 tokens may lack at most e = n - ceil(0.75 n) of them in any partner. Tokens
-have one global order: rare ones first, then frequent ones by group. A prefix
-is extended until its signatures can't all be missed:
+have one global order: those of a single document first, then other rare ones,
+then frequent ones by group. A prefix is extended until its signatures can't
+all be missed:
 
 - each rare token is a signature and covers one unit;
 - a group with c frequent tokens gives all its pairs and covers c - 1 units,
@@ -17,12 +18,14 @@ partners are. Any order and any choice of frequent tokens gives the same
 links; they decide the number of candidates only.
 
 Plan: 1. shingle counts over all texts, packed by hash range; the most frequent
-make the frequent class. 2. Signatures, packed by hash range; within a task
+make the frequent class, and a bitmap by hash marks those of two documents or
+more (one that marks too many changes the order, not the links). 2. Signatures, packed by hash range; within a task
 and again within a range, holders of a signature are linked to its smallest
 document, so a bucket of m documents gives m - 1 candidates. Equal sets are
 linked by a 128-bit digest. 3. Candidates are verified on whole sets. 4. Where
-a candidate fails, the bucket's pairs that lie across components are verified
-too, so no link that could join components is lost.
+a candidate fails, documents are held against PIVOTS of their bucket; then all
+pairs of failed buckets that still lie across components are verified, so no
+link that could join components is lost.
 
 Edge cases: a null or empty text has no shingles and no links; rows of one id
 are one document; a null id gets a row with its count and no component; texts
@@ -31,12 +34,14 @@ of any length count whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from lodeleaf.llm.common import small, stored, table
 from lodeleaf.llm.components import components
@@ -48,6 +53,10 @@ SIMILARITY = 75
 FREQUENT = 64
 #: Tokens of the frequent class, at most: the most frequent. It is the size of the one broadcast table (16 bytes each).
 FREQUENT_TOKENS = 1 << 18
+#: Bits of the bitmap of shared tokens for each document, and the most bits in all (as a power of two; 32 MB).
+SHARED_BITS, MOST_SHARED_BITS = 256, 28
+#: Documents of a bucket that its others are first held against, where candidates failed.
+PIVOTS = 8
 #: Least hash ranges that counts and signatures are dealt into, and documents for which one set of them serves.
 RANGES, DOCS_PER_RANGES = 256, 4_000_000
 #: Tokens that a task holds before it gives out what it has.
@@ -140,25 +149,64 @@ def counter(ranges: int):
     return run
 
 
-def counted(group: pa.Table) -> pa.Table:
+def shared_slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A key's place in the slice of the bitmap that its hash range has."""
+    return (mix(keys) & U(bits - 1)).astype(np.int64)
+
+
+def counted(group: pa.Table, bits: int) -> pa.Table:
+    """The frequent keys of a range, and in a row without key the range's slice of the bitmap of shared tokens."""
     keys = np.concatenate([undelta(x, 5) for x in group["x"].to_pylist()])
     counts = np.concatenate([unplanes(n, 4) for n in group["n"].to_pylist()]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     first = runs(keys[order])
-    sums = np.add.reduceat(counts[order], first)
+    keys, sums = keys[order][first], np.add.reduceat(counts[order], first)
+    shared = np.zeros(bits, np.uint8)
+    shared[shared_slot(keys[sums > 1], bits)] = 1
     often = sums >= FREQUENT
-    return pa.table([pa.array(keys[order][first][often].astype(np.int64)), pa.array(sums[often])], names=["key", "n"])
-
-
-def frequent_tokens(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Sorted keys of the frequent class: tokens of at least FREQUENT documents, and of the most frequent FREQUENT_TOKENS at most."""
+    n = int(often.sum())
+    return pa.table(
+        [
+            pa.array([group["r"][0].as_py()] * (n + 1), pa.int32()),
+            pa.concat_arrays([pa.array(keys[often].astype(np.int64)), pa.nulls(1, pa.int64())]),
+            pa.concat_arrays([pa.array(sums[often]), pa.nulls(1, pa.int64())]),
+            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([np.packbits(shared).tobytes()], pa.binary())]),
+        ],
+        names=["r", "key", "n", "bits"],
+    )
+
+
+class Classes(NamedTuple):
+    """What decides the order of tokens: sorted keys of the frequent class; the bitmap of shared tokens, by hash range."""
+
+    frequent: np.ndarray
+    shared: np.ndarray
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """0: of one document, 1: rare, 2: frequent."""
+        keys = key_of(tokens)
+        ranges, bits = self.shared.shape[0], self.shared.shape[1] * 8
+        slot = shared_slot(keys, bits)
+        out = (self.shared[(keys >> U(40 - ranges.bit_length() + 1)).astype(np.int64), slot >> 3] >> (7 - (slot & 7)) & 1).astype(np.int8)
+        if len(self.frequent):
+            where = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
+            out[self.frequent[where] == keys] = 2
+        return out
+
+
+def token_classes(docs: DataFrame, ranges: int, count: int) -> Classes:
+    """The frequent class holds tokens of at least FREQUENT documents, and of the most frequent FREQUENT_TOKENS at most."""
+    bits = max(1 << 8, min(1 << MOST_SHARED_BITS, 1 << (SHARED_BITS * max(1, count) - 1).bit_length()) // ranges)
     packed = docs.select("text").mapInArrow(counter(ranges), "r int, x binary, n binary")
-    often = stored(packed.groupBy("r").applyInArrow(counted, "key long, n long"))
+    found = stored(packed.groupBy("r").applyInArrow(lambda group: counted(group, bits), "r int, key long, n long, bits binary"))
     least = FREQUENT
-    while often.filter(F.col("n") >= least).count() > FREQUENT_TOKENS:
+    while found.filter(F.col("n") >= least).count() > FREQUENT_TOKENS:
         least *= 2
-    keys = often.filter(F.col("n") >= least).select("key").toArrow().column(0).to_numpy()
-    return np.sort(keys.astype(U))
+    keys = found.filter(F.col("n") >= least).select("key").toArrow().column(0).to_numpy()
+    shared = np.zeros((ranges, bits // 8), np.uint8)
+    for row in found.filter("bits is not null").select("r", "bits").toLocalIterator():
+        shared[row["r"]] = np.frombuffer(row["bits"], np.uint8)
+    return Classes(np.sort(keys.astype(U)), shared)
 
 
 # ---------------------------------------------------------------- signatures
@@ -171,10 +219,11 @@ def zone(n: int) -> int:
     return z
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The prefix signatures of a sorted token set; frequent: a mask."""
+def signatures(tokens: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The prefix signatures of a sorted token set and its tokens' classes."""
     n = len(tokens)
-    rare = tokens[~frequent]
+    frequent = kind == 2
+    rare = np.concatenate([tokens[kind == 0], tokens[kind == 1]])
     need = n - -(-SIMILARITY * n // 100) + 1
     if len(rare) >= need:
         return rare[:need]
@@ -200,11 +249,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signer(frequent, ranges: int):
+def signer(classes, ranges: int):
     """Packed rows by kind. 0: signatures and their smallest holder; 1: candidates within the task; 2: digests of sets; 3: equal sets within the task; 4: documents; 5: counts of documents without id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = frequent.value
+        kinds_of = classes.value.of
         ids: list[int | None] = []
         sets: list[np.ndarray] = []
         size, turn = 0, 0
@@ -212,7 +261,7 @@ def signer(frequent, ranges: int):
         def give() -> Iterator[pa.RecordBatch]:
             nonlocal turn
             turn += 1
-            rows = list(flushed(ids, sets, keys, ranges, turn))
+            rows = list(flushed(ids, sets, kinds_of, ranges, turn))
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split()[0] for f in PACKED.split(", ")])
 
@@ -232,7 +281,7 @@ def signer(frequent, ranges: int):
     return run
 
 
-def flushed(ids: list[int | None], sets: list[np.ndarray], keys: np.ndarray, ranges: int, turn: int) -> Iterator[tuple]:
+def flushed(ids: list[int | None], sets: list[np.ndarray], kinds_of: Callable[[np.ndarray], np.ndarray], ranges: int, turn: int) -> Iterator[tuple]:
     none = b""
     spread = lambda k: hash((ids[0], turn, k)) % ranges
     anonymous = [len(s) for i, s in zip(ids, sets, strict=True) if i is None]
@@ -266,10 +315,8 @@ def flushed(ids: list[int | None], sets: list[np.ndarray], keys: np.ndarray, ran
     for r, a, b in split(top):
         yield r, 2, planes(one[lead[a:b]]), planes(doc[full[lead[a:b]]]), planes(two[lead[a:b]]), none, none
     # Signatures of one document for each set.
-    key = key_of(flat)
-    where = np.searchsorted(keys, key)
-    often = keys[np.minimum(where, len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
-    found = [(i, signatures(flat[at[i] : at[i + 1]], often[at[i] : at[i + 1]])) for i in np.sort(lead).tolist()]
+    kind = kinds_of(flat)
+    found = [(i, signatures(flat[at[i] : at[i + 1]], kind[at[i] : at[i + 1]])) for i in np.sort(lead).tolist()]
     sig = np.concatenate([s for _, s in found]) >> U(64 - SIGNATURE_BITS)
     holder = np.repeat(np.array([i for i, _ in found]), [len(s) for _, s in found])
     order = np.argsort(sig, kind="stable")
@@ -374,44 +421,65 @@ def sizes_fit(na: str, nb: str):
     return 100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)
 
 
-def across(links: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that share a signature of a failed pair.
-
-    In each bucket the documents outside its largest component are paired with those of other components.
-    """
+def failed_buckets(links: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, d, n): the holders of signatures that a failed pair across components shares; of buckets with the same holders one."""
     label = labels.select(F.col("id").alias("d"), "component")
     named = lambda df, c: df.join(label.withColumnRenamed("d", c).withColumnRenamed("component", f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     apart = named(named(failed.select("a", "b"), "a"), "b").filter("ca <> cb").select("a", "b")
     near = links.filter("kind = 'near'")
-    sigs = near.join(apart, ["a", "b"], "left_semi").select("sig").distinct()
-    inside = near.join(sigs, "sig", "left_semi")
+    inside = near.join(near.join(apart, ["a", "b"], "left_semi").select("sig").distinct(), "sig", "left_semi")
     held = inside.select("sig", F.col("a").alias("d"), F.col("na").alias("n")).unionByName(inside.select("sig", F.col("b").alias("d"), F.col("nb").alias("n"))).distinct()
-    held = stored(held.join(label, "d", "left").withColumn("c", F.coalesce("component", "d")).select("sig", "d", "n", "c"))
+    held = stored(held)
+    alike = held.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("y"))
+    return stored(held.join(alike.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig"))
+
+
+def labelled(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """held of buckets with several components, with component c and the largest component of the bucket, most."""
+    held = stored(held.join(labels.select(F.col("id").alias("d"), "component"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component"))
     most = held.groupBy("sig", "c").count().groupBy("sig").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    held = stored(held.join(most, "sig"))
+    return stored(held.join(most.select("sig", "most"), "sig"))
+
+
+def against_pivots(held: DataFrame) -> DataFrame:
+    """Each document outside its bucket's largest component, in the largest such bucket, with PIVOTS of the bucket of other components."""
+    lowest = F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64("d"), "d"))
+    pivots = held.withColumn("i", lowest).filter(F.col("i") <= PIVOTS).groupBy("sig").agg(F.collect_list(F.struct("d", "n", "c")).alias("pivots"))
+    own = held.filter("c <> most").groupBy("d", "n", "c").agg(F.max_by("sig", F.struct("m", "sig")).alias("sig"))
+    pairs = own.join(pivots, "sig").select(F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.explode("pivots").alias("p"))
+    pairs = pairs.filter((F.col("p.c") != F.col("c1")) & sizes_fit("n1", "p.n"))
+    return pairs.select(F.least("d1", "p.d").alias("a"), F.greatest("d1", "p.d").alias("b")).distinct()
+
+
+def across(held: DataFrame) -> DataFrame:
+    """All pairs of a bucket's documents of different components. The largest component's members are paired with the others only."""
     few = held.filter("c <> most").select("sig", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
     pairs = few.join(held, "sig").filter((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("most")) | (F.col("d1") < F.col("d"))) & sizes_fit("n1", "n"))
-    return pairs.select(F.least("d1", "d").alias("a"), F.greatest("d1", "d").alias("b")).distinct().join(failed.filter("fits").select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.select(F.least("d1", "d").alias("a"), F.greatest("d1", "d").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id: one row for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = max(1, -(-docs.count() // DOCS_PER_RANGES))
-    ranges = RANGES << (sets - 1).bit_length()
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, ranges))
-    links = stored(docs.mapInArrow(signer(frequent, ranges), PACKED).groupBy("r").applyInArrow(lambda group: met(group, ranges), LINKS))
+    count = docs.count()
+    ranges = RANGES << (max(1, -(-count // DOCS_PER_RANGES)) - 1).bit_length()
+    classes = spark.sparkContext.broadcast(token_classes(docs, ranges, count))
+    links = stored(docs.mapInArrow(signer(classes, ranges), PACKED).groupBy("r").applyInArrow(lambda group: met(group, ranges), LINKS))
     pairs = stored(links.filter("kind = 'near'").groupBy("a", "b").agg(sizes_fit(F.first("na"), F.first("nb")).alias("fits")))
     bitmaps = links.filter("kind = 'doc' and a is not null").select(F.col("a").alias("id"), F.col("na").alias("n"), "bits")
     linked = similar(pairs.filter("fits"), bitmaps, docs)
     edges = stored(links.filter("kind = 'same'").select("a", "b").unionByName(linked))
     labels = stored(components(edges))
     failed = stored(pairs.join(linked, ["a", "b"], "left_anti"))
-    more = stored(across(links, failed, labels))
-    if not more.isEmpty():
-        edges = edges.unionByName(similar(more, bitmaps, docs))
-        labels = stored(components(edges))
+    held = failed_buckets(links, failed, labels)
+    tested = failed.filter("fits").select("a", "b")
+    for choose in (against_pivots, across):
+        more = stored(choose(labelled(held, labels)).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            edges = edges.unionByName(similar(more, bitmaps, docs))
+            labels = stored(components(edges))
+            tested = tested.unionByName(more)
     rows = links.filter("kind = 'doc'").select(F.col("a").alias("id"), F.col("na").alias("n_shingles"))
     return rows.join(labels, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
