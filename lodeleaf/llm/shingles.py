@@ -71,8 +71,8 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text)."""
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text, where each word begins and ends)."""
     starts, ends = word_spans(offsets, data)
     hashes = np.empty(len(starts), U)
     i = 0
@@ -93,12 +93,12 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
             hashes[i:j] = (sums[e] - sums[s]) * INVERSES[s] ^ ((e - s).astype(U) << U(40))
         i = j
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return mix(hashes), counts
+    return mix(hashes), counts, starts, ends
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; of a text with fewer words, one hash of them all."""
-    words, counts = word_hashes(offsets, data)
+    words, counts, _, _ = word_hashes(offsets, data)
     n = len(words)
     if not n:
         return [np.zeros(0, U)] * len(counts)
