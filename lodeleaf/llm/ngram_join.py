@@ -39,7 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -57,6 +57,8 @@ FREQUENT_TOKENS = 1 << 18
 SHARED_BITS, MOST_SHARED_BITS = 256, 28
 #: Documents of a bucket that its others are first held against, where candidates failed.
 PIVOTS = 8
+#: Holders of a bucket that stand in one row.
+PART = 256
 #: Least hash ranges that counts and signatures are dealt into, and documents for which one set of them serves.
 RANGES, DOCS_PER_RANGES = 256, 4_000_000
 #: Tokens that a task holds before it gives out what it has.
@@ -66,7 +68,7 @@ ZONE = 32
 SIGNATURE_BITS = 48
 PAIR = 0xD6E8FEB86659FD93
 PACKED = "r int, kind int, x binary, a binary, b binary, na binary, nb binary"
-LINKS = "kind string, sig long, a long, b long, na long, nb long, bits binary"
+LINKS = "kind string, sig long, a long, b long, na long, nb long, va long, vb long, bits binary"
 
 
 def planes(values: np.ndarray, width: int = 8) -> bytes:
@@ -317,6 +319,9 @@ def flushed(ids: list[int | None], sets: list[np.ndarray], kinds_of: Callable[[n
     # Signatures of one document for each set.
     kind = kinds_of(flat)
     found = [(i, signatures(flat[at[i] : at[i + 1]], kind[at[i] : at[i + 1]])) for i in np.sort(lead).tolist()]
+    # Size, and above it the tokens that any other document may hold.
+    sized = n.copy()
+    sized[full] |= np.add.reduceat((kind > 0).astype(U), at[:-1]) << U(32)
     sig = np.concatenate([s for _, s in found]) >> U(64 - SIGNATURE_BITS)
     holder = np.repeat(np.array([i for i, _ in found]), [len(s) for _, s in found])
     order = np.argsort(sig, kind="stable")
@@ -327,11 +332,11 @@ def flushed(ids: list[int | None], sets: list[np.ndarray], kinds_of: Callable[[n
     again = again[holder[again] != holder[rep[again]]]
     if len(again):
         a, b = holder[rep[again]], holder[again]
-        yield spread(1), 1, planes(sig[again]), planes(doc[a]), planes(doc[b]), planes(n[a], 4), planes(n[b], 4)
+        yield spread(1), 1, planes(sig[again]), planes(doc[a]), planes(doc[b]), planes(sized[a]), planes(sized[b])
     sig, holder = sig[first], holder[first]
     shift = U(SIGNATURE_BITS - ranges.bit_length() + 1)
     for r, a, b in split(sig >> shift):
-        yield r, 0, delta(sig[a:b] - (U(r) << shift), 5), planes(doc[holder[a:b]]), none, planes(n[holder[a:b]], 4), none
+        yield r, 0, delta(sig[a:b] - (U(r) << shift), 5), planes(doc[holder[a:b]]), none, planes(sized[holder[a:b]]), none
 
 
 def split(sorted_ranges: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -348,12 +353,15 @@ def met(group: pa.Table, ranges: int) -> pa.Table:
 
     def put(kind: str, **columns: np.ndarray) -> None:
         size = max(map(len, columns.values()))
-        own = [pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(size, pa.int64()) for c in ("sig", "a", "b", "na", "nb")]
+        own = [pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(size, pa.int64()) for c in ("sig", "a", "b", "na", "nb", "va", "vb")]
         bits = pa.array(columns["bits"], pa.binary()) if "bits" in columns else pa.nulls(size, pa.binary())
         out.append(pa.table([pa.array([kind] * size, pa.string()), *own, bits], names=[f.split()[0] for f in LINKS.split(", ")]))
 
+    def near(sig: np.ndarray, a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> None:
+        put("near", sig=sig, a=a, b=b, na=sa & U(2**32 - 1), nb=sb & U(2**32 - 1), va=sa >> U(32), vb=sb >> U(32))
+
     for x in of(1):
-        put("near", sig=unplanes(x["x"]), a=unplanes(x["a"]), b=unplanes(x["b"]), na=unplanes(x["na"], 4), nb=unplanes(x["nb"], 4))
+        near(unplanes(x["x"]), unplanes(x["a"]), unplanes(x["b"]), unplanes(x["na"]), unplanes(x["nb"]))
     for x in of(3):
         put("same", a=unplanes(x["a"]), b=unplanes(x["b"]))
     for x in of(4):
@@ -365,14 +373,14 @@ def met(group: pa.Table, ranges: int) -> pa.Table:
     if own := of(0):
         sig = np.concatenate([undelta(x["x"], 5) for x in own])
         doc = np.concatenate([unplanes(x["a"]) for x in own]).astype(np.int64)
-        n = np.concatenate([unplanes(x["na"], 4) for x in own])
+        n = np.concatenate([unplanes(x["na"]) for x in own])
         order = np.lexsort((doc, sig))
         sig, doc, n = sig[order], doc[order], n[order]
         first = runs(sig)
         rep = np.repeat(first, np.diff(np.append(first, len(sig))))
         again = np.flatnonzero(doc != doc[rep])
         base = U(own[0]["r"]) << U(SIGNATURE_BITS - ranges.bit_length() + 1)
-        put("near", sig=sig[again] + base, a=doc[rep[again]], b=doc[again], na=n[rep[again]], nb=n[again])
+        near(sig[again] + base, doc[rep[again]], doc[again], n[rep[again]], n[again])
     if own := of(2):
         one, doc, two = (np.concatenate([unplanes(x[c]) for x in own]) for c in ("x", "a", "b"))
         doc = doc.astype(np.int64)
@@ -417,18 +425,20 @@ def similar(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.filter(100 * shared >= SIMILARITY * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
 
 
-def sizes_fit(na: str, nb: str):
-    return 100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)
+def sizes_fit(na: str, va: str, nb: str, vb: str) -> Column:
+    """Whether two documents of n tokens, v of which any other may hold, can be similar enough."""
+    most = F.least(va, vb)
+    return 100 * most >= SIMILARITY * (F.col(na) + F.col(nb) - most)
 
 
 def failed_buckets(links: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, d, n): the holders of signatures that a failed pair across components shares; of buckets with the same holders one."""
+    """(sig, d, n, v, m): the m holders of signatures that a failed pair across components shares; of buckets with the same holders one."""
     label = labels.select(F.col("id").alias("d"), "component")
     named = lambda df, c: df.join(label.withColumnRenamed("d", c).withColumnRenamed("component", f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     apart = named(named(failed.select("a", "b"), "a"), "b").filter("ca <> cb").select("a", "b")
     near = links.filter("kind = 'near'")
     inside = near.join(near.join(apart, ["a", "b"], "left_semi").select("sig").distinct(), "sig", "left_semi")
-    held = inside.select("sig", F.col("a").alias("d"), F.col("na").alias("n")).unionByName(inside.select("sig", F.col("b").alias("d"), F.col("nb").alias("n"))).distinct()
+    held = inside.select("sig", F.col("a").alias("d"), F.col("na").alias("n"), F.col("va").alias("v")).unionByName(inside.select("sig", F.col("b").alias("d"), F.col("nb").alias("n"), F.col("vb").alias("v"))).distinct()
     held = stored(held)
     alike = held.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("y"))
     return stored(held.join(alike.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig"))
@@ -444,17 +454,30 @@ def labelled(held: DataFrame, labels: DataFrame) -> DataFrame:
 def against_pivots(held: DataFrame) -> DataFrame:
     """Each document outside its bucket's largest component, in the largest such bucket, with PIVOTS of the bucket of other components."""
     lowest = F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64("d"), "d"))
-    pivots = held.withColumn("i", lowest).filter(F.col("i") <= PIVOTS).groupBy("sig").agg(F.collect_list(F.struct("d", "n", "c")).alias("pivots"))
-    own = held.filter("c <> most").groupBy("d", "n", "c").agg(F.max_by("sig", F.struct("m", "sig")).alias("sig"))
-    pairs = own.join(pivots, "sig").select(F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.explode("pivots").alias("p"))
-    pairs = pairs.filter((F.col("p.c") != F.col("c1")) & sizes_fit("n1", "p.n"))
+    pivots = held.withColumn("i", lowest).filter(F.col("i") <= PIVOTS).groupBy("sig").agg(F.collect_list(F.struct("d", "n", "v", "c")).alias("pivots"))
+    own = held.filter("c <> most").groupBy("d", "n", "v", "c").agg(F.max_by("sig", F.struct("m", "sig")).alias("sig"))
+    pairs = own.join(pivots, "sig").select(F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("v").alias("v1"), F.col("c").alias("c1"), F.explode("pivots").alias("p"))
+    pairs = pairs.filter((F.col("p.c") != F.col("c1")) & sizes_fit("n1", "v1", "p.n", "p.v"))
     return pairs.select(F.least("d1", "p.d").alias("a"), F.greatest("d1", "p.d").alias("b")).distinct()
 
 
 def across(held: DataFrame) -> DataFrame:
-    """All pairs of a bucket's documents of different components. The largest component's members are paired with the others only."""
-    few = held.filter("c <> most").select("sig", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-    pairs = few.join(held, "sig").filter((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("most")) | (F.col("d1") < F.col("d"))) & sizes_fit("n1", "n"))
+    """All pairs of a bucket's documents of different components. The largest component's members are paired with the others only.
+
+    A bucket stands in parts of about PART holders; each document outside meets the parts as arrays, and a pair that several buckets
+    give is made once.
+    """
+    parts = held.groupBy("sig", F.pmod(F.xxhash64("d"), F.ceil(F.col("m") / PART)).alias("part")).agg(F.collect_list(F.struct("d", "n", "v", "c", "most")).alias("members"))
+    few = held.filter("c <> most").select("sig", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("v").alias("v1"), F.col("c").alias("c1"))
+
+    def meets(x: Column) -> Column:
+        most = F.least(F.col("v1"), x["v"])
+        other = (x["c"] != F.col("c1")) & ((x["c"] == x["most"]) | (F.col("d1") < x["d"]))
+        return other & (100 * most >= SIMILARITY * (F.col("n1") + x["n"] - most))
+
+    found = few.join(parts, "sig").select("d1", F.transform(F.filter("members", meets), lambda x: x["d"]).alias("ds")).filter(F.size("ds") > 0)
+    once = found.groupBy("d1").agg(F.array_distinct(F.flatten(F.collect_list("ds"))).alias("ds"))
+    pairs = once.select("d1", F.explode("ds").alias("d"))
     return pairs.select(F.least("d1", "d").alias("a"), F.greatest("d1", "d").alias("b")).distinct()
 
 
@@ -466,7 +489,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranges = RANGES << (max(1, -(-count // DOCS_PER_RANGES)) - 1).bit_length()
     classes = spark.sparkContext.broadcast(token_classes(docs, ranges, count))
     links = stored(docs.mapInArrow(signer(classes, ranges), PACKED).groupBy("r").applyInArrow(lambda group: met(group, ranges), LINKS))
-    pairs = stored(links.filter("kind = 'near'").groupBy("a", "b").agg(sizes_fit(F.first("na"), F.first("nb")).alias("fits")))
+    pairs = stored(links.filter("kind = 'near'").groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("na", "va", "nb", "vb"))).select("a", "b", sizes_fit("na", "va", "nb", "vb").alias("fits")))
     bitmaps = links.filter("kind = 'doc' and a is not null").select(F.col("a").alias("id"), F.col("na").alias("n"), "bits")
     linked = similar(pairs.filter("fits"), bitmaps, docs)
     edges = stored(links.filter("kind = 'same'").select("a", "b").unionByName(linked))
