@@ -144,7 +144,7 @@ def nominalisations(token: Column) -> Column:
         out = none
         for ending, suffixes in NOUN_ENDINGS.items():
             base = F.substr(t, F.lit(1), F.length(t) - 2)
-            out = F.when(t.endswith(ending), F.transform(literals(suffixes), lambda s, base=base: F.concat(base, s))).otherwise(out)
+            out = F.when(t.endswith(ending), F.array(*(F.concat(base, F.lit(s)) for s in suffixes))).otherwise(out)
         return F.when(F.length(t) < 5, none).otherwise(F.array_sort(F.array_distinct(F.filter(out, lambda f: (F.length(f) >= 5) & (f != t)))))
 
     return let(F.lower(token), made)

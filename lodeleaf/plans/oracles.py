@@ -120,7 +120,7 @@ unmarked = lambda v: f"regexp_replace(regexp_replace({v}, {text(BLOCK)}, '', 'g'
 GREETED = " ".join(f"WHEN regexp_matches(t, {text(p)}, 'i') THEN '{k}'" for p, k in tx.GREETINGS)
 SNAPSHOTS = """docs AS (SELECT d.*, l.quality, l.toxic, d.lang || '/doc' || d.doc_id || '.md' AS path FROM documents d LEFT JOIN labels l USING (doc_id)),
 idx AS (SELECT path AS source, sha1(text) AS source_hash FROM docs),
-disk AS (SELECT path AS source, sha1(CASE WHEN quality = 1 THEN upper(text) ELSE text END) AS source_hash FROM docs WHERE coalesce(toxic, 0) = 0 AND NOT (toxic IS NULL AND lang = 'de')
+disk AS (SELECT path AS source, sha1(CASE WHEN quality = 1 THEN reverse(text) ELSE text END) AS source_hash FROM docs WHERE coalesce(toxic, 0) = 0 AND NOT (toxic IS NULL AND lang = 'de')
     UNION ALL SELECT 'web/' || page_id || '.html', sha1(html) FROM pages),
 hidden AS (SELECT path AS source FROM docs WHERE toxic = 1),
 plan AS (SELECT coalesce(d.source, i.source) AS source, CASE WHEN i.source IS NULL THEN 'nuevo' WHEN d.source IS NULL THEN 'eliminado' ELSE 'modificado' END AS state
@@ -139,7 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "clarification": f"SELECT conv_id, turn, role = 'assistant' AS asks, md5(CASE WHEN role = 'assistant' THEN {trimmed('text')} ELSE text END) AS text_md5 FROM conversations",
     "caption_filter": f"SELECT conv_id, turn, md5(t) AS caption_md5, length(t) < 40 OR {any_of('t', tx.EMPTY_CAPTIONS)} AS is_empty FROM (SELECT conv_id, turn, {trimmed('text')} AS t FROM conversations)",
     "source_labels": f"WITH {CHUNKS} SELECT chunk_id, source || ' (fragmento: ' || replace(substr(text, 1, 150), chr(10), ' ') || '...)' AS label FROM chunks",
-    "prompt_build": "SELECT conv_id, turn, md5('Responde solo con la información del contexto.' || chr(10) || chr(10) || 'Contexto:' || chr(10) || upper(text) || chr(10) || chr(10) || 'Pregunta:' || chr(10) || text || chr(10) || chr(10) || 'Respuesta:') AS prompt_md5 FROM conversations WHERE role = 'user'",
+    "prompt_build": "SELECT conv_id, turn, md5('Responde solo con la información del contexto.' || chr(10) || chr(10) || 'Contexto:' || chr(10) || reverse(text) || chr(10) || chr(10) || 'Pregunta:' || chr(10) || text || chr(10) || chr(10) || 'Respuesta:') AS prompt_md5 FROM conversations WHERE role = 'user'",
     "keyword_extract": f"WITH {TURNS}, {keywords('conv_id, turn')} SELECT conv_id, turn, array_to_string(found, ' ') AS keywords, array_to_string(in_order, ' ') AS in_order FROM kw",
     "legacy_keywords": f"SELECT conv_id, turn, array_to_string({in_order('w')}, ' ') AS keywords FROM (SELECT conv_id, turn, list_filter(regexp_extract_all({norm('text')}, '{WORDS}+'), lambda w: length(w) >= 4) AS w FROM conversations WHERE role = 'user')",
     "keyword_forms": f"WITH {TURNS}, {keywords('conv_id, turn')}, kw_rows AS (SELECT DISTINCT unnest(found) AS keyword FROM kw), {forms()} SELECT keyword, array_to_string(list_sort(list_distinct(core)), ' ') AS core, array_to_string(list_sort(list_distinct(forms)), ' ') AS forms FROM forms",

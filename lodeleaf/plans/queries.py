@@ -120,7 +120,7 @@ def case_variants(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     rows = t.read(spark, d, "conversations").filter("role = 'user'")
-    return rows.select("conv_id", "turn", digest(tx.prompt(retrieval.SYSTEM, F.upper("text"), F.lit(""), F.col("text"))).alias("prompt_md5"))
+    return rows.select("conv_id", "turn", digest(tx.prompt(retrieval.SYSTEM, F.reverse("text"), F.lit(""), F.col("text"))).alias("prompt_md5"))
 
 
 # ---------------------------------------------------------------- keywords
@@ -372,7 +372,7 @@ def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     docs = t.read(spark, d, "documents").join(t.read(spark, d, "labels"), "doc_id", "left").withColumn("source", F.concat("lang", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md")))
     index = docs.select("source", F.sha1("text").alias("source_hash"))
     there = docs.filter((F.coalesce("toxic", F.lit(0)) == 0) & ~(F.col("toxic").isNull() & (F.col("lang") == "de")))
-    disk = there.select("source", F.sha1(F.when(F.col("quality") == 1, F.upper("text")).otherwise(F.col("text"))).alias("source_hash"))
+    disk = there.select("source", F.sha1(F.when(F.col("quality") == 1, F.reverse("text")).otherwise(F.col("text"))).alias("source_hash"))
     pages = t.read(spark, d, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.sha1("html").alias("source_hash"))
     return disk.unionByName(pages), index, docs.filter("toxic = 1").select("source")
 
