@@ -12,6 +12,7 @@ from lodeleaf.llm.lm import op2_attention_lm
 from lodeleaf.llm.mixing import op10_mix_sources
 from lodeleaf.llm.ngram_join import op3_ngram_jaccard
 from lodeleaf.llm.ogg import op6_ogg_media
+from lodeleaf.llm.oracles import ORACLE_SQL
 from lodeleaf.llm.packing import op5_best_fit
 from lodeleaf.llm.quality import op7_quality_rules
 from lodeleaf.llm.sharding import op1_hash_tree_shards
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
