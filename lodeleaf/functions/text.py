@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,7 +32,7 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_exact(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
 
@@ -186,7 +187,7 @@ def caption_is_empty(text: Column) -> Column:
     return (F.length(strip(text)) < 40) | any_match(text, EMPTY_CAPTIONS, "(?iu)")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_case(text: pd.Series) -> pd.Series:
     """Every letter run with a capital first, also after digits and hyphens, which initcap doesn't do."""
     return text.str.title()

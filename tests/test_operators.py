@@ -1,0 +1,115 @@
+"""Operators on small tables, and the queries with SQL on the smallest data."""
+
+import pytest
+from oracle import compare
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from lodeleaf.operators import catalog, context, evaluate, near_pairs, rank, sync
+from lodeleaf.sources.chunking import split_text
+from lodeleaf.sources.html import page_text
+from lodeleaf.sources.store import ChunkStore
+
+SMALL = [n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"]
+
+
+@pytest.mark.parametrize("name", SMALL)
+def test_query_equals_sql(spark, sf, name):
+    assert compare(spark, sf, name).endswith("equal")
+
+
+def test_entry(spark):
+    rows = entry.entry(spark)
+    assert {"qid", "context", "answer", "sources", "found"} <= set(rows.columns)
+    assert rows.count() >= 0
+
+
+def test_strength_and_score(spark):
+    case = lambda m, p, n: spark.range(1).select(rank.is_strong(F.lit(m), F.lit(p), F.lit(n)).alias("v")).first()["v"]
+    assert [case(2, 0, 3), case(3, 0, 3), case(1, 1, 3), case(0, 1, 3), case(3, 0, 5), case(0, 0, 0)] == [False, True, True, False, True, True]
+    score = lambda p: spark.range(1).select(rank.score(F.lit(2), F.lit(p), F.lit(1.0), F.lit(2.0), F.lit(0), F.lit(3)).alias("v")).first()["v"]
+    assert [score(1), score(0)] == [10497, 3497]
+
+
+def test_prioritised_drops_near_duplicates(spark):
+    rows = [(1, i, t, 3, 0, 3, float(s), i) for i, (t, s) in enumerate([("uno dos tres cuatro", 9), ("uno dos tres cinco", 8), ("uno dos tres cuatro nueve", 7), ("seis siete ocho", 6)])]
+    c = spark.createDataFrame(rows, "qid long, chunk_id long, text string, m int, p int, n_keywords int, score double, rank int")
+    assert [r["chunk_id"] for r in rank.prioritised(c).orderBy("place").collect()] == [0, 1, 3]  # 3 of 5 tokens is no duplicate, 4 of 5 is
+
+
+def test_sync_plan(spark):
+    table = lambda rows: spark.createDataFrame(rows, "source string, source_hash string")
+    disk, index = table([("a", "h1"), ("b", "h2x"), ("c", "h3")]), table([("a", "h1"), ("b", "h2"), ("d", "h4")])
+    steps = sync.plan(disk, index, spark.createDataFrame([("e",)], "source string"))
+    assert {(r["source"], r["state"]) for r in steps.collect()} == {("c", "nuevo"), ("b", "modificado"), ("d", "eliminado"), ("e", "oculto")}
+    new = disk.join(steps.filter("state in ('nuevo', 'modificado')").select("source"), "source", "left_semi")
+    after = sync.applied(index, steps, new)
+    assert sync.plan(disk, after, steps.select("source").limit(0)).count() == 0
+
+
+def test_conversation(spark):
+    t = spark.createDataFrame([(1, 1, "AI", "hola"), (1, 2, "user", " q ")], "conv_id int, turn int, role string, text string")
+    assert context.conversation_block(t, F.lit("q")).first()["block"] == "ASSISTANT: hola"
+
+
+def test_catalog(spark):
+    c = spark.createDataFrame([(1, "x/a.md", "A", 1), (2, "x/a.md", "B", 0), (3, "y/b.md", "C", 0)], "chunk_id int, source string, text string, chunk_index int").withColumn("source_hash", F.lit("h"))
+    assert {(r["source"], r["content"]) for r in catalog.details(c).collect()} == {("x/a.md", "B\n\nA"), ("y/b.md", "C")}
+    assert [r["path"] for r in catalog.folders(c).orderBy("path").collect()] == ["x", "y"]
+    assert catalog.documents(c, text="c").count() == 1
+
+
+def test_best_source(spark):
+    c = spark.createDataFrame([(1, "a", 0, 1, 0), (1, "b", 1, 1, 1), (1, None, 2, 0, 0)], "qid int, source string, rank int, m int, p int")
+    assert evaluate.best_sources(c).first()["source"] == "b"
+
+
+def test_near_pairs_against_all_pairs(spark, sf):
+    import re
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    sets = {}
+    for r in docs.orderBy("chunk_id").collect():
+        sets.setdefault(frozenset(re.findall(r"\w{3,}", r["text"].lower())), r["chunk_id"])
+    items = [(i, s) for s, i in sets.items() if s]
+    want = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(items) for b, t in items[:k] if len(s & t) / len(s | t) > 0.6}
+    assert {(r["a"], r["b"]) for r in near_pairs.similar_sets(docs).collect()} == want
+
+
+def test_splitter():
+    text = "\n\n".join("palabra " * 40 for _ in range(12))
+    parts = split_text(text, ("\n\n", "\n", " ", ""), 1500, 300)
+    assert all(len(p) <= 1500 for p in parts) and "".join(text.split()) in "".join("".join(p.split()) for p in parts) or len(parts) > 2
+    assert split_text("x" * 4000, ("\n\n", " ", ""), 1500, 300)[0] == "x" * 1500
+    assert split_text("", ("\n", ""), 10, 2) == []
+
+
+def test_html():
+    text = page_text("<title>T</title><script>x()</script><p>uno</p><table><tr><th>A<th>B</th></tr><tr><td>1</td><td>2</td></tr></table><img src=a width=20><img src=b>")
+    assert text.startswith("T") and "x()" not in text and "[BLOQUE DELIMITADO 1 INICIO]" in text and text.count("[IMAGEN") == 1
+
+
+def test_store(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "source string, chunk_index int, text string")
+    store.write(rows)
+    assert store.delete("a") == 1 and [r["source"] for r in store.read().collect()] == ["b"]
+    assert store.read(0).count() == 2
+    with pytest.raises(KeyError):
+        store.delete("zzz")
+
+
+def test_stream(spark, tmp_path):
+    from lodeleaf.sources.chunking import chunked
+    from lodeleaf.streaming.sync import watch
+
+    root = tmp_path / "docs"
+    root.mkdir()
+    (root / "a.md").write_text("hola mundo")
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    read = lambda files: chunked(files.select("source", "source_hash", F.decode("content", "UTF-8").alias("text")), "md")
+    for text in ("hola mundo", "otro texto"):
+        (root / "a.md").write_text(text)
+        (root / "b.md").write_text("fijo")
+        watch(spark, str(root), store, read, str(tmp_path / "check")).awaitTermination(120)
+    assert "fijo" in {r["text"] for r in store.read().collect()}
