@@ -461,24 +461,42 @@ def against_pivots(held: DataFrame) -> DataFrame:
     return pairs.select(F.least("d1", "p.d").alias("a"), F.greatest("d1", "p.d").alias("b")).distinct()
 
 
-def across(held: DataFrame) -> DataFrame:
-    """All pairs of a bucket's documents of different components. The largest component's members are paired with the others only.
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmap words, folded to ``size`` words."""
+    return bits if bits.shape[1] == size else np.bitwise_or.reduce(bits.reshape(len(bits), -1, size), axis=1)
 
-    A bucket stands in parts of about PART holders; each document outside meets the parts as arrays, and a pair that several buckets
-    give is made once.
-    """
-    parts = held.groupBy("sig", F.pmod(F.xxhash64("d"), F.ceil(F.col("m") / PART)).alias("part")).agg(F.collect_list(F.struct("d", "n", "v", "c", "most")).alias("members"))
-    few = held.filter("c <> most").select("sig", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("v").alias("v1"), F.col("c").alias("c1"))
-
-    def meets(x: Column) -> Column:
-        most = F.least(F.col("v1"), x["v"])
-        other = (x["c"] != F.col("c1")) & ((x["c"] == x["most"]) | (F.col("d1") < x["d"]))
-        return other & (100 * most >= SIMILARITY * (F.col("n1") + x["n"] - most))
 
-    found = few.join(parts, "sig").select("d1", F.transform(F.filter("members", meets), lambda x: x["d"]).alias("ds")).filter(F.size("ds") > 0)
-    once = found.groupBy("d1").agg(F.array_distinct(F.flatten(F.collect_list("ds"))).alias("ds"))
-    pairs = once.select("d1", F.explode("ds").alias("d"))
-    return pairs.select(F.least("d1", "d").alias("a"), F.greatest("d1", "d").alias("b")).distinct()
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two arrays, documents outside the largest component and holders of the same bucket, to pairs of different components that may be similar."""
+    for batch in batches:
+        out: set[tuple[int, int]] = set()
+        for few, members in zip(batch.column("few").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            d, n, v, c = (np.array([x[k] for x in members], np.int64) for k in ("d", "n", "v", "c"))
+            size = np.array([len(x["bits"]) for x in members])
+            classes = [(np.flatnonzero(size == s), np.stack([np.frombuffer(x["bits"], np.uint64) for x in members if len(x["bits"]) == s])) for s in np.unique(size)]
+            for x in few:
+                own = np.frombuffer(x["bits"], np.uint64)[None]
+                for rows, bits in classes:
+                    words = min(own.shape[1], bits.shape[1])
+                    one, two = folded(own, words), folded(bits, words)
+                    lack_one, lack_two = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (one & ~two, two & ~one))
+                    most = np.minimum(np.minimum(x["n"] - lack_one, n[rows] - lack_two), np.minimum(x["v"], v[rows]))
+                    ok = (100 * most >= SIMILARITY * (x["n"] + n[rows] - most)) & (c[rows] != x["c"]) & ((c[rows] == x["most"]) | (d[rows] > x["d"]))
+                    out |= {(min(x["d"], y), max(x["d"], y)) for y in d[rows[ok]].tolist()}
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def across(held: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """All pairs of a bucket's documents of different components that their bitmaps allow. The largest component's members are paired with the others only.
+
+    A bucket stands in rows of about PART holders with their bitmaps; a task compares two such rows and gives out what is left.
+    """
+    held = held.join(bitmaps.select(F.col("id").alias("d"), "bits"), "d")
+    part = F.pmod(F.xxhash64("d"), F.ceil(F.col("m") / PART))
+    row = F.collect_list(F.struct("d", "n", "v", "c", "most", "bits"))
+    members = held.groupBy("sig", part.alias("i")).agg(row.alias("members"))
+    few = held.filter("c <> most").groupBy("sig", part.alias("j")).agg(row.alias("few"))
+    return few.join(members, "sig").select("few", "members").mapInArrow(block_pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -497,7 +515,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     failed = stored(pairs.join(linked, ["a", "b"], "left_anti"))
     held = failed_buckets(links, failed, labels)
     tested = failed.filter("fits").select("a", "b")
-    for choose in (against_pivots, across):
+    for choose in (against_pivots, lambda own: across(own, bitmaps)):
         more = stored(choose(labelled(held, labels)).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             edges = edges.unionByName(similar(more, bitmaps, docs))
