@@ -145,9 +145,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     cut = stored(cut.select("file", "at", "following", "kind", "digest", "page_id", "refers_to", "url"))
     files = cut.select("file").distinct()
     texts = placed(chunks(spark, path).join(small(files), "file", "left_semi").withColumn("size", F.octet_length("value").cast("long")))
-    starts = real.select("file", F.col("at").alias("start"), F.lit(True).alias("real"))
+    starts = real.select(F.col("file").alias("of"), F.col("at").alias("start"))
     order = Window.partitionBy("file").orderBy("at")
-    owned = texts.join(starts, (texts["file"] == starts["file"]) & (texts["at"] == starts["start"]), "left").select(texts["file"], "at", "value", F.last("start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("owner"))
+    owned = texts.join(starts, (F.col("file") == F.col("of")) & (F.col("at") == F.col("start")), "left").select("file", "at", "value", F.last("start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("owner"))
     owned = owned.join(cut.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi")
     joined = owned.groupBy("file", F.col("owner").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     mended = joined.join(cut, ["file", "at"]).withColumn("head", F.substring_index("value", BREAK, 1))
