@@ -105,22 +105,23 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, config
     again = features(questions.select("qid", "question").join(poor, "qid", "left_semi"), config, settings, by_length=False)
     again = again.join(f.select("qid", F.col("keywords").alias("had")), "qid").filter(~F.array_sort("keywords").eqNullSafe(F.array_sort("had"))).drop("had")
     again = stored(again)
-    second = attempt(again)
-    qualified = lambda r, name: r.filter(F.col("m") >= rank.required(F.col("n_keywords"))).groupBy("qid").agg(F.count(F.lit(1)).alias(name))
-    better = qualified(second, "new").join(qualified(rows, "old"), "qid", "left").filter(F.col("new") > F.coalesce("old", F.lit(0))).select("qid")
-    rows = rows.join(better, "qid", "left_anti").unionByName(second.join(better, "qid", "left_semi"))
+    if not again.isEmpty():
+        second = attempt(again)
+        qualified = lambda r, name: r.filter(F.col("m") >= rank.required(F.col("n_keywords"))).groupBy("qid").agg(F.count(F.lit(1)).alias(name))
+        better = qualified(second, "new").join(qualified(rows, "old"), "qid", "left").filter(F.col("new") > F.coalesce("old", F.lit(0))).select("qid")
+        rows = stored(rows.join(better, "qid", "left_anti").unionByName(second.join(better, "qid", "left_semi")))
 
     def selected(r: DataFrame) -> DataFrame:
         return rank.prioritised(r, settings.context_chunks, settings.duplicate_above).join(r.select("qid", "chunk_id", "source", "text"), ["qid", "chunk_id"])
 
-    rows = stored(rows)
     best = stored(selected(rows))
     context = contexts(best)
     empty = stored(asked.join(context.filter("context <> ''"), "qid", "left_anti"))
-    literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total)
-    literal = literal.select("qid", "chunk_id", F.lit(0).alias("rank"), F.lit("literal").alias("phase"))
-    last = stored(selected(stored(scored(empty, literal, chunks, matches(empty, chunks)))))
-    best, context = best.unionByName(last), context.unionByName(contexts(last)).groupBy("qid").agg(F.max("context").alias("context"))
+    if not empty.isEmpty():
+        literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total)
+        literal = literal.select("qid", "chunk_id", F.lit(0).alias("rank"), F.lit("literal").alias("phase"))
+        last = stored(selected(stored(scored(empty, literal, chunks, matches(empty, chunks)))))
+        best, context = best.unionByName(last), context.unionByName(contexts(last)).groupBy("qid").agg(F.max("context").alias("context"))
     out = f.join(context, "qid", "left").join(source_lists(best, f), "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
     said = generator(tx.prompt(SYSTEM, F.col("context"), F.lit(""), F.col("question")))
     answer = F.when(F.col("greeting").isNotNull(), F.lit("")).when(F.col("context") == "", NOT_FOUND).otherwise(said)
