@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lodeleaf.functions.text import token_set
+from lodeleaf.sources.scratch import stored
 
 # Weights of the score.
 PATH, MATCH, DENSITY, QUALITY, PRIORITY, NO_PATH = 5000, 1000, 500, 1500, 6000, 2000
@@ -45,23 +46,30 @@ def prioritised(candidates: DataFrame, limit: int = 5, above: float = 0.6) -> Da
 
     Strong ones first by score, then rank; weak ones only where fewer strong ones than the limit exist. A chunk whose
     tokens overlap a selected one by more than ``above`` is passed over. Without keywords the rank alone decides.
-    Candidates of a question are bounded by the pipeline's limits, so their list fits into a row.
+    A question may have any number of candidates: each of ``limit`` rounds takes the first of those after the last one
+    taken that are no twins of the chosen, which are at most ``limit`` rows a question.
     """
     strong = is_strong(F.col("m"), F.col("p"), F.col("n_keywords"))
-    c = candidates.withColumn("strong", strong).withColumn("n_strong", F.sum(strong.cast("int")).over(Window.partitionBy("qid")))
+    c = candidates.withColumn("strong", strong)
+    c = c.join(c.groupBy("qid").agg(F.sum(F.col("strong").cast("int")).alias("n_strong")), "qid")
     c = c.filter((F.col("n_keywords") == 0) | F.col("strong") | (F.col("n_strong") < limit))
     key = F.struct(
         F.when(F.col("n_keywords") == 0, 0).when(F.col("strong"), 0).otherwise(1).alias("weak"),
         F.when(F.col("n_keywords") == 0, F.lit(0.0)).otherwise(-F.col("score")).alias("s"),
         "rank", "chunk_id",
-        F.when(F.col("n_keywords") == 0, F.array().cast("array<string>")).otherwise(token_set(F.coalesce("text", F.lit("")))).alias("t"),
     )
-    lists = c.groupBy("qid").agg(F.array_sort(F.collect_list(key)).alias("list"))
-    kind = lists.schema["list"].dataType.simpleString()
-
-    def step(done: Column, x: Column) -> Column:
-        twin = (F.size(x["t"]) > 0) & F.exists(done, lambda d: (F.size(d["t"]) > 0) & (jaccard(d["t"], x["t"]) > above))
-        return F.when((F.size(done) >= limit) | twin, done).otherwise(F.array_append(done, x))
-
-    picked = lists.select("qid", F.aggregate("list", F.array().cast(kind), step).alias("picked"))
-    return picked.select("qid", F.posexplode("picked").alias("place", "x")).select("qid", "place", "x.chunk_id")
+    tokens = F.when(F.col("n_keywords") == 0, F.array().cast("array<string>")).otherwise(token_set(F.coalesce("text", F.lit(""))))
+    rows = stored(c.select("qid", key.alias("key"), tokens.alias("t")))
+    chosen = None
+    for place in range(limit):
+        left = rows
+        if chosen is not None:
+            so_far = chosen.groupBy("qid").agg(F.max("key").alias("last"), F.collect_list("t").alias("done"), F.count(F.lit(1)).alias("n"))
+            twin = (F.size("t") > 0) & F.exists("done", lambda d: (F.size(d) > 0) & (jaccard(d, F.col("t")) > above))
+            left = rows.join(so_far.filter(F.col("n") == place), "qid").filter((F.col("key") > F.col("last")) & ~twin)
+        first = stored(left.groupBy("qid").agg(F.min_by("t", "key").alias("t"), F.min("key").alias("key")).withColumn("place", F.lit(place)))
+        if first.isEmpty():
+            break
+        chosen = first if chosen is None else chosen.unionByName(first)
+    chosen = first if chosen is None else chosen
+    return chosen.select("qid", "place", "key.chunk_id")
