@@ -8,11 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a relation of few narrow columns that may be broadcast; beyond it a shuffle join runs.
-BROADCAST_ROWS = 500_000
+#: Bytes of a relation that may be broadcast; beyond them a shuffle join runs.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch of texts.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +60,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``limit`` rows, else unchanged (a shuffle join follows).
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get by bytes; 10,000 whole texts may be large. A session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, ARROW_BYTES)
 
-    df should be cheap to recount, such as the result of stored().
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory."""
+
+    def width(kind: T.DataType, value: Column) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            inner = kind.elementType
+            if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType):
+                return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + width(inner, x)), F.lit(0)) + 16
+            return F.coalesce(F.size(value), F.lit(0)) * 8 * len(inner.fields if isinstance(inner, T.StructType) else [0]) + 16
+        if isinstance(kind, T.StructType):
+            return sum((width(f.dataType, value[f.name]) for f in kind.fields), F.lit(0))
+        return F.lit(8)
+
+    return sum((width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(16)).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most ``limit`` bytes, else unchanged (a shuffle join follows).
+
+    df is counted once more, so it should be stored or cheap.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    took = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if took <= limit else df

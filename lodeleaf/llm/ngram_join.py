@@ -25,7 +25,9 @@ document, so a bucket of m documents gives m - 1 candidates. Equal sets are
 linked by a 128-bit digest. 3. Candidates are verified on whole sets. 4. Where
 a candidate fails, documents are held against PIVOTS of their bucket; then all
 pairs of failed buckets that still lie across components are verified, so no
-link that could join components is lost.
+link that could join components is lost: in small buckets as listed pairs, in
+larger ones in blocks of token sets, which give out only links that join two
+components.
 
 Edge cases: a null or empty text has no shingles and no links; rows of one id
 are one document; a null id gets a row with its count and no component; texts
@@ -39,11 +41,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodeleaf.llm.common import small, stored, table
+from lodeleaf.llm.common import bounded_batches, small, stored, table
 from lodeleaf.llm.components import components
 from lodeleaf.llm.shingles import U, mix, shingle_sets, texts
 
@@ -57,12 +60,14 @@ FREQUENT_TOKENS = 1 << 18
 SHARED_BITS, MOST_SHARED_BITS = 256, 28
 #: Documents of a bucket that its others are first held against, where candidates failed.
 PIVOTS = 8
-#: Holders of a bucket that stand in one row.
-PART = 256
+#: Documents of a bucket up to which its pairs are listed; larger buckets are compared in blocks.
+LISTED = 8
+#: Tokens of the documents that stand in one row of a block (a longer document stands alone).
+PART_TOKENS = 1 << 16
 #: Least hash ranges that counts and signatures are dealt into, and documents for which one set of them serves.
 RANGES, DOCS_PER_RANGES = 256, 4_000_000
 #: Tokens that a task holds before it gives out what it has.
-FLUSH = 2_000_000
+FLUSH = 500_000
 ZONE = 32
 #: Signatures are compared by so many bits; what collides is told apart on verification.
 SIGNATURE_BITS = 48
@@ -406,6 +411,12 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)).cast(pa.int64()), pa.ListArray.from_arrays(ends, values)], ["id", "tokens"])
 
 
+def token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, tokens) of the documents named in ids(doc_id); of rows with one id, one."""
+    sets = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows, "id long, tokens array<long>")
+    return stored(sets)
+
+
 def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True)
@@ -419,7 +430,7 @@ def similar(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame:
     left = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
     pairs = stored(left.mapInArrow(possible, "a long, b long").distinct())
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = stored(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows, "id long, tokens array<long>"))
+    sets = token_sets(docs, ids)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     return stored(both.filter(100 * shared >= SIMILARITY * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
@@ -432,7 +443,10 @@ def sizes_fit(na: str, va: str, nb: str, vb: str) -> Column:
 
 
 def failed_buckets(links: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, d, n, v, m): the m holders of signatures that a failed pair across components shares; of buckets with the same holders one."""
+    """(sig, d, n, v, m): the m holders of signatures that a failed pair across components shares; of buckets with the same holders one.
+
+    A bucket of two documents has been verified as a whole, and is left out.
+    """
     label = labels.select(F.col("id").alias("d"), "component")
     named = lambda df, c: df.join(label.withColumnRenamed("d", c).withColumnRenamed("component", f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     apart = named(named(failed.select("a", "b"), "a"), "b").filter("ca <> cb").select("a", "b")
@@ -441,7 +455,7 @@ def failed_buckets(links: DataFrame, failed: DataFrame, labels: DataFrame) -> Da
     held = inside.select("sig", F.col("a").alias("d"), F.col("na").alias("n"), F.col("va").alias("v")).unionByName(inside.select("sig", F.col("b").alias("d"), F.col("nb").alias("n"), F.col("vb").alias("v"))).distinct()
     held = stored(held)
     alike = held.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("y"))
-    return stored(held.join(alike.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig"))
+    return stored(held.join(alike.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).filter("m > 2").select("sig", "m"), "sig"))
 
 
 def labelled(held: DataFrame, labels: DataFrame) -> DataFrame:
@@ -461,47 +475,90 @@ def against_pivots(held: DataFrame) -> DataFrame:
     return pairs.select(F.least("d1", "p.d").alias("a"), F.greatest("d1", "p.d").alias("b")).distinct()
 
 
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """Rows of bitmap words, folded to ``size`` words."""
-    return bits if bits.shape[1] == size else np.bitwise_or.reduce(bits.reshape(len(bits), -1, size), axis=1)
+def listed(held: DataFrame) -> DataFrame:
+    """All pairs of different components in buckets of at most LISTED documents."""
+    row = F.collect_list(F.struct("d", "n", "v", "c"))
+    rows = held.filter(F.col("m") <= LISTED).groupBy("sig").agg(row.alias("xs"))
+    pairs = rows.select(F.explode("xs").alias("x"), "xs").select("x", F.explode("xs").alias("y")).filter("x.d < y.d and x.c <> y.c")
+    return pairs.filter(sizes_fit("x.n", "x.v", "y.n", "y.v")).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
+
+
+class Part(NamedTuple):
+    """Documents that stand in one row: ids, components, where the tokens of each begin, all tokens."""
+
+    d: np.ndarray
+    c: np.ndarray
+    first: np.ndarray
+    tokens: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.ListScalar) -> Part:
+        x = rows.values
+        d, c, tokens = (x.field(i) for i in range(3))
+        return cls(d.to_numpy(), c.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(tokens).to_numpy())), tokens.flatten().to_numpy())
+
+
+def links_between(one: Part, two: Part) -> Iterator[tuple[int, int]]:
+    """Similar pairs of two parts that join two components each: fewer than there are documents."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    vocabulary, at = np.unique(two.tokens, return_inverse=True)
+    sizes = np.diff(two.first)
+    own = np.searchsorted(vocabulary, one.tokens)
+    own[own == len(vocabulary)] = 0
+    there = vocabulary[own] == one.tokens
+    mark = np.zeros(len(vocabulary), bool)
+    for i in range(len(one.d)):
+        span = slice(one.first[i], one.first[i + 1])
+        mine = own[span][there[span]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[at], two.first[:-1], dtype=np.int64)
+        mark[mine] = False
+        n = int(one.first[i + 1] - one.first[i])
+        for j in np.flatnonzero((100 * both >= SIMILARITY * (n + sizes - both)) & (two.c != one.c[i])).tolist():
+            a, b = root(int(one.c[i])), root(int(two.c[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield int(one.d[i]), int(two.d[j])
+
+
+def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+            found = list(links_between(Part.of(one), Part.of(two)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two arrays, documents outside the largest component and holders of the same bucket, to pairs of different components that may be similar."""
-    for batch in batches:
-        out: set[tuple[int, int]] = set()
-        for few, members in zip(batch.column("few").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            d, n, v, c = (np.array([x[k] for x in members], np.int64) for k in ("d", "n", "v", "c"))
-            size = np.array([len(x["bits"]) for x in members])
-            classes = [(np.flatnonzero(size == s), np.stack([np.frombuffer(x["bits"], np.uint64) for x in members if len(x["bits"]) == s])) for s in np.unique(size)]
-            for x in few:
-                own = np.frombuffer(x["bits"], np.uint64)[None]
-                for rows, bits in classes:
-                    words = min(own.shape[1], bits.shape[1])
-                    one, two = folded(own, words), folded(bits, words)
-                    lack_one, lack_two = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (one & ~two, two & ~one))
-                    most = np.minimum(np.minimum(x["n"] - lack_one, n[rows] - lack_two), np.minimum(x["v"], v[rows]))
-                    ok = (100 * most >= SIMILARITY * (x["n"] + n[rows] - most)) & (c[rows] != x["c"]) & ((c[rows] == x["most"]) | (d[rows] > x["d"]))
-                    out |= {(min(x["d"], y), max(x["d"], y)) for y in d[rows[ok]].tolist()}
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
-def across(held: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All pairs of a bucket's documents of different components that their bitmaps allow. The largest component's members are paired with the others only.
-
-    A bucket stands in rows of about PART holders with their bitmaps; a task compares two such rows and gives out what is left.
+def in_blocks(held: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join components in buckets of more than LISTED documents.
+
+    A document goes into a part of its largest bucket, of about PART_TOKENS tokens; those of the bucket's largest component have
+    parts of their own. Two parts that meet in a bucket are compared once, on whole sets, unless both hold one component only.
     """
-    held = held.join(bitmaps.select(F.col("id").alias("d"), "bits"), "d")
-    part = F.pmod(F.xxhash64("d"), F.ceil(F.col("m") / PART))
-    row = F.collect_list(F.struct("d", "n", "v", "c", "most", "bits"))
-    members = held.groupBy("sig", part.alias("i")).agg(row.alias("members"))
-    few = held.filter("c <> most").groupBy("sig", part.alias("j")).agg(row.alias("few"))
-    return few.join(members, "sig").select("few", "members").mapInArrow(block_pairs, "a long, b long").distinct()
+    large = held.filter(F.col("m") > LISTED)
+    home = large.groupBy("d", "n", "c").agg(F.max_by(F.struct("sig", (F.col("c") == F.col("most")).alias("main")), F.struct("m", "sig")).alias("h")).select("d", "n", "c", "h.sig", "h.main")
+    sizes = home.groupBy("sig", "main").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("parts"))
+    home = stored(home.join(sizes, ["sig", "main"]).select("d", "c", F.xxhash64("sig", "main", F.pmod(F.xxhash64("d"), "parts")).alias("p")))
+    one = home.groupBy("p").agg(F.when(F.min("c") == F.max("c"), F.min("c")).alias("one"))
+    met = stored(large.select("sig", "d").join(home.select("d", "p"), "d").select("sig", "p").distinct().join(one, "p"))
+    pairs = met.select("sig", F.col("p").alias("p1"), F.col("one").alias("c1")).join(met.select("sig", F.col("p").alias("p2"), F.col("one").alias("c2")), "sig")
+    pairs = stored(pairs.filter((F.col("p1") <= F.col("p2")) & ~F.coalesce(F.col("c1") == F.col("c2"), F.lit(False))).select("p1", "p2").distinct())
+    sets = token_sets(docs, home.select(F.col("d").alias("doc_id")))
+    part = sets.filter(F.size("tokens") > 0).join(home, F.col("id") == F.col("d")).groupBy("p").agg(F.collect_list(F.struct("d", "c", "tokens")).alias("rows"))
+    part = stored(part)
+    side = lambda i, name: part.select(F.col("p").alias(f"p{i}"), F.col("rows").alias(name))
+    return pairs.join(side(1, "one"), "p1").join(side(2, "two"), "p2").select("one", "two").mapInArrow(block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id: one row for each row of docs."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = docs.count()
     ranges = RANGES << (max(1, -(-count // DOCS_PER_RANGES)) - 1).bit_length()
@@ -515,12 +572,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     failed = stored(pairs.join(linked, ["a", "b"], "left_anti"))
     held = failed_buckets(links, failed, labels)
     tested = failed.filter("fits").select("a", "b")
-    for choose in (against_pivots, lambda own: across(own, bitmaps)):
+    for choose in (against_pivots, listed):
         more = stored(choose(labelled(held, labels)).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             edges = edges.unionByName(similar(more, bitmaps, docs))
             labels = stored(components(edges))
             tested = tested.unionByName(more)
+    apart = labelled(held, labels)
+    if not apart.filter(F.col("m") > LISTED).isEmpty():
+        joining = stored(in_blocks(apart, docs))
+        if not joining.isEmpty():
+            labels = stored(components(edges.unionByName(joining)))
     rows = links.filter("kind = 'doc'").select(F.col("a").alias("id"), F.col("na").alias("n_shingles"))
     return rows.join(labels, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
