@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeleaf.llm.common import table
+from lodeleaf.llm.common import bounded_batches, stored, table
 
 PACKET = 576
 RATE = 8_000
@@ -141,15 +141,28 @@ def feature(streams: dict[int, Stream], faults: int) -> str:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [(text.as_py() or "").encode() for text in batch.column("text")]
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(list(map(len, raw)), pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
+
+
+def media_column(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) to doc_id, n_bytes (of the text) and media, the text as an Ogg file."""
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, n_bytes long, media binary")
+
+
 def media_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the stored files alone say."""
     for batch in batches:
         rows = []
-        for text in batch.column("text"):
-            raw = (text.as_py() or "").encode()
-            media = encode(pad(raw))
+        for value, n in zip(batch.column("media"), batch.column("n_bytes").to_pylist(), strict=True):
+            media = value.as_py()
             streams, faults = decode(media)
             back = samples(streams)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams, faults)))
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams, faults)))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -157,7 +170,7 @@ def media_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(media_digests, SCHEMA)
+    return stored(media_column(table(spark, sf_dir, "documents"))).mapInArrow(media_digests, SCHEMA)
 
 
 def packets(media: DataFrame, key: str, column: str, rate: int = RATE) -> DataFrame:
