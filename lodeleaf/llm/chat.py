@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from os.path import commonprefix
 from typing import NamedTuple
 
 import pandas as pd
@@ -72,12 +71,21 @@ class Formatted(NamedTuple):
     rewrites_history: bool
 
 
+def shared_length(a: str, b: str) -> int:
+    """How many characters two strings share at their beginning."""
+    low, high = 0, min(len(a), len(b)) + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
 def frame(before: list[Turn], role: str, after: list[Turn], template: Callable[[list[Turn]], str]) -> tuple[int, int]:
     """Lengths of what the outputs for both probe texts share at their beginning and end; the shared part is 0, 0 if they are equal."""
     one, two = (template([*before, (role, p), *after]) for p in PROBES)
     if one == two:
         return 0, 0
-    return len(commonprefix([one, two])), len(commonprefix([one[::-1], two[::-1]]))
+    return shared_length(one, two), shared_length(one[::-1], two[::-1])
 
 
 def located(turns: list[Turn], template: Callable[[list[Turn]], str] = render, window: int = WINDOW) -> Formatted:
