@@ -93,4 +93,6 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without boilerplate lines; documents of which no word is left go."""
     out = without_boilerplate(docs)
-    return out.filter((F.col("__removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+    # One struct a row: a filter on edited texts would else be pushed below the edits and run them again.
+    rows = out.select(F.explode(F.array(F.struct(*docs.columns, "__removed"))).alias("__row")).select("__row.*")
+    return rows.filter((F.col("__removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
