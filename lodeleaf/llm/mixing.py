@@ -9,7 +9,9 @@
    multivariate hypergeometric distribution, as a chain of hypergeometric
    draws over sources, so shards have equal numbers of blocks and exact sums.
 4. A shard takes the next of each source's permuted blocks; no two shards get
-   the same draw. Rows are shuffled by hash within a shard.
+   the same draw. Rows are dealt by shard and shuffled by hash within it.
+
+Sources are a table of one task: thousands, not millions.
 
 Everything is a function of doc_id, the seed and the totals: reruns agree.
 
@@ -30,10 +32,10 @@ from lodeleaf.llm.common import let, small, stored, table, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-#: Blocks of all sources together, besides one for each source: the size of the table that documents are joined with.
-BLOCKS = 4096
-#: Output shards; a power of two.
-SHARDS = 16
+#: Blocks of all sources together, besides one for each source, at least, and for each shard.
+BLOCKS, BLOCKS_A_SHARD = 4096, 64
+#: Output shards, at least; a power of two. Larger mixes get as many as keep a shard to about SHARD_WORDS.
+SHARDS, SHARD_WORDS = 16, 1 << 30
 SEED = 17
 
 
@@ -115,7 +117,12 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     return node.select((F.col("node") - shards).alias("shard"), F.explode("qs").alias("x")).select("x.s", "shard", "x.q")
 
 
-def block_plan(sized: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+def shards_for(total: float) -> int:
+    """The number of output shards of a mix of so many words."""
+    return SHARDS << max(0, math.ceil(math.log2(max(1.0, total / SHARD_WORDS / SHARDS))))
+
+
+def block_plan(sized: DataFrame, sources: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per (s, block) with draws: array of (epoch, shard, part) and, for a block taken in part, the last order key that goes in."""
     weights = stored(sized.groupBy("s", "block").agg(F.sum("size").alias("w")))
     # Of the round that doesn't fit whole: blocks in permuted order, each taken if it fits into what is left.
@@ -140,24 +147,25 @@ def block_plan(sized: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFr
     draws = picked.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full").cast("int")))).filter("epoch < full or took or part")
     order = Window.partitionBy("s").orderBy("epoch", "p")
     draws = stored(draws.select("s", "block", "epoch", "cut", (F.col("part") & (F.col("epoch") == F.col("full"))).alias("part"), (F.row_number().over(order) - 1).alias("j")))
-    leaves = shard_quotas(draws.groupBy("s").agg(F.count(F.lit(1)).alias("quota")), SHARDS, seed)
+    leaves = shard_quotas(draws.groupBy("s").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
     ends = leaves.select("s", "shard", F.sum("q").over(Window.partitionBy("s").orderBy("shard")).alias("end")).groupBy("s").agg(F.array_sort(F.collect_list("end")).alias("ends"))
     draws = draws.join(small(stored(ends)), "s").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("j"))))
     return stored(draws.groupBy("s", "block").agg(F.max("cut").alias("cut"), F.array_sort(F.collect_list(F.struct("epoch", "shard", "part"))).alias("draws")))
 
 
-def planned(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs with the columns __source_name, s, size, block and key; the sources; the block plan."""
+def planned(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """docs with the columns __source_name, s, size, block and key; the sources; the block plan; the number of shards."""
     size = F.size(words(F.col("text"))).cast("long")
     narrow = stored(docs.select("doc_id", "source", size.alias("size")))
     sources = stored(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))))
-    return narrow, sources, block_plan(blocked(narrow, sources, seed), sources, seed)
+    shards = shards_for(sources.agg(F.sum("target")).first()[0] or 0.0)
+    return narrow, sources, block_plan(blocked(narrow, sources, shards, seed), sources, shards, seed), shards
 
 
-def blocked(df: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+def blocked(df: DataFrame, sources: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """df (doc_id, source) with its source's number s, a block and an order key."""
     share = F.col("source_size") / F.greatest(F.sum("source_size").over(Window.partitionBy()), F.lit(1))
-    names = sources.select(F.col("source").alias("__source"), "s", F.greatest(F.lit(1), F.least(F.col("n_docs"), F.ceil(share * BLOCKS))).alias("__blocks"))
+    names = sources.select(F.col("source").alias("__source"), "s", F.greatest(F.lit(1), F.least(F.col("n_docs"), F.ceil(share * max(BLOCKS, BLOCKS_A_SHARD * shards)))).alias("__blocks"))
     out = df.join(small(names), F.col("source").eqNullSafe(F.col("__source")))
     out = out.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("__blocks")))
     return out.withColumn("key", F.xxhash64("doc_id", F.lit(seed + 1))).drop("__source", "__blocks")
@@ -169,15 +177,24 @@ def kept_draws() -> Column:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow, sources, plan = planned(table(spark, sf_dir, "documents"))
-    rows = blocked(narrow, sources).join(small(plan), ["s", "block"], "left").withColumn("__d", kept_draws())
+    narrow, sources, plan, shards = planned(table(spark, sf_dir, "documents"))
+    rows = blocked(narrow, sources, shards).join(small(plan), ["s", "block"], "left").withColumn("__d", kept_draws())
     rows = rows.join(small(sources.select("s", "source_size", "target")), "s")
     return rows.select("doc_id", "size", "source_size", "target", (F.size("__d") * F.col("size")).cast("long").alias("taken"), F.concat_ws(",", F.transform("__d", lambda d: d["shard"].cast("string"))).alias("shards"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The mix: every document as often as it was drawn, with the columns it came with, shuffled within its task by shard and hash."""
-    _, sources, plan = planned(docs)
+def sharded(docs: DataFrame) -> DataFrame:
+    """The mix: every document as often as it was drawn, with the columns it came with and __shard.
+
+    A shard's rows stand in one task, shuffled by hash; a task may hold several shards, one after the other.
+    """
+    _, sources, plan, shards = planned(docs)
     named = docs.select(F.col("doc_id"), F.col("source"), F.struct(*docs.columns).alias("__row"))
-    rows = blocked(named, sources).join(small(plan), ["s", "block"]).select("__row", "key", F.explode(kept_draws()).alias("__d"))
-    return rows.sortWithinPartitions("__d.shard", F.xxhash64("key", "__d.epoch")).select("__row.*")
+    rows = blocked(named, sources, shards).join(small(plan), ["s", "block"]).select("__row", "key", F.explode(kept_draws()).alias("__d"))
+    rows = rows.select("__row", F.col("__d.shard").alias("__shard"), F.xxhash64("key", "__d.epoch").alias("__order"))
+    return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order").select("__row.*", "__shard")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix in the order of its shards, with the columns of docs."""
+    return sharded(docs).select(*docs.columns)

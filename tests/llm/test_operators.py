@@ -335,6 +335,51 @@ def test_mix(spark, sf, docs, table):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mix_equals_plain_plan(spark, sf, docs):
+    """Words taken from each document, by the same blocks and order keys in plain Python; shards share no draw and keep to their quotas."""
+    for source in (spark.read.parquet(f"{sf}/documents.parquet"), docs):
+        narrow, sources, plan, shards = mixing.planned(source)
+        rows = mixing.blocked(narrow, sources, shards).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "s", "block")).collect()
+        about = {r["s"]: r for r in sources.collect()}
+        times = Counter()
+        for s, r in about.items():
+            own = [x for x in rows if x["s"] == s]
+            full = min(3, int(r["target"] / r["source_size"] + 1e-9)) if r["source_size"] else 0
+            left = r["target"] - full * r["source_size"]
+            weight = Counter()
+            for x in own:
+                weight[x["h"], x["block"]] += x["size"]
+            took, rest = set(), []
+            for place, ((_, block), w) in enumerate(sorted(weight.items())):
+                if w <= left:
+                    took.add(block)
+                    left -= w
+                else:
+                    rest.append((w, place, block))
+            cut, run = None, 0
+            if rest and left >= 1:
+                for x in sorted((x for x in own if x["block"] == min(rest)[2]), key=lambda x: x["key"]):
+                    run = sum(y["size"] for y in own if y["block"] == x["block"] and y["key"] <= x["key"])
+                    cut = x["key"] if run - x["size"] / 2 <= left else cut
+            for x in own:
+                times[x["doc_id"], x["size"], s] += full + (x["block"] in took) + (cut is not None and x["block"] == min(rest)[2] and x["key"] <= cut)
+        got = mixing.blocked(narrow, sources, shards).join(plan, ["s", "block"], "left").select("doc_id", "size", "s", F.size(mixing.kept_draws()).alias("n")).collect()
+        found = Counter()
+        for x in got:
+            found[x["doc_id"], x["size"], x["s"]] += x["n"]
+        assert +found == +times
+        draws = plan.select("s", "block", F.explode("draws").alias("d")).select("s", "block", "d.*").collect()
+        assert len({(d["s"], d["block"], d["epoch"]) for d in draws}) == len(draws)
+        per = Counter(d["shard"] for d in draws)
+        assert max(per.values()) - min(per[i] for i in range(shards)) <= 1
+        laid = mixing.sharded(source).select("__shard", F.spark_partition_id().alias("task")).distinct().collect()
+        assert len(laid) == len({x["__shard"] for x in laid})
+
+
+def test_shards_grow_with_the_mix():
+    assert [mixing.shards_for(n) for n in (0, 16 * mixing.SHARD_WORDS, 17 * mixing.SHARD_WORDS, 1e13)] == [16, 16, 32, 16384]
+
+
 def test_pipeline(spark, sf, nothing):
     import corpus_pipeline as cp
 
