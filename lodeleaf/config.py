@@ -15,8 +15,8 @@ class KeywordConfig:
         "and", "are", "but", "como", "con", "dans", "das", "der", "die", "ein", "eine", "est", "for", "from", "las", "les",
         "los", "mit", "not", "nicht", "para", "pour", "por", "que", "sich", "the", "that", "this", "une", "und", "was", "with",
     )
-    synonyms: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"disco": ("unidad", "drive"), "tion": ("ment", "heit"), "ando": ("iendo",), "quement": ("mente", "lich")})
-    priority: tuple[str, ...] = ("clon", "src0", "src7")
+    synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    priority: tuple[str, ...] = ()
 
     @classmethod
     def read(cls, folder: str | Path) -> KeywordConfig:

@@ -27,6 +27,11 @@ def is_strong_legacy(m: Column, p: Column, n: Column) -> Column:
     return F.when(m + p < required(n), False).when(p > 0, True).otherwise(m >= F.greatest(required(n) + 1, n))
 
 
+def admitted(m: Column, p: Column, n: Column) -> Column:
+    """Admission of the wider search."""
+    return (m + p >= required(n)) & ((p > 0) | (m >= F.least(n, F.lit(3))))
+
+
 def admitted_after_answer(m: Column, p: Column, n: Column) -> Column:
     """Stricter admission in the retry after an answer without information."""
     return (m >= required(n)) & ((p > 0) | (m >= F.least(F.greatest(required(n) + 1, n), F.lit(3))))

@@ -36,10 +36,11 @@ def applied(chunks: DataFrame, steps: DataFrame, new_chunks: DataFrame) -> DataF
     return chunks.join(gone, "source", "left_anti").unionByName(new_chunks, allowMissingColumns=True)
 
 
-def notice(steps: DataFrame) -> DataFrame:
-    """One JSON payload with what was processed and removed; no row if nothing changed."""
+def notice(steps: DataFrame, most: int = 1000) -> DataFrame:
+    """JSON payloads with what was processed and removed, of about ``most`` sources each; no row if nothing changed."""
     name = F.element_at(F.split("source", "/"), -1)
     item = F.struct(name.alias("nombre"), F.col("source").alias("ruta"))
     of = lambda *states: F.array_sort(F.collect_list(F.when(F.col("state").isin(*states), item)))
-    lists = steps.agg(of("nuevo", "modificado").alias("procesados"), of("eliminado").alias("eliminados"))
+    block = F.pmod(F.xxhash64("source"), F.lit(max(1, -(-steps.count() // most))))
+    lists = steps.groupBy(block).agg(of("nuevo", "modificado").alias("procesados"), of("eliminado").alias("eliminados"))
     return lists.filter("size(procesados) + size(eliminados) > 0").select(F.to_json(F.struct("procesados", "eliminados")).alias("payload"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from lodeleaf.config import KeywordConfig
 from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import paths as ps
 from lodeleaf.functions import text as tx
+from lodeleaf.plans.tables import CONFIG
 
-CONFIG = KeywordConfig()
 WORDS = r"[\p{L}\p{N}_]"
 
 
@@ -40,6 +39,10 @@ CODE = text(r"(?i)\b[a-z0-9]{2,}(?:-[a-z0-9]{1,})+\b")
 CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, text, lang || '/' || source || '/doc' || (doc_id % 10) || '.md' AS source, sha1(text) AS source_hash FROM documents)"
 INDEXED = CHUNKS + ", indexed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_id) - 1 AS chunk_index FROM chunks)"
 ASKED = "asked AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user' AND conv_id % 50 = 0)"
+FIRST_WORDS = "list_concat(regexp_extract_all(lower(text), '[a-z]{4,}'), ['texto', 'texto', 'texto', 'texto', 'texto'])"
+NAMED_CHUNKS = f"""first_words AS (SELECT *, {FIRST_WORDS} AS w FROM documents),
+chunks AS (SELECT doc_id AS chunk_id, text || chr(10) || w[4] || '-' || w[5] AS text, lang || '/' || source || '/' || upper(w[1][1]) || w[1][2:] || upper(w[2][1]) || w[2][2:] || '-' || w[3] || '.md' AS source FROM first_words)"""
+NAMED_ASKED = "asked AS (SELECT doc_id AS qid, w[1] || ' ' || w[2] || ' ' || w[3] || 's ' || source || ' ' || w[4] || '-' || w[5] AS question FROM first_words WHERE doc_id % 50 = 0)"
 TURNS = "asked AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
 
 
@@ -96,6 +99,7 @@ both_ways AS (SELECT qid, pos + 1000 AS pos, unnest([a || b, b || a]) AS form FR
 exact AS (SELECT qid, token, min(pos * 1000000 + ascii(form)) AS o, min({{'p': pos, 'f': form}}) AS best FROM (FROM own UNION ALL FROM single UNION ALL SELECT qid, pos, form, form FROM both_ways JOIN tokens ON form = token) GROUP BY qid, token),
 first12 AS (SELECT qid, token FROM exact QUALIFY row_number() OVER (PARTITION BY qid ORDER BY best, token) <= 12),
 named AS (SELECT qid, token FROM first12 UNION SELECT DISTINCT qid, token FROM every_form JOIN tokens ON prefix(token, form) AND length(form) >= 5)"""
+by_name = lambda sql: sql.replace(CHUNKS, NAMED_CHUNKS).replace(ASKED, NAMED_ASKED)
 DISTINCT_WORDS = f"words AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '{WORDS}+')) AS word FROM documents)"
 VECTORS = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id % 50 = 0)"
 
@@ -159,16 +163,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '/+', '/', 'g'), '/') AS path FROM pages)""",
     "folder_tree": f"""WITH {CHUNKS}, s AS (SELECT DISTINCT string_split(source, '/') AS parts FROM chunks), p AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS path FROM s, range(1, 20) r(i) WHERE i < len(parts))
         SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS parent, regexp_extract(path, '[^/]*$') AS name, len(string_split(path, '/')) AS depth FROM p""",
-    "path_token_match": f"WITH {FEATURES}, {NAMED} SELECT qid, token FROM named",
-    "priority_search": f"""WITH {MATCHES}, {TOKENS}, w AS (SELECT DISTINCT qid, unnest(forms) AS token FROM forms WHERE priority), s AS (SELECT DISTINCT qid, source FROM w JOIN token_index USING (token))
-        SELECT qid, chunk_id FROM s JOIN matches USING (qid, source) QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY p DESC, m DESC, m / greatest(useful_chars, 1) DESC, chunk_id) <= 2""",
-    "source_augment": f"""WITH {MATCHES}, {NAMED}, s AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, source) AS i FROM named JOIN token_index USING (token) GROUP BY qid, source QUALIFY i <= 12),
+    "path_token_match": by_name(f"WITH {FEATURES}, {NAMED} SELECT qid, token FROM named"),
+    "priority_search": by_name(f"""WITH {MATCHES}, {TOKENS}, w AS (SELECT DISTINCT qid, unnest(forms) AS token FROM forms WHERE priority), s AS (SELECT DISTINCT qid, source FROM w JOIN token_index USING (token))
+        SELECT qid, chunk_id FROM s JOIN matches USING (qid, source) QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY p DESC, m DESC, m / greatest(useful_chars, 1) DESC, chunk_id) <= 2"""),
+    "source_augment": by_name(f"""WITH {MATCHES}, {NAMED}, s AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, source) AS i FROM named JOIN token_index USING (token) GROUP BY qid, source QUALIFY i <= 12),
         r AS (SELECT *, substr(text, 1, 100) AS head FROM s JOIN matches USING (qid, source) JOIN n USING (qid) WHERE NOT (m < greatest(1, CASE WHEN n <= 1 THEN 0 ELSE 1 END) AND p = 0)),
         b AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY p DESC, m DESC, m / greatest(useful_chars, 1) DESC, chunk_id) AS j FROM r QUALIFY j <= 2),
         c AS (SELECT *, min(i) OVER (PARTITION BY qid, head) AS first FROM b QUALIFY i = first)
-        SELECT qid, chunk_id FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i, j) <= 12""",
-    "compound_search": f"""WITH {CHUNKS}, c AS (SELECT DISTINCT item_id AS qid, lower(unnest(regexp_extract_all(text, {CODE}))) AS term FROM benchmark)
-        SELECT DISTINCT qid, chunk_id FROM (SELECT qid, chunk_id FROM c JOIN chunks ON contains(lower(text), term) QUALIFY row_number() OVER (PARTITION BY qid, term ORDER BY chunk_id) <= 12)""",
+        SELECT qid, chunk_id FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i, j) <= 12"""),
+    "compound_search": by_name(f"""WITH {CHUNKS}, {ASKED}, c AS (SELECT DISTINCT qid, lower(unnest(regexp_extract_all(question, {CODE}))) AS term FROM asked)
+        SELECT DISTINCT qid, chunk_id FROM (SELECT qid, chunk_id FROM c JOIN chunks ON contains(lower(text), term) QUALIFY row_number() OVER (PARTITION BY qid, term ORDER BY chunk_id) <= 12)"""),
     "literal_search": f"""WITH {FEATURES}, h AS (SELECT qid, pos, chunk_id FROM kw_rows JOIN chunks ON length(keyword) >= 4 AND contains(lower(text), keyword) QUALIFY row_number() OVER (PARTITION BY qid, pos ORDER BY chunk_id) <= 10),
         g AS (SELECT qid, chunk_id, min(pos) AS pos FROM h GROUP BY qid, chunk_id) SELECT qid, chunk_id FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos, chunk_id) <= 20""",
     "vector_topk": f"WITH {VECTORS}, {nearest('SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS vec FROM embeddings', 20)} SELECT qid, chunk_id, rank, round(dist, 6) AS dist FROM near",
@@ -180,6 +184,7 @@ ORACLE_SQL: dict[str, str] = {
     "near_dup_pairs": f"""WITH s AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(text), '{WORDS}{{3,}}'))) AS t, min(doc_id) AS id FROM documents GROUP BY 1),
         w AS (SELECT id, len(t) AS n, unnest(t) AS w FROM s), c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2)
         SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k / (na + nb - k) > 0.6""",
+    "near_dup_members": f"SELECT doc_id AS chunk_id, min(doc_id) OVER (PARTITION BY list_sort(list_distinct(regexp_extract_all(lower(text), '{WORDS}{{3,}}')))) AS id FROM documents",
     "context_concat": f"WITH {INDEXED}, c AS (SELECT source, chunk_index, {CLEANED} AS text FROM indexed) SELECT source, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) FILTER (text <> ''), '')) AS context_md5 FROM c GROUP BY source",
     "conversation_block": f"""WITH r AS (SELECT conv_id, turn, upper(CASE lower(trim(role)) WHEN 'assistant' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'user' END) AS role, {trimmed("coalesce(text, '')")} AS text FROM conversations),
         b AS (SELECT conv_id, right(string_agg(role || ': ' || text, chr(10) ORDER BY turn), 4000) AS block FROM r WHERE text <> '' GROUP BY conv_id) SELECT conv_id, md5(block) AS block_md5, length(block) AS chars FROM b""",
@@ -191,7 +196,7 @@ ORACLE_SQL: dict[str, str] = {
     "force_reindex": f"WITH {CHUNKS} SELECT source, count(*) AS chunks FROM chunks WHERE contains(lower(source), 'en/src3') OR contains(lower(source), 'doc7') GROUP BY source",
     "sync_plan": f"WITH {SNAPSHOTS} SELECT source, state FROM plan",
     "sync_apply": f"WITH {SNAPSHOTS} SELECT source, source_hash FROM idx WHERE source NOT IN (SELECT source FROM plan WHERE state <> 'nuevo') UNION ALL SELECT source, source_hash FROM disk WHERE source IN (SELECT source FROM plan WHERE state IN ('nuevo', 'modificado'))",
-    "sync_notice": f"WITH {SNAPSHOTS} SELECT state, count(*) AS n FROM plan GROUP BY state",
+    "sync_notice": f"WITH {SNAPSHOTS} SELECT CASE WHEN state = 'eliminado' THEN 'eliminados' ELSE 'procesados' END AS list, regexp_extract(source, '[^/]*$') AS nombre, source AS ruta FROM plan WHERE state <> 'oculto'",
     "image_cache_keys": "SELECT page_id, sha256(url || '.PNG?size=1') || CASE WHEN contains(regexp_replace(url, '[?#].*$', ''), url) THEN '.png' ELSE coalesce(CASE WHEN length(e) <= 6 THEN e END, '') END AS key FROM (SELECT *, lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '(\\.[^.]*)$')) AS e FROM pages)",
     "numbered_questions": "SELECT trim(text) AS question FROM benchmark WHERE trim(text) <> ''",
 }

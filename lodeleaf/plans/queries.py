@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodeleaf.config import KeywordConfig, Settings
+from lodeleaf.config import Settings
 from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import paths as ps
 from lodeleaf.functions import tables as tb
@@ -18,8 +18,9 @@ from lodeleaf.operators.vector import top_k
 from lodeleaf.plans import retrieval
 from lodeleaf.plans import tables as t
 from lodeleaf.sources import chunking, files, html
+from lodeleaf.sources.scratch import stored
 
-CONFIG, SETTINGS = KeywordConfig(), Settings()
+CONFIG, SETTINGS = t.CONFIG, Settings()
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -171,10 +172,19 @@ def question_features(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.features(t.questions(spark, d), CONFIG, SETTINGS)
 
 
+def found_in(f: DataFrame, chunks: DataFrame) -> DataFrame:
+    return retrieval.matches(f, retrieval.form_hits([f], chunks))
+
+
+def named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Features of questions that name paths and codes, and the chunks that have them."""
+    return retrieval.features(t.named_questions(spark, d), CONFIG, SETTINGS), t.named_chunks(spark, d)
+
+
 @query
 def chunk_matches(spark: SparkSession, d: str) -> DataFrame:
     """Keywords met in text and path, their quality and priority, for every question and chunk with any."""
-    found = retrieval.matches(question_features(spark, d), t.chunks(spark, d))
+    found = found_in(question_features(spark, d), t.chunks(spark, d))
     return found.select("qid", "chunk_id", F.col("m").cast("long").alias("m"), F.col("p").cast("long").alias("p"), "quality", F.col("priority").cast("long").alias("priority"))
 
 
@@ -182,7 +192,7 @@ def chunk_matches(spark: SparkSession, d: str) -> DataFrame:
 def strong_and_score(spark: SparkSession, d: str) -> DataFrame:
     """Strength by both rules and the score, with the order of ids as rank."""
     f = question_features(spark, d)
-    rows = retrieval.matches(f, t.chunks(spark, d)).join(F.broadcast(f.select("qid", "n_keywords")), "qid")
+    rows = found_in(f, t.chunks(spark, d)).join(F.broadcast(f.select("qid", "n_keywords")), "qid")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")) - 1)
     m, p, n = F.col("m"), F.col("p"), F.col("n_keywords")
     score = rank.score(m, p, F.col("useful"), F.col("quality"), F.col("priority"), F.col("rank"))
@@ -193,7 +203,7 @@ def ranked_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     """(features, candidates): every matched chunk as a candidate, by id."""
     f = question_features(spark, d)
     chunks = t.chunks(spark, d)
-    found = retrieval.matches(f, chunks)
+    found = stored(found_in(f, chunks))
     picked = found.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")) - 1).alias("rank"))
     return f, retrieval.scored(f, picked, chunks, found)
 
@@ -245,38 +255,37 @@ def folder_tree(spark: SparkSession, d: str) -> DataFrame:
 @query
 def path_token_match(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the whole path index that a question names."""
-    f = question_features(spark, d)
-    return augment.matched_tokens(f, augment.token_index(t.chunks(spark, d)))
+    f, chunks = named(spark, d)
+    return augment.matched_tokens(f, augment.token_index(chunks))
 
 
 @query
 def source_augment(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by path for questions that have no candidates yet."""
-    f, chunks = question_features(spark, d), t.chunks(spark, d)
-    found = retrieval.matches(f, chunks)
-    return augment.by_path(f, chunks, found, found.select("qid", "chunk_id").limit(0), SETTINGS)
+    f, chunks = named(spark, d)
+    found = stored(found_in(f, chunks))
+    return augment.by_path(f, chunks, found, found.select("qid", "chunk_id").limit(0), SETTINGS).select("qid", "chunk_id")
 
 
 @query
 def priority_search(spark: SparkSession, d: str) -> DataFrame:
-    f, chunks = question_features(spark, d), t.chunks(spark, d)
-    found = retrieval.matches(f, chunks)
-    return augment.by_priority(f, chunks, found, found.select("qid", "chunk_id").limit(0))
+    f, chunks = named(spark, d)
+    found = stored(found_in(f, chunks))
+    return augment.by_priority(f, chunks, found, found.select("qid", "chunk_id").limit(0)).select("qid", "chunk_id")
 
 
 @query
 def compound_search(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that hold a code of a benchmark text. A top-k report: the first of each code."""
-    rows = t.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(F.transform(tx.compound_codes(F.col("text")), F.lower)).alias("codes"))
-    chunks = t.chunks(spark, d)
-    return augment.by_code(rows, chunks, chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0), SETTINGS.code_chunks)
+    """Chunks that hold a code of a question. A top-k report: the first of each code."""
+    f, chunks = named(spark, d)
+    return augment.by_code(f, chunks, chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0), SETTINGS.code_chunks).select("qid", "chunk_id")
 
 
 @query
 def literal_search(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that hold a keyword literally. A top-k report."""
     f, chunks = question_features(spark, d), t.chunks(spark, d)
-    return augment.by_literal(f, chunks, chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0))
+    return augment.by_literal(f, chunks, chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0)).select("qid", "chunk_id")
 
 
 # ---------------------------------------------------------------- vectors
@@ -313,6 +322,12 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs.similar_sets(t.chunks(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def near_dup_members(spark: SparkSession, d: str) -> DataFrame:
+    """The first chunk of an equal token set, for every chunk: what the pairs of near_dup_pairs stand for."""
+    return near_pairs.members(t.chunks(spark, d))
+
+
 # ---------------------------------------------------------------- contexts
 
 
@@ -393,9 +408,12 @@ def sync_apply(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sync_notice(spark: SparkSession, d: str) -> DataFrame:
-    """The plan's states with their number, and the size of the payload's lists."""
-    steps = sync.plan(*snapshots(spark, d))
-    return steps.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """Sources that the payloads of the notice name, by list, read back from them."""
+    payloads = sync.notice(sync.plan(*snapshots(spark, d)))
+    item = "array<struct<nombre:string,ruta:string>>"
+    lists = payloads.select(F.from_json("payload", f"procesados {item}, eliminados {item}").alias("p"))
+    rows = lists.select(F.explode(F.map_from_arrays(F.array(F.lit("procesados"), F.lit("eliminados")), F.array("p.procesados", "p.eliminados"))).alias("list", "items"))
+    return rows.select("list", F.explode("items").alias("i")).select("list", "i.nombre", "i.ruta")
 
 
 # ---------------------------------------------------------------- readers

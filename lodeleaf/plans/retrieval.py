@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from lodeleaf.config import KeywordConfig, Settings
 from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, rank
-from lodeleaf.operators.context import contexts, source_lists
+from lodeleaf.operators.context import contexts, conversation_text, source_lists
+from lodeleaf.operators.terms import occurrences
 from lodeleaf.operators.vector import top_k
 from lodeleaf.sources.scratch import stored
 
@@ -28,41 +30,69 @@ def features(questions: DataFrame, config: KeywordConfig, settings: Settings, by
     return f.withColumn("lists_documents", tx.asks_for_documents(F.col("question"))).withColumn("greeting", tx.greeting(F.col("question"), settings.greeting_length))
 
 
-def matches(f: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, chunk_id) with any keyword match: m in the text, p in the path, quality, priority, useful, useful_chars.
-
-    Chunks are normalised once, then met by the broadcast questions: a stated query set against all rows.
-    """
+def form_hits(features: list[DataFrame], chunks: DataFrame) -> DataFrame:
+    """(chunk_id, useful, useful_chars, term, place): the forms of all keywords that a chunk's text or path holds, in one pass over the chunks."""
     text = F.col("text")
-    rows = chunks.select("chunk_id", kw.searchable(text).alias("low"), tx.normalised(F.col("source")).alias("path"), tx.useful_ratio(text).alias("useful"), F.length(tx.strip(tx.without_images(F.coalesce(text, F.lit(""))))).alias("useful_chars"))
-    pairs = rows.join(F.broadcast(f.select("qid", "forms").filter(F.size("forms") > 0)), F.lit(True))
-    low, path, forms = F.col("low"), F.col("path"), F.col("forms")
-    met = pairs.filter(F.exists(forms, lambda k: kw.holds(low, k["forms"]) | kw.holds(path, k["forms"])))
-    return met.select("qid", "chunk_id", kw.match_count(low, forms).alias("m"), kw.match_count(path, forms).alias("p"), kw.match_quality(low, forms).alias("quality"), kw.priority_count(path, forms).alias("priority"), "useful", "useful_chars")
+    useful_chars = F.length(tx.strip(tx.without_images(F.coalesce(text, F.lit("")))))
+    rows = chunks.select("chunk_id", tx.useful_ratio(text).alias("useful"), useful_chars.alias("useful_chars"), kw.searchable(text).alias("text"), tx.normalised(F.col("source")).alias("path"))
+    forms = [augment.exploded_forms(f).select(F.col("form").alias("term")) for f in features]
+    return stored(occurrences(rows, ["text", "path"], reduce(DataFrame.unionByName, forms)))
 
 
-def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataFrame, found: DataFrame, settings: Settings, scope: Column | None = None) -> DataFrame:
+def matches(f: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, chunk_id) with any keyword match: m in the text, p in the path, quality, priority, useful, useful_chars.
+
+    Questions meet form_hits() by an equi-join on the form.
+    """
+    k = f.select("qid", F.posexplode("forms").alias("pos", "k")).select("qid", "pos", "k.priority", "k.core", F.explode("k.forms").alias("term"))
+    k = k.select("qid", "pos", "priority", F.array_contains("core", F.col("term")).alias("core"), "term").distinct()
+    inside = F.col("place") == "text"
+    met = hits.join(k, "term").groupBy("qid", "chunk_id", "pos").agg(
+        F.bool_or(inside).alias("t"), F.bool_or(~inside).alias("p"), F.bool_or(inside & F.col("core")).alias("c"), F.bool_or(~inside & F.col("priority")).alias("priority"),
+        F.first("useful").alias("useful"), F.first("useful_chars").alias("useful_chars"),
+    )
+    number = lambda c: F.count_if(c).cast("int")
+    return met.groupBy("qid", "chunk_id").agg(
+        number("t").alias("m"), number("p").alias("p"), F.sum(F.when(F.col("c"), 1.0).when(F.col("t"), 0.5).otherwise(0.0)).alias("quality"), number("priority").alias("priority"),
+        F.first("useful").alias("useful"), F.first("useful_chars").alias("useful_chars"),
+    )
+
+
+def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataFrame, found: DataFrame, settings: Settings, scope: Column | None = None, after_answer: bool = False) -> DataFrame:
     """(qid, chunk_id, rank, phase): vector search, widened where few strong sources are met, then paths, codes and priority words.
 
-    A later phase sees what earlier ones found; its ranks go on from their number.
+    qvecs(qid, qvec, raw): raw is the vector of the question as it was asked, which the wider search uses.
+    A later phase sees what earlier ones found; its ranks go on from their number, in the order it finds them.
+    after_answer: the stricter rules of the search after an answer without information.
     """
     info = found.select("qid", "chunk_id", "m", "p")
     need = f.select("qid", "n_keywords", "required")
     rows = vectors if scope is None else vectors.join(chunks.filter(scope).select("chunk_id"), "chunk_id", "left_semi")
-    near = top_k(qvecs.join(f.select("qid"), "qid", "left_semi"), rows, settings.wide_k).select("qid", "chunk_id", "rank")
-    near = stored(near.join(info, ["qid", "chunk_id"], "left").fillna(0, ["m", "p"]).join(need, "qid").join(chunks.select("chunk_id", "source"), "chunk_id"))
-    first = near.filter(F.col("rank") < settings.k)
-    strong = rank.is_strong(F.col("m"), F.col("p"), F.col("n_keywords"))
-    met = first.groupBy("qid").agg(F.count_distinct(F.when(strong, F.col("source"))).alias("strong"), F.first("n_keywords").alias("n"))
-    few = met.filter(F.col("strong") < F.least(F.lit(settings.strong_sources), F.col("n"))).select("qid")
-    wide = near.filter((F.col("rank") >= settings.k) & (F.col("m") + F.col("p") >= F.col("required")) & ~((F.col("p") == 0) & (F.col("m") < F.least("n_keywords", F.lit(3)))))
-    wide = wide.join(few, "qid", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter(F.col("i") <= settings.wide_appended)
-    out = stored(first.select("qid", "chunk_id", "rank", F.lit("vector").alias("phase")).unionByName(wide.select("qid", "chunk_id", "rank", F.lit("wide").alias("phase"))))
+    asking = qvecs.join(f.select("qid"), "qid", "left_semi")
+
+    def nearest(queries: DataFrame, k: int) -> DataFrame:
+        near = top_k(queries, rows, k).select("qid", "chunk_id", "rank")
+        return stored(near.join(info, ["qid", "chunk_id"], "left").fillna(0, ["m", "p"]).join(need, "qid").join(chunks.select("chunk_id", "source"), "chunk_id"))
+
+    first = nearest(asking.select("qid", "qvec"), settings.k)
+    m, p, n = F.col("m"), F.col("p"), F.col("n_keywords")
+    enough = F.count_if(m >= F.col("required")) if after_answer else F.count_distinct(F.when(rank.is_strong(m, p, n), F.col("source")))
+    met = asking.join(first, "qid", "left").groupBy("qid").agg(enough.alias("strong"), F.max("n_keywords").alias("n"))
+    few = stored(met.filter(F.col("strong") < F.least(F.lit(settings.strong_sources), F.coalesce("n", F.lit(1)))).select("qid"))
+    out = first.select("qid", "chunk_id", "rank", F.lit("vector").alias("phase"))
+    if not few.isEmpty():
+        wide = nearest(asking.join(few, "qid", "left_semi").select("qid", F.coalesce("raw", "qvec").alias("qvec")), settings.wide_k)
+        wide = wide.filter(rank.admitted_after_answer(m, p, n) if after_answer else rank.admitted(m, p, n)).join(out.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+        wide = wide.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter(F.col("i") <= settings.wide_appended)
+        had = out.groupBy("qid").agg(F.count(F.lit(1)).alias("had"))
+        wide = wide.join(had, "qid", "left").withColumn("rank", (F.coalesce("had", F.lit(0)) + F.col("rank")).cast("int"))
+        out = out.unionByName(wide.select("qid", "chunk_id", "rank", F.lit("wide").alias("phase")))
+    out = stored(out)
 
     def added(now: DataFrame, new: DataFrame, phase: str) -> DataFrame:
         base = now.groupBy("qid").agg(F.count(F.lit(1)).alias("base"))
         fresh = new.join(now.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").join(base, "qid", "left").fillna(0, ["base"])
-        order = Window.partitionBy("qid").orderBy("chunk_id")
+        order = Window.partitionBy("qid").orderBy("place", "chunk_id")
         return stored(now.unionByName(fresh.select("qid", "chunk_id", (F.col("base") + F.row_number().over(order) - 1).cast("int").alias("rank"), F.lit(phase).alias("phase"))))
 
     pool = chunks if scope is None else chunks.filter(scope)
@@ -71,11 +101,11 @@ def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataF
     return added(out, augment.by_priority(f, pool, found, out.select("qid", "chunk_id"), settings.path_chunks_per_source), "priority")
 
 
-def scored(f: DataFrame, picked: DataFrame, chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates with text, matches and score; questions none of whose candidates match lose them all."""
+def scored(f: DataFrame, picked: DataFrame, chunks: DataFrame, found: DataFrame, guard: bool = True) -> DataFrame:
+    """Candidates with text, matches and score; with guard, questions none of whose candidates match lose them all."""
     rows = picked.join(found, ["qid", "chunk_id"], "left").join(chunks.select("chunk_id", "source", "text", "source_hash"), "chunk_id").join(f.select("qid", "n_keywords"), "qid")
     rows = rows.fillna(0, ["m", "p", "priority"]).fillna(0.0, ["quality"]).withColumn("useful", F.coalesce("useful", tx.useful_ratio(F.col("text"))))
-    rows = rows.withColumn("any", F.max(F.col("m") + F.col("p")).over(Window.partitionBy("qid"))).filter((F.col("n_keywords") == 0) | (F.col("any") > 0)).drop("any")
+    rows = rows.withColumn("any", F.max(F.col("m") + F.col("p")).over(Window.partitionBy("qid"))).filter((F.col("n_keywords") == 0) | (F.col("any") > 0) | F.lit(not guard)).drop("any")
     return rows.withColumn("score", rank.score(F.col("m"), F.col("p"), F.col("useful"), F.col("quality"), F.col("priority"), F.col("rank")))
 
 
@@ -85,45 +115,73 @@ def first_sentences(prompt: Column) -> Column:
     return F.regexp_extract(context, r"(?s)^(.{0,300}?(?:[.!?](?=\s|$)|$))", 1)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, config: KeywordConfig | None = None, settings: Settings | None = None, scope: Column | None = None, generator: Callable[[Column], Column] = first_sentences) -> DataFrame:
+def retrieve(
+    questions: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    config: KeywordConfig | None = None,
+    settings: Settings | None = None,
+    scope: Column | None = None,
+    generator: Callable[[Column], Column] = first_sentences,
+    embedder: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """questions(qid, question, qvec), chunks(chunk_id, source, source_hash, text), vectors(chunk_id, vec) to one answer a question.
 
     Greetings are answered without a search. Questions whose keywords are hardly covered are tried again with keywords
     in their order of appearance, and keep that result if more chunks qualify. Questions left without context get a literal search.
+    Questions whose answer says that there is no information, and that were not tried again yet, are searched once more with
+    keywords in their order and stricter rules; an answer with information then replaces the first.
+    With an embedder the vectors of expanded and raw questions are made here; else qvec serves, and raw_qvec if there is one.
+    questions may bring conversation: array of (role, text), earlier turns for the prompt.
     """
     config, settings = config or KeywordConfig(), settings or Settings()
-    qvecs = questions.select("qid", "qvec")
+    text = F.col("question")
+    qvecs = questions.select("qid", (embedder(kw.expanded(text)) if embedder else F.col("qvec")).alias("qvec"), (embedder(text) if embedder else F.col("raw_qvec" if "raw_qvec" in questions.columns else "qvec")).alias("raw"))
+    talk = conversation_text(F.col("conversation"), text, settings.conversation_chars) if "conversation" in questions.columns else F.lit("")
+    f = stored(features(questions.select("qid", "question", talk.alias("talk")), config, settings))
+    asked = f.filter("greeting is null")
+    in_order = features(asked.select("qid", "question", "talk", F.col("keywords").alias("had")), config, settings, by_length=False)
+    in_order = stored(in_order.filter(~F.array_sort("keywords").eqNullSafe(F.array_sort("had"))).drop("had"))
+    hits = form_hits([asked, in_order], chunks)
 
-    def attempt(f: DataFrame) -> DataFrame:
-        found = stored(matches(f, chunks))
-        return stored(scored(f, candidates(f, qvecs, chunks, vectors, found, settings, scope), chunks, found))
+    def attempt(own: DataFrame, after_answer: bool = False) -> DataFrame:
+        found = stored(matches(own, hits))
+        return stored(scored(own, candidates(own, qvecs, chunks, vectors, found, settings, scope, after_answer), chunks, found, guard=not after_answer))
+
+    def selected(r: DataFrame) -> DataFrame:
+        return stored(rank.prioritised(r, settings.context_chunks, settings.duplicate_above).join(r.select("qid", "chunk_id", "source", "text"), ["qid", "chunk_id"]))
+
+    def answered(own: DataFrame, best: DataFrame, context: DataFrame) -> DataFrame:
+        out = own.join(context, "qid", "left").join(source_lists(best, own), "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
+        said = generator(tx.prompt(SYSTEM, F.col("context"), F.col("talk"), F.col("question")))
+        answer = F.when(F.col("greeting").isNotNull(), F.lit("")).when(F.col("context") == "", NOT_FOUND).otherwise(said)
+        out = out.withColumn("answer", answer).withColumn("asks", tx.clarification(F.col("answer")))
+        return stored(out.select("qid", "question", "greeting", "keywords", "sources", "context", F.col("asks.text").alias("answer"), F.col("asks.asks").alias("needs_clarification"), ((F.col("context") != "") & tx.answer_found(F.col("answer"))).alias("found")))
 
-    f = stored(features(questions.select("qid", "question"), config, settings))
-    asked = f.filter("greeting is null")
     rows = attempt(asked)
     poor = augment.coverage(asked, rows).filter((F.col("n_keywords") >= 4) & (F.col("covered") / F.col("n_keywords") < 0.5)).select("qid")
-    again = features(questions.select("qid", "question").join(poor, "qid", "left_semi"), config, settings, by_length=False)
-    again = again.join(f.select("qid", F.col("keywords").alias("had")), "qid").filter(~F.array_sort("keywords").eqNullSafe(F.array_sort("had"))).drop("had")
-    again = stored(again)
+    again = stored(in_order.join(poor, "qid", "left_semi"))
     if not again.isEmpty():
         second = attempt(again)
         qualified = lambda r, name: r.filter(F.col("m") >= rank.required(F.col("n_keywords"))).groupBy("qid").agg(F.count(F.lit(1)).alias(name))
         better = qualified(second, "new").join(qualified(rows, "old"), "qid", "left").filter(F.col("new") > F.coalesce("old", F.lit(0))).select("qid")
+        better = stored(better)
         rows = stored(rows.join(better, "qid", "left_anti").unionByName(second.join(better, "qid", "left_semi")))
-
-    def selected(r: DataFrame) -> DataFrame:
-        return rank.prioritised(r, settings.context_chunks, settings.duplicate_above).join(r.select("qid", "chunk_id", "source", "text"), ["qid", "chunk_id"])
-
-    best = stored(selected(rows))
+        f = stored(f.join(better, "qid", "left_anti").unionByName(again.join(better, "qid", "left_semi")))
+        asked = f.filter("greeting is null")
+    best = selected(rows)
     context = contexts(best)
     empty = stored(asked.join(context.filter("context <> ''"), "qid", "left_anti"))
     if not empty.isEmpty():
         literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total)
-        literal = literal.select("qid", "chunk_id", F.lit(0).alias("rank"), F.lit("literal").alias("phase"))
-        last = stored(selected(stored(scored(empty, literal, chunks, matches(empty, chunks)))))
+        literal = literal.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("place")) - 1).alias("rank"), F.lit("literal").alias("phase"))
+        last = selected(stored(scored(empty, literal, chunks, matches(empty, hits))))
         best, context = best.unionByName(last), context.unionByName(contexts(last)).groupBy("qid").agg(F.max("context").alias("context"))
-    out = f.join(context, "qid", "left").join(source_lists(best, f), "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    said = generator(tx.prompt(SYSTEM, F.col("context"), F.lit(""), F.col("question")))
-    answer = F.when(F.col("greeting").isNotNull(), F.lit("")).when(F.col("context") == "", NOT_FOUND).otherwise(said)
-    out = out.withColumn("answer", answer).withColumn("asks", tx.clarification(F.col("answer")))
-    return out.select("qid", "question", "greeting", F.array_join("keywords", " ").alias("keywords"), F.coalesce(F.array_join("sources", "\n"), F.lit("")).alias("sources"), "context", F.col("asks.text").alias("answer"), F.col("asks.asks").alias("needs_clarification"), ((F.col("context") != "") & tx.answer_found(F.col("answer"))).alias("found"))
+    out = answered(f, best, context)
+    # After an answer without information; what has been tried in this order already is not tried again.
+    left = stored(in_order.join(out.filter(~F.col("found") & F.col("greeting").isNull()), "qid", "left_semi").join(again.select("qid"), "qid", "left_anti").filter("n_keywords > 0"))
+    if not left.isEmpty():
+        best = selected(attempt(left, after_answer=True))
+        new = answered(left, best, contexts(best)).filter("found")
+        out = out.join(new.select("qid"), "qid", "left_anti").unionByName(new)
+    return out.select("qid", "question", "greeting", F.array_join("keywords", " ").alias("keywords"), F.coalesce(F.array_join("sources", "\n"), F.lit("")).alias("sources"), "context", "answer", "needs_clarification", "found")

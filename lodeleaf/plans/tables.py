@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodeleaf.config import KeywordConfig
+
 #: Search queries are the rows whose id is divisible by this.
 QUERY_EVERY = 50
 
 
+#: Words that occur in the tables, so that synonyms and priority words are met.
+CONFIG = KeywordConfig(synonyms={"disco": ("unidad", "drive"), "tion": ("ment", "heit"), "ando": ("iendo",), "quement": ("mente", "lich")}, priority=("clon", "src0", "src7"))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,6 +26,27 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", source.alias("source"), F.sha1("text").alias("source_hash"))
 
 
+def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with w, their first words of four letters or more, filled up to five."""
+    found = F.slice(F.concat(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), F.array_repeat(F.lit("texto"), 5)), 1, 5)
+    return read(spark, sf_dir, "documents").withColumn("w", F.coalesce(found, F.array_repeat(F.lit("texto"), 5)))
+
+
+def named_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks whose paths are made of their first words, with a code at the end."""
+    head = lambda i: F.concat(F.upper(F.col("w")[i].substr(1, 1)), F.col("w")[i].substr(2, 1000))
+    source = F.concat("lang", F.lit("/"), "source", F.lit("/"), head(0), head(1), F.lit("-"), F.col("w")[2], F.lit(".md"))
+    text = F.concat("text", F.lit("\n"), F.col("w")[3], F.lit("-"), F.col("w")[4])
+    return first_words(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), text.alias("text"), source.alias("source"), F.sha1(text).alias("source_hash"))
+
+
+def named_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question for the documents of the query set: words of its path, one in the plural, its site and its code."""
+    w = F.col("w")
+    question = F.concat(w[0], F.lit(" "), w[1], F.lit(" "), w[2], F.lit("s "), "source", F.lit(" "), w[3], F.lit("-"), w[4])
+    return first_words(spark, sf_dir).filter(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("doc_id").alias("qid"), question.alias("question"))
+
+
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the position in the source."""
     own = Window.partitionBy("source").orderBy("chunk_id")
