@@ -12,6 +12,9 @@ from lodeleaf.sources.scratch import stored
 # Weights of the score.
 PATH, MATCH, DENSITY, QUALITY, PRIORITY, NO_PATH = 5000, 1000, 500, 1500, 6000, 2000
 
+#: Candidates of a question that are compared in one round.
+ROUND = 32
+
 
 def required(n: Column) -> Column:
     """Matches that a strong candidate needs, from the number of keywords."""
@@ -46,35 +49,36 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def prioritised(candidates: DataFrame, limit: int = 5, above: float = 0.6) -> DataFrame:
+def prioritised(candidates: DataFrame, limit: int = 5, above: float = 0.6, texts: DataFrame | None = None) -> DataFrame:
     """candidates(qid, chunk_id, text, m, p, n_keywords, score, rank) to the selected chunks of each question, place from 0.
 
     Strong ones first by score, then rank; weak ones only where fewer strong ones than the limit exist. A chunk whose
     tokens overlap a selected one by more than ``above`` is passed over. Without keywords the rank alone decides.
-    A question may have any number of candidates: each of ``limit`` rounds takes the first of those after the last one
-    taken that are no twins of the chosen, which are at most ``limit`` rows a question.
+    A question may have any number of candidates: each round takes the next ROUND of those questions that still lack
+    some, so that a row holds so many token sets at most. texts(chunk_id, text) serves instead of the candidates' text.
     """
     strong = is_strong(F.col("m"), F.col("p"), F.col("n_keywords"))
     c = candidates.withColumn("strong", strong)
-    c = c.join(c.groupBy("qid").agg(F.sum(F.col("strong").cast("int")).alias("n_strong")), "qid")
+    c = c.withColumn("n_strong", F.sum(F.col("strong").cast("int")).over(Window.partitionBy("qid")))
     c = c.filter((F.col("n_keywords") == 0) | F.col("strong") | (F.col("n_strong") < limit))
     key = F.struct(
         F.when(F.col("n_keywords") == 0, 0).when(F.col("strong"), 0).otherwise(1).alias("weak"),
         F.when(F.col("n_keywords") == 0, F.lit(0.0)).otherwise(-F.col("score")).alias("s"),
         "rank", "chunk_id",
     )
-    tokens = F.when(F.col("n_keywords") == 0, F.array().cast("array<string>")).otherwise(token_set(F.coalesce("text", F.lit(""))))
-    rows = stored(c.select("qid", key.alias("key"), tokens.alias("t")))
-    chosen = None
-    for place in range(limit):
-        left = rows
-        if chosen is not None:
-            so_far = chosen.groupBy("qid").agg(F.max("key").alias("last"), F.collect_list("t").alias("done"), F.count(F.lit(1)).alias("n"))
-            twin = (F.size("t") > 0) & F.exists("done", lambda d: (F.size(d) > 0) & (jaccard(d, F.col("t")) > above))
-            left = rows.join(so_far.filter(F.col("n") == place), "qid").filter((F.col("key") > F.col("last")) & ~twin)
-        first = stored(left.groupBy("qid").agg(F.min_by("t", "key").alias("t"), F.min("key").alias("key")).withColumn("place", F.lit(place)))
-        if first.isEmpty():
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("key"))
+    rows = stored(c.select("qid", "chunk_id", (F.col("n_keywords") == 0).alias("any"), key.alias("key"), *([] if texts is not None else ["text"])).withColumn("i", order).drop("key"))
+    last = rows.agg(F.max("i")).first()[0] or 0
+    item = "array<struct<chunk_id:bigint,t:array<string>>>"
+    chosen = rows.select("qid").distinct().select("qid", F.array().cast(item).alias("done"))
+    for start in range(0, last, ROUND):
+        part = rows.filter((F.col("i") > start) & (F.col("i") <= start + ROUND)).join(chosen.filter(F.size("done") < limit).select("qid"), "qid", "left_semi")
+        part = part if texts is None else part.join(texts.select("chunk_id", "text"), "chunk_id")
+        tokens = F.when(F.col("any"), F.array().cast("array<string>")).otherwise(token_set(F.coalesce("text", F.lit(""))))
+        lists = part.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", F.col("chunk_id").cast("long").alias("chunk_id"), tokens.alias("t")))).alias("new"))
+        twin = lambda done, x: F.exists(done, lambda d: (F.size(d["t"]) > 0) & (F.size(x["t"]) > 0) & (jaccard(d["t"], x["t"]) > above))
+        taken = F.aggregate("new", F.col("done"), lambda done, x: F.when((F.size(done) >= limit) | twin(done, x), done).otherwise(F.array_append(done, F.struct(x["chunk_id"], x["t"]))))
+        chosen = stored(chosen.join(lists, "qid", "left").select("qid", F.when(F.col("new").isNull(), F.col("done")).otherwise(taken).alias("done")))
+        if last > start + ROUND and rows.filter(F.col("i") > start + ROUND).join(chosen.filter(F.size("done") < limit).select("qid"), "qid", "left_semi").isEmpty():
             break
-        chosen = first if chosen is None else chosen.unionByName(first)
-    chosen = first if chosen is None else chosen
-    return chosen.select("qid", "place", "key.chunk_id")
+    return chosen.select("qid", F.posexplode("done").alias("place", "x")).select("qid", "place", F.col("x.chunk_id").alias("chunk_id"))

@@ -212,7 +212,7 @@ def ranked_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
 def prioritize_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The best chunks of each question without near duplicates. A top-k report."""
     _, rows = ranked_candidates(spark, d)
-    return rank.prioritised(rows, SETTINGS.context_chunks).select("qid", F.col("place").cast("long").alias("place"), "chunk_id")
+    return rank.prioritised(rows.drop("text"), SETTINGS.context_chunks, texts=t.chunks(spark, d)).select("qid", F.col("place").cast("long").alias("place"), "chunk_id")
 
 
 @query
@@ -352,7 +352,8 @@ def conversation_tail(spark: SparkSession, d: str) -> DataFrame:
 @query
 def source_lists(spark: SparkSession, d: str) -> DataFrame:
     f, rows = ranked_candidates(spark, d)
-    chosen = rank.prioritised(rows, SETTINGS.context_chunks).join(rows.select("qid", "chunk_id", "source", "text"), ["qid", "chunk_id"])
+    chunks = t.chunks(spark, d)
+    chosen = rank.prioritised(rows.drop("text"), SETTINGS.context_chunks, texts=chunks).join(chunks.select("chunk_id", "source", "text"), "chunk_id")
     return context.source_lists(chosen, f).select("qid", F.array_join("sources", "\n").alias("sources"))
 
 

@@ -104,7 +104,7 @@ def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataF
 def scored(f: DataFrame, picked: DataFrame, chunks: DataFrame, found: DataFrame, guard: bool = True) -> DataFrame:
     """Candidates with text, matches and score; with guard, questions none of whose candidates match lose them all."""
     rows = picked.join(found, ["qid", "chunk_id"], "left").join(chunks.select("chunk_id", "source", "text", "source_hash"), "chunk_id").join(f.select("qid", "n_keywords"), "qid")
-    rows = rows.fillna(0, ["m", "p", "priority"]).fillna(0.0, ["quality"]).withColumn("useful", F.coalesce("useful", tx.useful_ratio(F.col("text"))))
+    rows = rows.fillna(0, ["m", "p", "priority"]).fillna(0.0, ["quality"]).withColumn("useful", F.when(F.col("useful").isNull(), tx.useful_ratio(F.col("text"))).otherwise(F.col("useful")))
     rows = rows.withColumn("any", F.max(F.col("m") + F.col("p")).over(Window.partitionBy("qid"))).filter((F.col("n_keywords") == 0) | (F.col("any") > 0) | F.lit(not guard)).drop("any")
     return rows.withColumn("score", rank.score(F.col("m"), F.col("p"), F.col("useful"), F.col("quality"), F.col("priority"), F.col("rank")))
 

@@ -8,9 +8,9 @@ from lodeleaf.operators import rank
 
 
 def test_prioritised_many_candidates(spark, monkeypatch):
-    """Equal to a plain greedy pass, with no list of more rows than are chosen."""
+    """Equal to a plain greedy pass, with no list of more rows than a round has."""
     r, real = random.Random(8), F.collect_list
-    monkeypatch.setattr(rank.F, "collect_list", lambda c: F.when(F.size(real(c)) <= 5, real(c)).otherwise(F.raise_error(F.lit("unbounded"))))
+    monkeypatch.setattr(rank.F, "collect_list", lambda c: F.when(F.size(real(c)) <= rank.ROUND, real(c)).otherwise(F.raise_error(F.lit("unbounded"))))
     vocabulary = ["casa", "perro", "arbol", "monte", "nube", "fuego", "piedra"]
     rows = []
     for q, n_keywords in ((1, 3), (2, 3), (3, 0), (4, 3)):
