@@ -72,42 +72,46 @@ def test_scores_of_awkward_texts(docs):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
 
 
-def small_model():
-    r = np.random.default_rng(3)
-    flat = r.integers(0, 40, 400)
-    one, two, inner = lm_model.contexts(flat, r.random(400) < 0.5)
-    count = lambda k: np.unique(k, return_counts=True)
-    k = lm_model.IDS
-    grams = lambda t: ({2: count(one * k + flat), 3: count((t * k + one) * k + flat)}, {2: count(one), 3: count(t * k + one)})
-    return lm_model.Model(np.bincount(flat, minlength=k).astype(float), grams(two), grams(inner)), flat
-
-
 def test_probabilities_sum_to_one():
     """Of the last id after ten others, over all ids: the difference a longer text's score makes."""
-    model, flat = small_model()
-    p, head = lm_model.fresh(), flat[:10]
-    score = lambda t, n: lm_model.log10_scores(p, lm_model.Windows.of(np.concatenate(t), np.full(len(t), n), np.tile(np.arange(n) % 2 == 0, len(t)), 2), model, len(t))
-    before = score([head], 10)[0]
-    total = sum((10 ** (score([np.append(head, x) for x in part], 11) - before)).sum() for part in np.array_split(np.arange(lm_model.IDS), 32))
+    r = np.random.default_rng(3)
+    words = lm_model.Vocabulary(np.bincount(r.integers(0, 40, 400), minlength=lm_model.IDS).astype(float))
+    p, head = lm_model.fresh(words), r.integers(0, 40, 10)
+    counts = {7: 3, 9: 1}
+
+    def score(texts, last=()):
+        n = len(texts[0])
+        memory = np.zeros((3, len(texts), n))
+        for i, x in enumerate(last):
+            memory[:, i, -1] = counts.get(int(x), 0), 4, 2
+        return lm_model.log10_scores(p, lm_model.Windows.of(np.concatenate(texts), np.full(len(texts), n), memory.reshape(3, -1), 2), words, len(texts))
+
+    before = score([head])[0]
+    total = sum((10 ** (score([np.append(head, x) for x in part], part) - before)).sum() for part in np.array_split(np.arange(lm_model.IDS), 32))
     assert total == pytest.approx(1.0, abs=1e-3)
 
 
 def test_gradients_match_differences():
-    model, flat = small_model()
     r = np.random.default_rng(4)
-    w = lm_model.Windows.of(flat, np.array([150, 250]), np.ones(400, bool), 2)
-    *inputs, used, _ = next(lm_model.batches(w, model, np.arange(len(w.starts))))
-    inputs = [x.astype(float) if x.dtype == np.float32 else x for x in inputs]
-    p = {k: v.astype(float) for k, v in lm_model.fresh().items()}
-    grads, _ = lm_model.gradients(p, *inputs, used.astype(float))
+    flat = r.integers(0, 40, 400)
+    words = lm_model.Vocabulary(np.bincount(flat, minlength=lm_model.IDS).astype(float))
+    c = r.integers(1, 4, 400) * (r.random(400) < 0.5)
+    w = lm_model.Windows.of(flat, np.array([150, 250]), np.stack([c, c + (c > 0) * 2, 2.0 * (c > 0)]), 2)
+    ids, known, memory, used, _ = next(lm_model.batches(w, np.arange(len(w.starts))))
+    args = (words, ids, known, memory.astype(float), used.astype(float))
+    p = {k: v.astype(float) for k, v in lm_model.fresh(words).items()}
+    grads, _ = lm_model.gradients(p, *args)
     for k, g in grads.items():
-        i = tuple(int(r.integers(0, min(s, 30))) for s in g.shape)
-        kept, loss = p[k][i], []
-        for step in (1e-5, -1e-5):
-            p[k][i] = kept + step
-            loss.append(lm_model.gradients(p, *inputs, used.astype(float))[1])
-        p[k][i] = kept
-        assert g[i] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=2e-5)
+        rows, g = g if k in lm_model.SPARSE else (np.arange(len(g)), g)
+        for _ in range(3):
+            i = tuple(int(r.integers(0, s)) for s in g.shape)
+            own, loss = (int(rows[i[0]]), *i[1:]), []
+            kept = p[k][own]
+            for step in (1e-5, -1e-5):
+                p[k][own] = kept + step
+                loss.append(lm_model.gradients(p, *args)[1])
+            p[k][own] = kept
+            assert g[i] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=2e-5), k
 
 
 def test_near_duplicates_of_awkward_texts(docs):
