@@ -83,3 +83,12 @@ def in_scope(source: Column, root: str | None = None, prefixes: tuple[str, ...]
 def query_paths(text: Column) -> Column:
     """Comma-separated paths as an array."""
     return F.filter(F.transform(F.split(text, ","), lambda x: clean_path(F.trim(x))), lambda x: x != "")
+
+
+def chosen(source: Column, exact: tuple[str, ...] = (), root: str | None = None, prefixes: tuple[str, ...] = ()) -> Column:
+    """Exact paths inside the scope; without exact paths the scope alone. Paths none of which is in scope match nothing."""
+    paths = tuple(p.strip().replace("\\", "/") for p in exact)
+    if exact and not any(paths):
+        raise ValueError("paths were given, but all of them are empty")
+    scope = in_scope(source, root, prefixes)
+    return source.isin(*(p for p in paths if p)) & scope if exact else scope

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -83,9 +84,9 @@ def useful_ratio(text: Column) -> Column:
 
 # Patterns of short social messages; the first that matches names the class.
 GREETINGS = (
-    (r"^\s*(hola|hey|buenas?|buenos?\s*(dias?|tardes?|noches?)|buenas?\s*(dias?|tardes?|noches?)|hola[,;]?\s*(buenas?\s*(tardes?|noches?|dias?)?)?|que\s*tal|saludos?|hi|hello|buenas?\s*tardes?|buenas?\s*noches?|buenas?\s*dias?)\s*[,;]?\s*(baldric)?\s*[.!?]*\s*$", "saludo"),
-    (r"^\s*(gracias|muchas\s*gracias|te\s*agradezco|thanks|thank\s*you)[\s,;!.?]*(genial|perfecto|excelente|estupendo|fenomenal|muy\s*bien|ok|guay|chevere|de\s*acuerdo|entendido|fantástico|fantastico|super|buenisimo|buenísimo|maravilloso)?\s*(baldric)?\s*[!.?]*\s*$", "gracias"),
-    (r"^\s*(adios|chao|chau|hasta\s*luego|nos\s*vemos|bye|hasta\s*pronto)\s*[,;]?\s*(baldric)?\s*[.!?]*\s*$", "despedida"),
+    (r"^\s*(hola|hey|buenas?|buenos?\s*(dias?|tardes?|noches?)|buenas?\s*(dias?|tardes?|noches?)|hola[,;]?\s*(buenas?\s*(tardes?|noches?|dias?)?)?|que\s*tal|saludos?|hi|hello|buenas?\s*tardes?|buenas?\s*noches?|buenas?\s*dias?)\s*[,;]?\s*(NAME)?\s*[.!?]*\s*$", "saludo"),
+    (r"^\s*(gracias|muchas\s*gracias|te\s*agradezco|thanks|thank\s*you)[\s,;!.?]*(genial|perfecto|excelente|estupendo|fenomenal|muy\s*bien|ok|guay|chevere|de\s*acuerdo|entendido|fantástico|fantastico|super|buenisimo|buenísimo|maravilloso)?\s*(NAME)?\s*[!.?]*\s*$", "gracias"),
+    (r"^\s*(adios|chao|chau|hasta\s*luego|nos\s*vemos|bye|hasta\s*pronto)\s*[,;]?\s*(NAME)?\s*[.!?]*\s*$", "despedida"),
 )
 # Patterns of questions for lists of documents.
 DOCUMENT_SEARCHES = (
@@ -157,10 +158,15 @@ def any_match(text: Column, patterns: tuple[str, ...], flags: str = "(?iuUd)") -
     return reduce(lambda a, b: a | b, (text.rlike(flags + p) for p in patterns))
 
 
-def greeting(text: Column, longest: int = 60) -> Column:
-    """Class of a short social message, else null."""
+def named(pattern: str, name: str) -> str:
+    """A pattern with the assistant's name."""
+    return pattern.replace("(NAME)", f"({re.escape(name)})")
+
+
+def greeting(text: Column, longest: int = 60, name: str = "") -> Column:
+    """Class of a short social message, which may call the assistant by name, else null."""
     norm = strip(normalised(text))
-    return let(norm, lambda t: F.when(F.length(t) <= longest, F.coalesce(*(F.when(t.rlike("(?iuUd)" + p), F.lit(kind)) for p, kind in GREETINGS))))
+    return let(norm, lambda t: F.when(F.length(t) <= longest, F.coalesce(*(F.when(t.rlike("(?iuUd)" + named(p, name)), F.lit(kind)) for p, kind in GREETINGS))))
 
 
 def asks_for_documents(text: Column) -> Column:
@@ -204,3 +210,13 @@ def source_label(source: Column, text: Column) -> Column:
 def prompt(system: str, context: Column, conversation: Column, question: Column) -> Column:
     block = F.when(F.length(conversation) > 0, F.concat(F.lit("Conversación:\n"), conversation, F.lit("\n\n"))).otherwise(F.lit(""))
     return F.concat(F.lit(system + "\n\n"), block, F.lit("Contexto:\n"), context, F.lit("\n\nPregunta:\n"), question, F.lit("\n\nRespuesta:"))
+
+
+def page_number(chunk: Column) -> Column:
+    """The page of the last page marker in a chunk; null without one."""
+    return F.try_element_at(F.regexp_extract_all(chunk, F.lit(r"\[__PÁG(\d+)__\]"), F.lit(1)), F.lit(-1)).try_cast("int")
+
+
+def usage(counts: Column) -> Column:
+    """A map of token counts without those that are unknown."""
+    return F.map_filter(counts, lambda _, v: v.isNotNull())

@@ -121,7 +121,7 @@ def verbs() -> str:
 
 BLOCK, BARE = r"(?is)\[DESCRIPCI[ÓO]N DE IMAGEN[^\]]*\]:?\s*.*?\.\]", r"(?i)\[IMAGEN[^\]]*\]:?\s*sin descripción disponible\."
 unmarked = lambda v: f"regexp_replace(regexp_replace({v}, {text(BLOCK)}, '', 'g'), {text(BARE)}, '', 'g')"
-GREETED = " ".join(f"WHEN regexp_matches(t, {text(p)}, 'i') THEN '{k}'" for p, k in tx.GREETINGS)
+GREETED = " ".join(f"WHEN regexp_matches(t, {text(tx.named(p, ''))}, 'i') THEN '{k}'" for p, k in tx.GREETINGS)
 SNAPSHOTS = """docs AS (SELECT d.*, l.quality, l.toxic, d.lang || '/doc' || d.doc_id || '.md' AS path FROM documents d LEFT JOIN labels l USING (doc_id)),
 idx AS (SELECT path AS source, sha1(text) AS source_hash FROM docs),
 disk AS (SELECT path AS source, sha1(CASE WHEN quality = 1 THEN reverse(text) ELSE text END) AS source_hash FROM docs WHERE coalesce(toxic, 0) = 0 AND NOT (toxic IS NULL AND lang = 'de')
@@ -159,6 +159,9 @@ ORACLE_SQL: dict[str, str] = {
     "path_tokens": f"WITH {CHUNKS}, {TOKENS} SELECT source, array_to_string(list_sort(tokens), ' ') AS tokens FROM path_tokens",
     "source_token_index": f"WITH {CHUNKS}, {TOKENS} SELECT token, count(*) AS n_sources FROM token_index GROUP BY token",
     "scope_filter": f"WITH {CHUNKS} SELECT chunk_id, source FROM chunks WHERE prefix(source, 'e') AND (prefix(source, 'en/src1') OR prefix(source, 'es/src2'))",
+    "chosen_sources": f"WITH {CHUNKS} SELECT chunk_id, source FROM chunks WHERE source IN ('en/src1/doc1.md', 'en/src1/doc3.md', 'fr/src2/doc2.md') AND prefix(source, 'en/')",
+    "page_numbers": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN doc_id % 7 WHEN doc_id % 3 = 2 THEN doc_id % 11 END::INT AS page FROM documents",
+    "usage_totals": "SELECT conv_id, sum(length(text) + CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END)::BIGINT AS tokens, count(*) + count(*) FILTER (turn % 2 = 0) AS counts FROM conversations GROUP BY conv_id",
     "path_parts": f"""SELECT page_id, path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/[^/]*$', '') AS folder, CASE lower(regexp_extract(regexp_extract(path, '[^/]*$'), '(\\.[^.]*)$')) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ps.TYPES.items())} ELSE 'application/octet-stream' END AS kind
         FROM (SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '/+', '/', 'g'), '/') AS path FROM pages)""",
     "folder_tree": f"""WITH {CHUNKS}, s AS (SELECT DISTINCT string_split(source, '/') AS parts FROM chunks), p AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS path FROM s, range(1, 20) r(i) WHERE i < len(parts))

@@ -240,6 +240,30 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "source")
 
 
+@query
+def chosen_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of exact paths that lie in the scope."""
+    paths = ("en/src1/doc1.md", " en\\src1\\doc3.md", "fr/src2/doc2.md", "")
+    return t.chunks(spark, d).filter(ps.chosen(F.col("source"), paths, "en/")).select("chunk_id", "source")
+
+
+@query
+def page_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of texts with no, one or two page markers."""
+    mark = lambda n: F.concat(F.lit("[__PÁG"), (F.col("doc_id") % n).cast("string"), F.lit("__]"))
+    third = F.col("doc_id") % 3
+    text = F.when(third == 0, F.col("text")).when(third == 1, F.concat(mark(7), "text")).otherwise(F.concat(mark(7), "text", mark(11)))
+    return t.read(spark, d, "documents").select("doc_id", tx.page_number(text).alias("page"))
+
+
+@query
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Known token counts of each conversation, summed."""
+    counts = F.create_map(F.lit("prompt"), F.length("text").cast("long"), F.lit("answer"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("long")))
+    rows = t.read(spark, d, "conversations").select("conv_id", F.explode(tx.usage(counts)).alias("name", "n"))
+    return rows.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("counts"))
+
+
 @query
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     """Web addresses as paths: cleaned, name, folder, ending, type."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,14 @@ def listed(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFr
 
 
 def folder(spark: SparkSession, root: str) -> DataFrame:
-    """path, modificationTime, length and content of every document under a folder, read by Spark."""
-    return listed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    """path, modificationTime, length and content of every document under a folder, read by Spark.
+
+    Spark reads no rows of empty files; .hidden markers, which mostly are empty, come from its list of files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    markers = [(unquote(f).replace("file:///", "file:/"),) for f in files.inputFiles() if f.endswith(".hidden")]
+    empty = spark.createDataFrame(markers, "path string").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return listed(files.filter(~F.col("path").endswith(".hidden")).unionByName(empty))
 
 
 def fingerprints(files: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:

@@ -34,13 +34,20 @@ class Reader(HTMLParser):
         self._skip = 0
         self._table: list[list[str]] | None = None
         self._depth = self._tables = self._images = 0
-        self._in_title = False
+        self._in_title = self._cell = False
 
     def _close(self) -> None:
         if line := " ".join("".join(self._line).split()):
             self.blocks.append(line)
         self._line = []
 
+    def _close_cell(self) -> None:
+        """A cell ends with its tag, or where the next cell, row or the table's end begins."""
+        if self._cell and self._table:
+            self._table[-1].append(" ".join("".join(self._line).split()))
+            self._line = []
+        self._cell = False
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SKIPPED:
             self._skip += 1
@@ -50,9 +57,11 @@ class Reader(HTMLParser):
                 self._close()
                 self._table = []
         elif self._table is not None and tag == "tr":
+            self._close_cell()
             self._table.append([])
         elif self._table is not None and tag in ("td", "th"):
-            self._line = []
+            self._close_cell()
+            self._line, self._cell = [], True
         elif tag == "img":
             self._image(dict(attrs))
         elif tag in BREAKS and self._table is None:
@@ -70,10 +79,10 @@ class Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self._skip = max(0, self._skip - 1)
-        elif tag in ("td", "th") and self._table:
-            self._table[-1].append(" ".join("".join(self._line).split()))
-            self._line = []
+        elif tag in ("td", "th", "tr") and self._table:
+            self._close_cell()
         elif tag == "table" and self._depth:
+            self._close_cell()
             self._depth -= 1
             if not self._depth:
                 self._tables += 1

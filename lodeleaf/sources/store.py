@@ -1,58 +1,68 @@
-"""A versioned Parquet store of chunks: writers add a version, readers see the last complete one."""
+"""A Parquet table of chunks in folders by a hash of their source, of which a change rewrites only those it touches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeleaf.sources.scratch import stored
+
 
 class ChunkStore:
-    """Versions are folders v0, v1, ...; a version counts once Spark's job has committed it, so a failed write is never read.
+    """Chunks(source, ...) under root/part=0 to root/part=parts-1, written by dynamic partition overwrite.
 
-    One writer at a time is assumed; ``write`` refuses a version that another writer has made meanwhile.
+    One writer at a time. A reader that listed files before a change has to read anew if they are gone.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(p.getName()[1:]) for p in names if fs.exists(done(p, "_SUCCESS")))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        last = self.versions()
-        if not last:
-            raise FileNotFoundError(f"no version in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v{last[-1] if version is None else version}")
-
-    def write(self, chunks: DataFrame) -> int:
-        """One job for the whole table; sorted by source within tasks, so that reads of a source skip row groups."""
-        new = (self.versions() or [-1])[-1] + 1
-        chunks.sortWithinPartitions("source", "chunk_index").write.mode("error").parquet(f"{self.root}/v{new}")
-        return new
-
-    def append(self, chunks: DataFrame) -> int:
-        return self.write(self.read().unionByName(chunks, allowMissingColumns=True) if self.versions() else chunks)
+    def _part(self):
+        return F.pmod(F.xxhash64("source"), F.lit(self.parts)).cast("int")
+
+    def exists(self) -> bool:
+        fs, path = self._path()
+        return fs.exists(path) and any(s.getPath().getName().startswith("part=") for s in fs.listStatus(path))
+
+    def read(self) -> DataFrame:
+        if not self.exists():
+            raise FileNotFoundError(f"no chunks in {self.root}")
+        return self.spark.read.parquet(self.root).drop("part")
+
+    def _write(self, chunks: DataFrame, mode: str) -> None:
+        rows = chunks.withColumn("part", self._part()).repartition("part").sortWithinPartitions("part", "source")
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.root)
+
+    def append(self, chunks: DataFrame) -> None:
+        """More chunks; what is there stays as it is."""
+        self._write(chunks, "append")
+
+    def replace(self, gone: DataFrame, new: DataFrame | None = None) -> None:
+        """The chunks of the sources in gone(source) go, and so do those of sources that new brings anew."""
+        sources = gone.select("source") if new is None else gone.select("source").unionByName(new.select("source"))
+        sources = stored(sources.distinct())
+        touched = [r[0] for r in sources.select(self._part()).distinct().collect()]
+        if not touched:
+            return
+        kept = self.spark.read.parquet(self.root).filter(F.col("part").isin(touched)).drop("part").join(sources, "source", "left_anti") if self.exists() else None
+        rows = kept if new is None else new if kept is None else kept.unionByName(new, allowMissingColumns=True)
+        if rows is None:
+            return
+        rows = stored(rows)
+        self._write(rows, "overwrite")
+        left = {r[0] for r in rows.select(self._part()).distinct().collect()}
+        for part in set(touched) - left:
+            fs, path = self._path(f"part={part}")
+            fs.delete(path, True)
 
     def delete(self, source: str) -> int:
         """Chunks of the source that went; an unknown source is an error."""
-        now = self.read()
-        n = now.filter(F.col("source") == source).count()
+        n = self.read().filter(F.col("source") == source).count()
         if not n:
             raise KeyError(source)
-        self.write(now.filter(F.col("source") != source))
+        self.replace(self.spark.createDataFrame([(source,)], "source string"))
         return n
-
-    def keep(self, last: int = 2) -> None:
-        """Remove all but the last versions."""
-        fs, _ = self._fs()
-        for v in self.versions()[: -max(1, last)]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{v}"), True)

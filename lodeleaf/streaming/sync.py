@@ -1,4 +1,4 @@
-"""A folder watched as a stream; each micro-batch brings the store up to date."""
+"""A folder kept in step with a store, once or again and again."""
 
 from __future__ import annotations
 
@@ -8,31 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodeleaf.operators.sync import applied, indexed, plan
-from lodeleaf.sources.files import fingerprints, listed
+from lodeleaf.operators.sync import indexed, plan, visible
+from lodeleaf.sources.files import fingerprints, folder
+from lodeleaf.sources.scratch import stored
 from lodeleaf.sources.store import ChunkStore
 
-SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
+def keyed(files: DataFrame) -> DataFrame:
+    return files.withColumn("source", F.regexp_replace("path", "^[a-z]+:/*", "/")).withColumn("source_hash", F.sha1("content"))
 
-def watch(spark: SparkSession, root: str, store: ChunkStore, read: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """New and changed files go into the store; read makes chunks of files(path, ..., content, source, source_hash).
 
-    Files that vanish aren't seen by a stream: run the batch plan for those now and then.
+def synchronise(spark: SparkSession, root: str, store: ChunkStore, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bring the store in step with the folder; returns the plan(source, state) that was carried out.
+
+    read makes chunks of files(path, ..., content, source, source_hash). New and changed files are read, the chunks of
+    changed, vanished and hidden ones go; parts of the store that no such file lies in are not touched.
     """
-    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(root)
-
-    def batch(part: DataFrame, _: int) -> None:
-        own = listed(part).filter(~F.col("path").endswith(".hidden"))
-        disk = fingerprints(own)
-        now = store.read() if store.versions() else None
-        index = indexed(now) if now is not None else disk.limit(0)
-        none = disk.select("source").limit(0)
-        steps = plan(disk, index, none).filter(F.col("state").isin("nuevo", "modificado"))
-        if steps.isEmpty():
-            return
-        keyed = own.withColumn("source", F.regexp_replace("path", "^[a-z]+:/*", "/")).withColumn("source_hash", F.sha1("content"))
-        chunks = read(keyed.join(steps.select("source"), "source", "left_semi"))
-        store.write(applied(now, steps, chunks) if now is not None else chunks)
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    shown, hidden = visible(folder(spark, root))
+    index = indexed(store.read()) if store.exists() else fingerprints(shown).limit(0)
+    steps = stored(plan(fingerprints(shown), index, keyed(hidden).select("source")))
+    pending = steps.filter(F.col("state").isin("nuevo", "modificado")).select("source")
+    gone = steps.filter("state <> 'nuevo'").select("source")
+    new = None if pending.isEmpty() else stored(read(keyed(shown).join(pending, "source", "left_semi")))
+    store.replace(gone, new)
+    return steps
+
+
+def watch(spark: SparkSession, root: str, store: ChunkStore, read: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "1 minute") -> StreamingQuery:
+    """synchronise() at every trigger. Spark's file stream knows a file by its path and never sees it changed or gone; a clock sees both."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda *_: synchronise(spark, root, store, read) and None).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

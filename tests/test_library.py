@@ -1,5 +1,7 @@
 """Operators on small tables, and the queries with SQL on the smallest data."""
 
+import time
+
 import pytest
 from oracle import compare
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ def test_query_equals_sql(spark, sf, name):
 def test_entry(spark):
     rows = entry.entry(spark)
     assert {"qid", "context", "answer", "sources", "found"} <= set(rows.columns)
-    assert rows.count() >= 0
+    found = rows.collect()
+    assert found and all(r["context"] or r["greeting"] or not r["found"] for r in found)
 
 
 def test_strength_and_score(spark):
@@ -77,39 +80,88 @@ def test_near_pairs_against_all_pairs(spark, sf):
 
 
 def test_splitter():
-    text = "\n\n".join("palabra " * 40 for _ in range(12))
-    parts = split_text(text, ("\n\n", "\n", " ", ""), 1500, 300)
-    assert all(len(p) <= 1500 for p in parts) and "".join(text.split()) in "".join("".join(p.split()) for p in parts) or len(parts) > 2
+    """Pieces are at most as long as asked, cover the text in order, and overlap by at most as much as asked."""
+    text = "\n\n".join(f"parte {i} " + "palabra " * (i * 7 % 60) for i in range(40))
+    parts = split_text(text, ("\n\n", "\n", " ", ""), 300, 60)
+    at, end = 0, 0
+    for p in parts:
+        at = text.index(p, max(0, end - 60))
+        assert len(p) <= 300 and not text[end:at].strip()
+        assert end - at <= 60
+        end = at + len(p)
+    assert not text[end:].strip() and len(parts) > 5
     assert split_text("x" * 4000, ("\n\n", " ", ""), 1500, 300)[0] == "x" * 1500
     assert split_text("", ("\n", ""), 10, 2) == []
 
 
 def test_html():
     text = page_text("<title>T</title><script>x()</script><p>uno</p><table><tr><th>A<th>B</th></tr><tr><td>1</td><td>2</td></tr></table><img src=a width=20><img src=b>")
-    assert text.startswith("T") and "x()" not in text and "[BLOQUE DELIMITADO 1 INICIO]" in text and text.count("[IMAGEN") == 1
+    assert text.startswith("T") and "x()" not in text and text.count("[IMAGEN") == 1
+    start, middle, end = text.index("[BLOQUE DELIMITADO 1 INICIO]"), text.index("A | B"), text.index("[BLOQUE DELIMITADO 1 FIN]")
+    assert start < middle < text.index("1 | 2") < end < text.index("[IMAGEN") and "uno" in text
 
 
 def test_store(spark, tmp_path):
-    store = ChunkStore(spark, str(tmp_path / "store"))
-    rows = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "source string, chunk_index int, text string")
-    store.write(rows)
-    assert store.delete("a") == 1 and [r["source"] for r in store.read().collect()] == ["b"]
-    assert store.read(0).count() == 2
-    with pytest.raises(KeyError):
+    store = ChunkStore(spark, str(tmp_path / "store"), parts=4)
+    rows = lambda *x: spark.createDataFrame([*x], "source string, chunk_index int, text string")
+    store.append(rows(*((f"s{i}", 0, "x") for i in range(20))))
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    store.replace(rows().select("source"), rows(("s3", 0, "new"), ("s3", 1, "newer")))
+    assert {(r["source"], r["text"]) for r in store.read().collect()} == {(f"s{i}", "x") for i in range(20) if i != 3} | {("s3", "new"), ("s3", "newer")}
+    assert sum(p.exists() for p in files) == len(files) - 1  # only one folder was written anew
+    assert store.delete("s3") == 2 and store.read().count() == 19
+    store.replace(store.read().select("source"))
+    assert not store.exists()
+    with pytest.raises(FileNotFoundError):
         store.delete("zzz")
 
 
-def test_stream(spark, tmp_path):
+def test_synchronise(spark, tmp_path):
+    """New, changed, hidden and vanished files."""
     from lodeleaf.sources.chunking import chunked
-    from lodeleaf.streaming.sync import watch
+    from lodeleaf.streaming.sync import synchronise, watch
 
     root = tmp_path / "docs"
     root.mkdir()
-    (root / "a.md").write_text("hola mundo")
-    store = ChunkStore(spark, str(tmp_path / "store"))
+    store = ChunkStore(spark, str(tmp_path / "store"), parts=4)
     read = lambda files: chunked(files.select("source", "source_hash", F.decode("content", "UTF-8").alias("text")), "md")
-    for text in ("hola mundo", "otro texto"):
-        (root / "a.md").write_text(text)
-        (root / "b.md").write_text("fijo")
-        watch(spark, str(root), store, read, str(tmp_path / "check")).awaitTermination(120)
-    assert "fijo" in {r["text"] for r in store.read().collect()}
+    texts = lambda: sorted(r["text"] for r in store.read().collect())
+    for name, text in (("a", "hola mundo"), ("b", "fijo"), ("c", "va")):
+        (root / f"{name}.md").write_text(text)
+    assert {r["state"] for r in synchronise(spark, str(root), store, read).collect()} == {"nuevo"}
+    assert texts() == ["fijo", "hola mundo", "va"]
+    (root / "a.md").write_text("otro texto")
+    (root / "c.md").unlink()
+    synchronise(spark, str(root), store, read)
+    assert texts() == ["fijo", "otro texto"]
+    assert synchronise(spark, str(root), store, read).isEmpty()
+    (root / "b.md.hidden").write_text("")
+    running = watch(spark, str(root), store, read, str(tmp_path / "check"), "1 second")
+    for _ in range(60):
+        if texts() == ["otro texto"]:
+            break
+        time.sleep(1)
+    running.stop()
+    assert texts() == ["otro texto"]
+
+
+def test_oracle_queries_give_rows(spark, sf):
+    """Equal hashes of nothing show nothing."""
+    empty = [n for n in ("path_token_match", "source_augment", "priority_search", "compound_search", "literal_search", "chosen_sources") if entry.queries()[n](spark, f"{sf}/../sf0.01").isEmpty()]
+    assert not empty
+
+
+def test_answers_without_information_are_searched_again(spark):
+    """The second search takes keywords in their order; its answer stands only if it has information."""
+    from lodeleaf.plans.retrieval import retrieve
+
+    words = ["alfaqz", "bravohy", "charlixw", "deltamnop", "echoqrstuv", "foxtrotvwxy", "golfnnnnnnnn", "hotelmmmmmmmmm"]
+    texts = ["corta alfaqz bravohy", *(" ".join([*words[4:], *(f"relleno{i}{j}" for j in range(9))]) for i in range(5))]
+    chunks = spark.createDataFrame([(i, f"d/{i}.md", f"h{i}", x) for i, x in enumerate(texts)], "chunk_id long, source string, source_hash string, text string")
+    vectors = spark.createDataFrame([(i, [0.0, 1.0] if i == 0 else [1.0, i / 10]) for i in range(6)], "chunk_id long, vec array<double>")
+    asked = spark.createDataFrame([(1, " ".join(["corta", *words]), [1.0, 0.0], [("user", "antes")])], "qid long, question string, qvec array<double>, conversation array<struct<role:string,text:string>>")
+    said = lambda prompt: F.when(F.regexp_extract(prompt, r"(?s)Contexto:\n(.*?)\n\nPregunta", 1).contains("corta") & prompt.contains("USER: antes"), "respuesta con corta").otherwise("No se encuentra información")
+    out = retrieve(asked, chunks, vectors, generator=said).first()
+    assert out["found"] and out["answer"] == "respuesta con corta" and out["keywords"].startswith("corta")
+    out = retrieve(asked, chunks, vectors, generator=lambda prompt: F.lit("No se encuentra información")).first()
+    assert not out["found"]
