@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a relation that may be broadcast; beyond them a shuffle join runs.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 #: Bytes of an Arrow batch of texts.
 ARROW_BYTES = 4 << 20
 

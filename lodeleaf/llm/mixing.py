@@ -33,9 +33,9 @@ from lodeleaf.llm.common import let, small, stored, table, words
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Blocks of all sources together, besides one for each source, at least, and for each shard.
-BLOCKS, BLOCKS_A_SHARD = 4096, 64
+BLOCKS, BLOCKS_A_SHARD = 4096, 32
 #: Output shards, at least; a power of two. Larger mixes get as many as keep a shard to about SHARD_WORDS.
-SHARDS, SHARD_WORDS = 16, 1 << 30
+SHARDS, SHARD_WORDS = 16, 1 << 27
 SEED = 17
 
 

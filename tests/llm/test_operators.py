@@ -381,7 +381,7 @@ def test_mix_equals_plain_plan(spark, sf, docs):
 
 
 def test_shards_grow_with_the_mix():
-    assert [mixing.shards_for(n) for n in (0, 16 * mixing.SHARD_WORDS, 17 * mixing.SHARD_WORDS, 1e13)] == [16, 16, 32, 16384]
+    assert [mixing.shards_for(n) for n in (0, 16 * mixing.SHARD_WORDS, 17 * mixing.SHARD_WORDS, 1e13)] == [16, 16, 32, 131072]
 
 
 def test_pipeline(spark, sf, nothing):
