@@ -59,12 +59,15 @@ def boilerplate(rows: DataFrame) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """docs with text and n_chars edited, and the columns __lines and __removed. Only edits, not texts, are moved between tasks."""
+    """docs with text and n_chars edited, and the columns __lines and __removed.
+
+    Edits meet their texts by a shuffle join at every size: they are as many as documents with boilerplate.
+    """
     rows = instances(docs)
     found = stored(boilerplate(rows))
     own = rows.join(small(found), "line").select("doc_id", F.struct("line", F.col("doc_id").eqNullSafe(F.col("first")).alias("keep")).alias("e"))
     edits = stored(own.groupBy("doc_id").agg(F.collect_set("e").alias("__edits")).withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(small(edits), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(edits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split("text", "\n")
     keys = F.transform(lines, line_key)
     gone = F.transform(F.filter("__edits", lambda e: ~e["keep"]), lambda e: e["line"])
