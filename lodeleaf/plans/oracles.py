@@ -131,6 +131,33 @@ plan AS (SELECT coalesce(d.source, i.source) AS source, CASE WHEN i.source IS NU
     FROM disk d FULL JOIN idx i ON d.source = i.source WHERE d.source_hash IS DISTINCT FROM i.source_hash UNION ALL SELECT source, 'oculto' FROM hidden)"""
 CLEANED = trimmed(r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')")
 
+EXPANDED = f"""a AS (SELECT conv_id, turn, lower(trim(text)) AS low FROM conversations WHERE role = 'user'),
+b AS (SELECT *, {norm('low')} AS base, regexp_extract_all({norm('low')}, '{WORDS}+') AS own FROM a),
+c AS (SELECT *, flatten(list_transform(own, lambda word: {verbs()})) AS verbs, flatten(list_transform(own, lambda word: {nouns()})) AS nouns FROM b),
+d AS (SELECT *, list_sort(list_distinct(list_filter(verbs, lambda v: NOT list_contains(own, v)))) AS v, list_sort(list_distinct(list_filter(nouns, lambda v: NOT list_contains(own, v)))) AS n FROM c)"""
+CELLS = """a AS (SELECT conv_id, turn, list_transform(string_split(text, '. '), lambda r: string_split(r, ' ')) AS cells FROM conversations),
+b AS (SELECT *, list_max(list_transform(cells, lambda r: len(r))) AS width FROM a),
+c AS (SELECT *, list_transform(cells, lambda r: list_resize(list_transform(r, lambda c: trim(replace(c, chr(10), ' '))), width, '')) AS clean FROM b),
+d AS (SELECT *, CASE WHEN array_to_string(clean[1], '') = '' THEN list_transform(range(1, width + 1), lambda i: 'Columna ' || i) ELSE clean[1] END AS head,
+    list_filter(clean[2:], lambda r: array_to_string(r, '') <> '') AS body, list_resize(['']::VARCHAR[], width, '') AS nothing, list_resize(['---']::VARCHAR[], width, '---') AS rule FROM c)"""
+# Chunks in the order of choice, then one step of the recursion for each: taken unless five are, or a taken one is its twin.
+CHOSEN = f"""{MATCHES.replace("chunks AS (", "RECURSIVE chunks AS (", 1)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) - 1 AS rank, CASE WHEN n <= 1 THEN 1 ELSE 2 END AS req FROM matches JOIN n USING (qid)),
+s AS (SELECT *, CASE WHEN m + p < req THEN false WHEN p > 0 THEN true ELSE m >= least(n, 3) END AS strong,
+    5000 * p + 1000 * m + 500 * useful + 1500 * quality + 6000 * priority - rank - CASE WHEN p = 0 AND priority = 0 THEN 2000 ELSE 0 END AS score FROM r),
+o AS (SELECT *, count(*) FILTER (strong) OVER (PARTITION BY qid) AS n_strong FROM s QUALIFY strong OR n_strong < 5),
+line AS (SELECT qid, chunk_id, list_distinct(regexp_extract_all(lower(text), '{WORDS}{{3,}}')) AS t, row_number() OVER (PARTITION BY qid ORDER BY strong DESC, score DESC, rank, chunk_id) AS i FROM o),
+walk AS (SELECT DISTINCT qid, 0::BIGINT AS i, []::STRUCT(c BIGINT, t VARCHAR[])[] AS done FROM line
+    UNION ALL SELECT qid, l.i, CASE WHEN len(done) >= 5 OR len(list_filter(done, lambda x: len(x.t) > 0 AND len(l.t) > 0
+        AND len(list_intersect(x.t, l.t)) / len(list_distinct(list_concat(x.t, l.t))) > 0.6)) > 0 THEN done ELSE list_append(done, {{'c': l.chunk_id, 't': l.t}}) END
+    FROM walk JOIN line l USING (qid) WHERE l.i = walk.i + 1),
+ended AS (SELECT qid, arg_max(done, i) AS done FROM walk GROUP BY qid),
+chosen AS (SELECT qid, unnest(list_transform(done, lambda x: x.c)) AS chunk_id, generate_subscripts(done, 1) - 1 AS place FROM ended)"""
+LISTED = f"""own AS (SELECT qid, flatten(list(forms)) AS own FROM forms WHERE keyword NOT IN ('manual', 'manuales', 'documento', 'documentos', 'informacion') GROUP BY qid),
+kind AS (SELECT qid, {any_of(trimmed(norm('question')), tx.DOCUMENT_SEARCHES)} AS lists FROM asked),
+rows_of AS (SELECT qid, place, source, coalesce({held('lower(source)', 'own')}, false) AS own_path, source || ' (fragmento: ' || replace(substr(text, 1, 150), chr(10), ' ') || '...)' AS label FROM chosen JOIN chunks USING (chunk_id) LEFT JOIN own USING (qid)),
+lists AS (SELECT qid, list(label ORDER BY place) AS labels, list(source ORDER BY place) AS paths, coalesce(list(source ORDER BY place) FILTER (own_path), []) AS own_paths FROM rows_of GROUP BY qid),
+given AS (SELECT qid, CASE WHEN NOT lists THEN labels WHEN len(own_paths) > 0 THEN own_paths ELSE paths END AS every FROM lists JOIN kind USING (qid))"""
+
 ORACLE_SQL: dict[str, str] = {
     "strip_accents_norm": f"SELECT doc_id, md5({norm('text')}) AS norm_md5, length({norm('text')}) AS chars FROM documents",
     "compound_codes": f"SELECT doc_id, len(c) AS n, array_to_string(c, ' ') AS codes FROM (SELECT doc_id, regexp_extract_all({norm('text')}, {CODE}) AS c FROM documents)",
@@ -202,4 +229,11 @@ ORACLE_SQL: dict[str, str] = {
     "sync_notice": f"WITH {SNAPSHOTS} SELECT CASE WHEN state = 'eliminado' THEN 'eliminados' ELSE 'procesados' END AS list, regexp_extract(source, '[^/]*$') AS nombre, source AS ruta FROM plan WHERE state <> 'oculto'",
     "image_cache_keys": "SELECT page_id, sha256(url || '.PNG?size=1') || CASE WHEN contains(regexp_replace(url, '[?#].*$', ''), url) THEN '.png' ELSE coalesce(CASE WHEN length(e) <= 6 THEN e END, '') END AS key FROM (SELECT *, lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '(\\.[^.]*)$')) AS e FROM pages)",
     "numbered_questions": "SELECT trim(text) AS question FROM benchmark WHERE trim(text) <> ''",
+    "case_variants": f"""WITH c AS (SELECT DISTINCT unnest(regexp_extract_all(text, {CODE})) AS code FROM documents),
+        v AS (SELECT code, [code, lower(code), array_to_string(list_transform(regexp_extract_all(lower(code), '[a-z]+|[^a-z]+'), lambda p: upper(p[1]) || p[2:]), ''), upper(code)] AS every FROM c)
+        SELECT code, array_to_string({in_order('every')}, ' ') AS variants FROM v""",
+    "query_expansion": f"WITH {EXPANDED} SELECT conv_id, turn, md5(array_to_string(list_filter([low, CASE WHEN base <> low THEN base ELSE '' END, array_to_string(v, ' '), array_to_string(n, ' ')], lambda p: p <> ''), ' ')) AS expanded_md5 FROM d",
+    "table_markdown": f"WITH {CELLS} SELECT conv_id, turn, md5(array_to_string(list_transform(list_concat([head, rule], CASE WHEN len(body) = 0 THEN [nothing] ELSE body END), lambda r: array_to_string(r, ' | ')), chr(10))) AS table_md5 FROM d",
+    "prioritize_dedup": f"WITH {CHOSEN} SELECT qid, place, chunk_id FROM chosen",
+    "source_lists": f"WITH {CHOSEN}, {LISTED} SELECT qid, array_to_string({in_order('every')}, chr(10)) AS sources FROM given",
 }
