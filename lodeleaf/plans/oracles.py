@@ -201,6 +201,19 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY p DESC, m DESC, m / greatest(useful_chars, 1) DESC, chunk_id) AS j FROM r QUALIFY j <= 2),
         c AS (SELECT *, min(i) OVER (PARTITION BY qid, head) AS first FROM b QUALIFY i = first)
         SELECT qid, chunk_id FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i, j) <= 12"""),
+    "legacy_source_augment": by_name(f"""WITH {MATCHES}, {NAMED}, l AS (SELECT qid, token, min({{'p': pos, 'f': form}}) AS o FROM (FROM own UNION ALL FROM single) GROUP BY qid, token),
+        l12 AS (SELECT * FROM l QUALIFY rank() OVER (PARTITION BY qid ORDER BY o.p) <= 12),
+        s AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY min({{'o': o, 't': token}}), source) AS i FROM l12 JOIN token_index USING (token) GROUP BY qid, source QUALIFY i <= 12),
+        b AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY p DESC, m DESC, length(text) DESC, chunk_id) AS j FROM s JOIN matches USING (qid, source) JOIN n USING (qid) WHERE p > 0 OR m >= greatest(1, CASE WHEN n <= 1 THEN 0 ELSE 1 END) QUALIFY j <= 2)
+        SELECT qid, chunk_id FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i, j) <= 12"""),
+    "batch_evaluation": f"""WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) - 1 AS rank, CASE WHEN n <= 1 THEN 1 ELSE 2 END AS req FROM matches JOIN n USING (qid)),
+        s AS (SELECT *, CASE WHEN m + p < req THEN false WHEN p > 0 THEN true ELSE m >= greatest(req + 1, n) END AS strong FROM r),
+        k AS (SELECT * FROM s QUALIFY strong OR NOT bool_or(strong) OVER (PARTITION BY qid)),
+        g AS (SELECT qid, source, min(rank) AS first, sum(1.0::DOUBLE / (rank + 1)) * count(*) * (1 + 0.4::DOUBLE * sum(m) + 1.5::DOUBLE * sum(p)) * CASE WHEN sum(p) = 0 THEN 0.4::DOUBLE ELSE 1 END AS score FROM k GROUP BY qid, source),
+        b AS (SELECT qid, source FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first, source) = 1),
+        u AS (SELECT qid, source, rank, {CLEANED} AS text FROM k JOIN b USING (qid, source)),
+        w AS (SELECT qid, any_value(source) AS sources, count(*) AS documents_used, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (text <> ''), '') AS context FROM u GROUP BY qid)
+        SELECT qid, coalesce(sources, '') AS sources, coalesce(documents_used, 0) AS documents_used, md5(coalesce(context, '')) AS context_md5 FROM asked LEFT JOIN w USING (qid)""",
     "compound_search": by_name(f"""WITH {CHUNKS}, {ASKED}, c AS (SELECT DISTINCT qid, lower(unnest(regexp_extract_all(question, {CODE}))) AS term FROM asked)
         SELECT DISTINCT qid, chunk_id FROM (SELECT qid, chunk_id FROM c JOIN chunks ON contains(lower(text), term) QUALIFY row_number() OVER (PARTITION BY qid, term ORDER BY chunk_id) <= 12)"""),
     "literal_search": f"""WITH {FEATURES}, h AS (SELECT qid, pos, chunk_id FROM kw_rows JOIN chunks ON length(keyword) >= 4 AND contains(lower(text), keyword) QUALIFY row_number() OVER (PARTITION BY qid, pos ORDER BY chunk_id) <= 10),

@@ -291,6 +291,14 @@ def source_augment(spark: SparkSession, d: str) -> DataFrame:
     return augment.by_path(f, chunks, found, found.select("qid", "chunk_id").limit(0), SETTINGS).select("qid", "chunk_id")
 
 
+@query
+def legacy_source_augment(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by path as the batch evaluator adds them, for questions that have no candidates yet."""
+    f, chunks = named(spark, d)
+    found = stored(found_in(f, chunks))
+    return augment.by_path_legacy(f, chunks, found, found.select("qid", "chunk_id").limit(0)).select("qid", "chunk_id")
+
+
 @query
 def priority_search(spark: SparkSession, d: str) -> DataFrame:
     f, chunks = named(spark, d)
@@ -340,6 +348,14 @@ def best_source_eval(spark: SparkSession, d: str) -> DataFrame:
     return best.select("qid", "source", F.col("chunks").cast("long").alias("chunks"), F.round("score", 6).alias("score"))
 
 
+@query
+def batch_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Results from the best source of each question, with every matched chunk as a candidate."""
+    f, rows = ranked_candidates(spark, d)
+    out = evaluate.batch_results(f.select("qid", "question"), rows.withColumn("phase", F.lit("vector")), retrieval.first_sentences, retrieval.SYSTEM)
+    return out.select("qid", F.array_join("sources", ",").alias("sources"), "documents_used", digest(F.col("context")).alias("context_md5"))
+
+
 @query
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different token sets of chunks that overlap by more than 0.6, by their first chunks."""

@@ -147,7 +147,7 @@ def test_synchronise(spark, tmp_path):
 
 def test_oracle_queries_give_rows(spark, sf):
     """Equal hashes of nothing show nothing."""
-    empty = [n for n in ("path_token_match", "source_augment", "priority_search", "compound_search", "literal_search", "chosen_sources") if entry.queries()[n](spark, f"{sf}/../sf0.01").isEmpty()]
+    empty = [n for n in ("path_token_match", "source_augment", "legacy_source_augment", "batch_evaluation", "priority_search", "compound_search", "literal_search", "chosen_sources") if entry.queries()[n](spark, f"{sf}/../sf0.01").isEmpty()]
     assert not empty
 
 
@@ -165,3 +165,18 @@ def test_answers_without_information_are_searched_again(spark):
     assert out["found"] and out["answer"] == "respuesta con corta" and out["keywords"].startswith("corta")
     out = retrieve(asked, chunks, vectors, generator=lambda prompt: F.lit("No se encuentra información")).first()
     assert not out["found"]
+
+
+def test_batch_results(spark, tmp_path):
+    """Strong candidates of the best source only; questions without candidates stay."""
+    asked = spark.createDataFrame([(1, "uno"), (2, "dos")], "qid long, question string")
+    rows = [(1, 10, "a", "alfa\nbeta", 0, 2, 1, 2, "vector"), (1, 11, "b", "gamma", 1, 1, 0, 2, "vector"), (1, 12, "a", "delta", 2, 2, 1, 2, "path")]
+    c = spark.createDataFrame(rows, "qid long, chunk_id long, source string, text string, rank int, m int, p int, n_keywords int, phase string")
+    out = evaluate.batch_results(asked, c, lambda prompt: F.lit("sí"))
+    first, second = out.orderBy("qid").collect()
+    assert (first["sources"], first["documents_used"], first["appended_by_source"], first["fragments"], first["context"]) == (["a"], 2, 1, ["alfa beta", "delta"], "alfa\nbeta\n\ndelta")
+    assert (second["sources"], second["documents_used"], second["fragments"], second["context"]) == ([], 0, [], "")
+    evaluate.write_results(out, str(tmp_path / "out"))
+    assert {r["question"] for r in spark.read.json(str(tmp_path / "out/jsonl")).collect()} == {"uno", "dos"}
+    text = evaluate.report(out).orderBy("qid").first()["markdown"]
+    assert text == "## uno\n\n**Respuesta:**\n\nsí\n\n**Fuentes:** a\n\n**Fragmentos utilizados:** 2\n\n**Fragmentos añadidos por ruta:** 1\n\n"
