@@ -72,4 +72,14 @@ b AS (SELECT line, min(doc_id) AS first FROM l WHERE regexp_matches(line, '({WOR
 k AS (SELECT l.*, b.line IS NULL OR (doc_id = first AND i = min(i) OVER (PARTITION BY doc_id, l.line)) AS kept FROM l LEFT JOIN b USING (line))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '') AS text FROM k GROUP BY doc_id"""
 
-ORACLE_SQL = {"op1_hash_tree_shards": OP1, "op3_ngram_jaccard": OP3, "op4_chat_format": OP4, "op7_quality_rules": OP7, "op8_warc_chain": OP8, "op9_line_spread": OP9}
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ITEM_WORDS = f"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ITEM_WORD}')"
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents), i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, md5(array_to_string(w[s:s + 9], ' ')) AS h FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+p AS (SELECT r, s, k, md5(array_to_string(w[s:s + k - 1], ' ')) AS h FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+m AS (SELECT r, s, k, item_id FROM p JOIN g USING (k, h)),
+n AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + k)) AS x FROM m) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM m GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)"""
+
+ORACLE_SQL = {"op1_hash_tree_shards": OP1, "op3_ngram_jaccard": OP3, "op4_chat_format": OP4, "op7_quality_rules": OP7, "op8_warc_chain": OP8, "op9_line_spread": OP9, "op13_benchmark_overlap": OP13}

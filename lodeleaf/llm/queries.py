@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeleaf.llm.chat import op4_chat_format
+from lodeleaf.llm.decontam import op13_benchmark_overlap
 from lodeleaf.llm.linedup import op9_line_spread
 from lodeleaf.llm.lm import op2_attention_lm
 from lodeleaf.llm.mixing import op10_mix_sources
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_chain": op8_warc_chain,
     "op9_line_spread": op9_line_spread,
     "op10_mix_sources": op10_mix_sources,
+    "op13_benchmark_overlap": op13_benchmark_overlap,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
