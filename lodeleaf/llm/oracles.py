@@ -82,4 +82,23 @@ n AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT r, unnest(range
 t AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM m GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)"""
 
-ORACLE_SQL = {"op1_hash_tree_shards": OP1, "op3_ngram_jaccard": OP3, "op4_chat_format": OP4, "op7_quality_rules": OP7, "op8_warc_chain": OP8, "op9_line_spread": OP9, "op13_benchmark_overlap": OP13}
+OP11 = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS slot FROM s WHERE same AND id <> anchor_id QUALIFY slot <= 5),
+n AS (SELECT p.r, p.slot, p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON p.r = s.r AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY r, slot ORDER BY negative_score DESC, negative_id)::INT AS rank, negative_id, positive_score, negative_score FROM n QUALIFY rank <= 10"""
+
+OP12 = f"""WITH {CRC}, p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos, id, chars
+    FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {CRC_OF} % 6 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS x FROM p), crc_table),
+b AS (SELECT c.conv_id, 0 AS own, pos, id, chars FROM c JOIN p ON p.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h UNION ALL SELECT conv_id, 1, pos, id, chars FROM c JOIN p USING (conv_id) WHERE pos > h),
+l AS (SELECT conv_id, coalesce(list(id ORDER BY own, pos) FILTER (id IS NOT NULL), []) AS ids, list(chars ORDER BY own, pos) FILTER (id IS NOT NULL) AS cs FROM c LEFT JOIN b USING (conv_id) GROUP BY conv_id),
+x AS (SELECT conv_id, d, len(ids) AS n, md5(array_to_string(ids[1:d], ',')) AS k, coalesce(cs[d], 0) AS chars FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM l)),
+v AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, any_value(chars) AS chars, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM x GROUP BY d, k),
+s AS (SELECT x.d, x.k, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * v.chars)::BIGINT AS saved_tokens FROM v JOIN x ON x.conv_id = v.conv_id AND x.d <= v.d GROUP BY x.d, x.k),
+u AS (SELECT v.d, v.k, w.conv_id AS parent_conv_id, w.k AS above FROM v JOIN x ON x.conv_id = v.conv_id AND x.d = v.d - 1 JOIN v w ON w.d = x.d AND w.k = x.k),
+n AS (SELECT d - 1 AS d, above AS k, count(*) AS n_children FROM u GROUP BY d, above)
+SELECT conv_id, v.d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM v JOIN s USING (d, k) LEFT JOIN u USING (d, k) LEFT JOIN n USING (d, k)"""
+
+ORACLE_SQL = {"op1_hash_tree_shards": OP1, "op3_ngram_jaccard": OP3, "op4_chat_format": OP4, "op7_quality_rules": OP7, "op8_warc_chain": OP8, "op9_line_spread": OP9, "op11_focus_coordinates": OP11, "op12_prefix_rollup": OP12, "op13_benchmark_overlap": OP13}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeleaf.llm.chat import op4_chat_format
 from lodeleaf.llm.decontam import op13_benchmark_overlap
+from lodeleaf.llm.hardneg import op11_focus_coordinates
 from lodeleaf.llm.linedup import op9_line_spread
 from lodeleaf.llm.lm import op2_attention_lm
 from lodeleaf.llm.mixing import op10_mix_sources
@@ -17,6 +18,7 @@ from lodeleaf.llm.oracles import ORACLE_SQL
 from lodeleaf.llm.packing import op5_best_fit
 from lodeleaf.llm.quality import op7_quality_rules
 from lodeleaf.llm.sharding import op1_hash_tree_shards
+from lodeleaf.llm.trie import op12_prefix_rollup
 from lodeleaf.llm.warc import op8_warc_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_chain": op8_warc_chain,
     "op9_line_spread": op9_line_spread,
     "op10_mix_sources": op10_mix_sources,
+    "op11_focus_coordinates": op11_focus_coordinates,
+    "op12_prefix_rollup": op12_prefix_rollup,
     "op13_benchmark_overlap": op13_benchmark_overlap,
 }
 

@@ -28,4 +28,6 @@ def nothing(spark, docs, tmp_path_factory):
     docs.limit(0).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
