@@ -250,3 +250,6 @@ ORACLE_SQL: dict[str, str] = {
     "prioritize_dedup": f"WITH {CHOSEN} SELECT qid, place, chunk_id FROM chosen",
     "source_lists": f"WITH {CHOSEN}, {LISTED} SELECT qid, array_to_string({in_order('every')}, chr(10)) AS sources FROM given",
 }
+
+#: Searches by an index give what those without one do.
+ORACLE_SQL |= {f"{k}_indexed": ORACLE_SQL[k] for k in ("vector_topk", "chunk_matches", "compound_search", "literal_search")}

@@ -15,14 +15,17 @@ from lodeleaf.functions import tables as tb
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, catalog, context, evaluate, near_pairs, rank, sync
 from lodeleaf.operators.vector import top_k
+from lodeleaf.operators.vector_index import VectorIndex
 from lodeleaf.plans import retrieval
 from lodeleaf.plans import tables as t
 from lodeleaf.sources import chunking, files, html
-from lodeleaf.sources.scratch import stored
+from lodeleaf.sources.scratch import shared_path, stored
 
 CONFIG, SETTINGS = t.CONFIG, Settings()
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Share of the exact results that an index searched with few probes has to find.
+RECALL = 0.95
 
 
 def query(f: Query) -> Query:
@@ -184,10 +187,20 @@ def named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query
 def chunk_matches(spark: SparkSession, d: str) -> DataFrame:
     """Keywords met in text and path, their quality and priority, for every question and chunk with any."""
-    found = found_in(question_features(spark, d), t.chunks(spark, d))
+    return match_rows(found_in(question_features(spark, d), t.chunks(spark, d)))
+
+
+def match_rows(found: DataFrame) -> DataFrame:
     return found.select("qid", "chunk_id", F.col("m").cast("long").alias("m"), F.col("p").cast("long").alias("p"), "quality", F.col("priority").cast("long").alias("priority"))
 
 
+@query
+def chunk_matches_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """chunk_matches by postings of trigrams."""
+    f, chunks = question_features(spark, d), t.chunks(spark, d)
+    return match_rows(retrieval.matches(f, retrieval.form_hits([f], chunks, retrieval.form_index(chunks, shared_path(spark)))))
+
+
 @query
 def strong_and_score(spark: SparkSession, d: str) -> DataFrame:
     """Strength by both rules and the score, with the order of ids as rank."""
@@ -310,14 +323,32 @@ def priority_search(spark: SparkSession, d: str) -> DataFrame:
 def compound_search(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that hold a code of a question. A top-k report: the first of each code."""
     f, chunks = named(spark, d)
-    return augment.by_code(f, chunks, chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0), SETTINGS.code_chunks).select("qid", "chunk_id")
+    return augment.by_code(f, chunks, no_candidates(chunks), SETTINGS.code_chunks).select("qid", "chunk_id")
 
 
 @query
 def literal_search(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that hold a keyword literally. A top-k report."""
     f, chunks = question_features(spark, d), t.chunks(spark, d)
-    return augment.by_literal(f, chunks, chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0)).select("qid", "chunk_id")
+    return augment.by_literal(f, chunks, no_candidates(chunks)).select("qid", "chunk_id")
+
+
+def no_candidates(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.lit(0).cast("long").alias("qid"), "chunk_id").limit(0)
+
+
+@query
+def compound_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """compound_search by postings of trigrams. A top-k report."""
+    f, chunks = named(spark, d)
+    return augment.by_code(f, chunks, no_candidates(chunks), SETTINGS.code_chunks, augment.literal_index(chunks, shared_path(spark))).select("qid", "chunk_id")
+
+
+@query
+def literal_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """literal_search by postings of trigrams. A top-k report."""
+    f, chunks = question_features(spark, d), t.chunks(spark, d)
+    return augment.by_literal(f, chunks, no_candidates(chunks), index=augment.literal_index(chunks, shared_path(spark))).select("qid", "chunk_id")
 
 
 # ---------------------------------------------------------------- vectors
@@ -330,6 +361,20 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return near.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
+@query
+def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """vector_topk by an inverted file that is probed until the result is certain. A top-k report."""
+    near = VectorIndex.build(t.vectors(spark, d), shared_path(spark)).search(t.query_vectors(spark, d), SETTINGS.k)
+    return near.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
+
+
+@query
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact 20 nearest a search with as few probes as RECALL takes finds, by query."""
+    index, asked = VectorIndex.build(t.vectors(spark, d), shared_path(spark)), t.query_vectors(spark, d)
+    return index.recall(asked, top_k(asked, t.vectors(spark, d), SETTINGS.k), SETTINGS.k, index.probes_for(asked, SETTINGS.k, RECALL))
+
+
 @query
 def fallback_widen(spark: SparkSession, d: str) -> DataFrame:
     """What the wider search adds beyond the 20 nearest, of sites in scope."""

@@ -14,8 +14,10 @@ from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, rank
 from lodeleaf.operators.context import contexts, conversation_text, source_lists
+from lodeleaf.operators.gram_index import GramIndex
 from lodeleaf.operators.terms import occurrences
 from lodeleaf.operators.vector import top_k
+from lodeleaf.operators.vector_index import VectorIndex
 from lodeleaf.sources.scratch import stored
 
 NOT_FOUND = "No he encontrado información sobre esa consulta en la documentación disponible."
@@ -30,13 +32,25 @@ def features(questions: DataFrame, config: KeywordConfig, settings: Settings, by
     return f.withColumn("lists_documents", tx.asks_for_documents(F.col("question"))).withColumn("greeting", tx.greeting(F.col("question"), settings.greeting_length))
 
 
-def form_hits(features: list[DataFrame], chunks: DataFrame) -> DataFrame:
-    """(chunk_id, useful, useful_chars, term, place): the forms of all keywords that a chunk's text or path holds, in one pass over the chunks."""
+def searchable_rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, useful, useful_chars, text, path): what keyword search looks at in a chunk, and what its score takes."""
     text = F.col("text")
     useful_chars = F.length(tx.strip(tx.without_images(F.coalesce(text, F.lit("")))))
-    rows = chunks.select("chunk_id", tx.useful_ratio(text).alias("useful"), useful_chars.alias("useful_chars"), kw.searchable(text).alias("text"), tx.normalised(F.col("source")).alias("path"))
-    forms = [augment.exploded_forms(f).select(F.col("form").alias("term")) for f in features]
-    return stored(occurrences(rows, ["text", "path"], reduce(DataFrame.unionByName, forms)))
+    return chunks.select("chunk_id", tx.useful_ratio(text).alias("useful"), useful_chars.alias("useful_chars"), kw.searchable(text).alias("text"), tx.normalised(F.col("source")).alias("path"))
+
+
+def form_index(chunks: DataFrame, root: str) -> GramIndex:
+    """The index that form_hits() takes."""
+    return GramIndex.build(searchable_rows(chunks), root, ["text", "path"])
+
+
+def form_hits(features: list[DataFrame], chunks: DataFrame, index: GramIndex | None = None) -> DataFrame:
+    """(chunk_id, useful, useful_chars, term, place): the forms of all keywords that a chunk's text or path holds.
+
+    In one pass over the chunks, or by form_index() of them.
+    """
+    forms = reduce(DataFrame.unionByName, [augment.exploded_forms(f).select(F.col("form").alias("term")) for f in features])
+    return stored(occurrences(searchable_rows(chunks), ["text", "path"], forms) if index is None else index.occurrences(forms))
 
 
 def matches(f: DataFrame, hits: DataFrame) -> DataFrame:
@@ -58,20 +72,23 @@ def matches(f: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataFrame, found: DataFrame, settings: Settings, scope: Column | None = None, after_answer: bool = False) -> DataFrame:
+def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataFrame, found: DataFrame, settings: Settings, scope: Column | None = None, after_answer: bool = False, index: VectorIndex | None = None, literals: GramIndex | None = None) -> DataFrame:
     """(qid, chunk_id, rank, phase): vector search, widened where few strong sources are met, then paths, codes and priority words.
 
     qvecs(qid, qvec, raw): raw is the vector of the question as it was asked, which the wider search uses.
     A later phase sees what earlier ones found; its ranks go on from their number, in the order it finds them.
     after_answer: the stricter rules of the search after an answer without information.
+    index: an inverted file of the vectors, which is searched instead of them until its results are certain.
     """
     info = found.select("qid", "chunk_id", "m", "p")
     need = f.select("qid", "n_keywords", "required")
-    rows = vectors if scope is None else vectors.join(chunks.filter(scope).select("chunk_id"), "chunk_id", "left_semi")
+    within = None if scope is None else chunks.filter(scope).select("chunk_id")
+    rows = vectors if within is None else vectors.join(within, "chunk_id", "left_semi")
     asking = qvecs.join(f.select("qid"), "qid", "left_semi")
 
     def nearest(queries: DataFrame, k: int) -> DataFrame:
-        near = top_k(queries, rows, k).select("qid", "chunk_id", "rank")
+        near = top_k(queries, rows, k) if index is None else index.search(queries, k, within=within)
+        near = near.select("qid", "chunk_id", "rank")
         return stored(near.join(info, ["qid", "chunk_id"], "left").fillna(0, ["m", "p"]).join(need, "qid").join(chunks.select("chunk_id", "source"), "chunk_id"))
 
     first = nearest(asking.select("qid", "qvec"), settings.k)
@@ -97,7 +114,7 @@ def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataF
 
     pool = chunks if scope is None else chunks.filter(scope)
     out = added(out, augment.by_path(f, pool, found, out.select("qid", "chunk_id"), settings), "path")
-    out = added(out, augment.by_code(f, pool, out.select("qid", "chunk_id"), settings.code_chunks), "code")
+    out = added(out, augment.by_code(f, pool, out.select("qid", "chunk_id"), settings.code_chunks, literals if scope is None else None), "code")
     return added(out, augment.by_priority(f, pool, found, out.select("qid", "chunk_id"), settings.path_chunks_per_source), "priority")
 
 
@@ -124,6 +141,9 @@ def retrieve(
     scope: Column | None = None,
     generator: Callable[[Column], Column] = first_sentences,
     embedder: Callable[[Column], Column] | None = None,
+    index: VectorIndex | None = None,
+    forms: GramIndex | None = None,
+    literals: GramIndex | None = None,
 ) -> DataFrame:
     """questions(qid, question, qvec), chunks(chunk_id, source, source_hash, text), vectors(chunk_id, vec) to one answer a question.
 
@@ -131,6 +151,7 @@ def retrieve(
     in their order of appearance, and keep that result if more chunks qualify. Questions left without context get a literal search.
     Questions whose answer says that there is no information, and that were not tried again yet, are searched once more with
     keywords in their order and stricter rules; an answer with information then replaces the first.
+    With an index of the vectors, that is searched instead of all of them; so are forms and literals, form_index() and literal_index() of the chunks.
     With an embedder the vectors of expanded and raw questions are made here; else qvec serves, and raw_qvec if there is one.
     questions may bring conversation: array of (role, text), earlier turns for the prompt.
     """
@@ -142,11 +163,11 @@ def retrieve(
     asked = f.filter("greeting is null")
     in_order = features(asked.select("qid", "question", "talk", F.col("keywords").alias("had")), config, settings, by_length=False)
     in_order = stored(in_order.filter(~F.array_sort("keywords").eqNullSafe(F.array_sort("had"))).drop("had"))
-    hits = form_hits([asked, in_order], chunks)
+    hits = form_hits([asked, in_order], chunks, forms)
 
     def attempt(own: DataFrame, after_answer: bool = False) -> DataFrame:
         found = stored(matches(own, hits))
-        return stored(scored(own, candidates(own, qvecs, chunks, vectors, found, settings, scope, after_answer), chunks, found, guard=not after_answer))
+        return stored(scored(own, candidates(own, qvecs, chunks, vectors, found, settings, scope, after_answer, index, literals), chunks, found, guard=not after_answer))
 
     def selected(r: DataFrame) -> DataFrame:
         return stored(rank.prioritised(r, settings.context_chunks, settings.duplicate_above).join(r.select("qid", "chunk_id", "source", "text"), ["qid", "chunk_id"]))
@@ -173,7 +194,7 @@ def retrieve(
     context = contexts(best)
     empty = stored(asked.join(context.filter("context <> ''"), "qid", "left_anti"))
     if not empty.isEmpty():
-        literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total)
+        literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total, literals)
         literal = literal.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("place")) - 1).alias("rank"), F.lit("literal").alias("phase"))
         last = selected(stored(scored(empty, literal, chunks, matches(empty, hits))))
         best, context = best.unionByName(last), context.unionByName(contexts(last)).groupBy("qid").agg(F.max("context").alias("context"))

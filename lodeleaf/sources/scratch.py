@@ -18,15 +18,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_BYTES)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once under spark.checkpoint.dir and read back, which cuts its lineage; a temporary folder serves where local tests set none."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir; a temporary folder serves where local tests set none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeleaf-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/lodeleaf-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lodeleaf-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to a shared path and read back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
