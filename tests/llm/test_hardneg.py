@@ -59,7 +59,7 @@ def test_awkward_rows(spark, tmp_path):
     v = [1.0, 0.5, -0.25]
     odd = [(None, 1, v), (100, None, v), (200, 1, None), (300, 1, [1.0, None, 0.0]), (400, 1, [nan, 0.0, 0.0]), (500, 1, [inf, 0.0, 0.0]), (600, 1, []), (601, 1, []), (602, 2, []), (700, 3, [0.0, 0.0, 0.0])]
     odd += [(100, 2, v), (100, 2, v), (101, 2, v), (102, 2, v), (103, 2, [2.0, 1.0, 0.0]), (104, 4, [0.5, 0.25, 0.0]), (104, 4, [0.5, 0.25, 0.0]), (105, 5, [0.5, 0.25, 0.0]), (800, 2, [-1.0, 0.0, 0.0]), (801, 4, [1.0, 1.0, 1.0]), (900, 2, [1.0, 1.0]), (901, 2, [1.0, 1.0]), (902, 3, [0.5, 0.5])]
-    odd += [(1000, 6, [3e6, 1e6, 0.0]), (1001, 6, [2.5e6, 1e6, 5.0]), (1002, 8, [1e6, 1e6, 7.0])]
+    odd += [(1000, 6, [3e6, 1e6, 0.0]), (1003, 6, [2.5e6, 1e6, 5.0]), (1004, 8, [1e6, 1e6, 7.0])]
     rows = [(*x, 9, 9, "y") for x in odd]
     got = run(spark, rows, tmp_path)
     assert got == plain(rows) and any(k[0] == 1000 for k in got)
