@@ -6,11 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from lodeleaf.functions.paths import ancestors, basename, dirname
 from lodeleaf.functions.text import normalised
 from lodeleaf.operators.context import joined
 
+#: Characters of a document's content in one row.
+CONTENT_CHARS = 1 << 20
+
 
 def documents(chunks: DataFrame, folder: str | None = None, text: str | None = None, limit: int | None = None) -> DataFrame:
     """One row for each source: name, folder, chunks and the first chunk's hash, time and size (0 as null).
@@ -26,10 +30,15 @@ def documents(chunks: DataFrame, folder: str | None = None, text: str | None = N
     return out if limit is None else out.orderBy(F.lower("source"), "source").limit(limit)
 
 
-def details(chunks: DataFrame, only: Column | None = None) -> DataFrame:
-    """source, chunks and the text of all its chunks in order."""
+def details(chunks: DataFrame, only: Column | None = None, most: int = CONTENT_CHARS) -> DataFrame:
+    """source, part, chunks and the text of the part's chunks in order.
+
+    A source is one document. A part ends with the chunk that fills ``most`` characters, so that a row is bounded by that and one chunk.
+    """
     rows = chunks if only is None else chunks.filter(only)
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), joined(["chunk_index", "chunk_id"], F.col("text"), "\n\n").alias("content"))
+    before = Window.partitionBy("source").orderBy("chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", F.floor(F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) / most))
+    return rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("chunks"), joined(["chunk_index", "chunk_id"], F.col("text"), "\n\n").alias("content"))
 
 
 def matches_path(source: Column, patterns: tuple[str, ...]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import paths as ps
 from lodeleaf.functions import text as tx
+from lodeleaf.operators.catalog import CONTENT_CHARS
 from lodeleaf.plans.tables import CONFIG
 
 WORDS = r"[\p{L}\p{N}_]"
@@ -37,7 +38,9 @@ def trimmed(value: str) -> str:
 
 CODE = text(r"(?i)\b[a-z0-9]{2,}(?:-[a-z0-9]{1,})+\b")
 CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, text, lang || '/' || source || '/doc' || (doc_id % 10) || '.md' AS source, sha1(text) AS source_hash FROM documents)"
-INDEXED = CHUNKS + ", indexed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_id) - 1 AS chunk_index FROM chunks)"
+INDEXED = "indexed AS (SELECT *, unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS chunk_index FROM (SELECT doc_id, text AS body, lang || '/' || source || '/doc' || doc_id || '.md' AS source, sha1(text) AS source_hash FROM documents))"
+DETAILS = f"""{INDEXED}, cut AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {CONTENT_CHARS} AS part FROM indexed),
+details AS (SELECT doc_id, source, part, count(*) AS chunks, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) FILTER (text <> ''), '')) AS content_md5 FROM cut GROUP BY doc_id, source, part)"""
 ASKED = "asked AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user' AND conv_id % 50 = 0)"
 FIRST_WORDS = "list_concat(regexp_extract_all(lower(text), '[a-z]{4,}'), ['texto', 'texto', 'texto', 'texto', 'texto'])"
 NAMED_CHUNKS = f"""first_words AS (SELECT *, {FIRST_WORDS} AS w FROM documents),
@@ -234,9 +237,11 @@ ORACLE_SQL: dict[str, str] = {
     "conversation_tail": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations) SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS tail_md5 FROM r WHERE i <= 3 GROUP BY conv_id",
     "doc_list": f"""WITH {INDEXED}, g AS (SELECT source, count(*) AS chunks, arg_min(source_hash, chunk_index) AS source_hash, bool_or(contains({norm('text')}, 'and')) AS found FROM indexed GROUP BY source)
         SELECT source, regexp_extract(source, '[^/]*$') AS name, regexp_replace(source, '/[^/]*$', '') AS folder, chunks, source_hash FROM g WHERE found AND contains(regexp_replace(source, '/[^/]*$', ''), 'src1')""",
-    "doc_detail": f"WITH {INDEXED} SELECT source, count(*) AS chunks, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) FILTER (text <> ''), '')) AS content_md5 FROM indexed GROUP BY source",
+    "doc_detail": f"WITH {DETAILS} SELECT source, part, chunks, content_md5 FROM details",
+    "stored_detail": f"WITH {DETAILS} SELECT source, part, chunks, content_md5 FROM details WHERE doc_id % 50 = 0",
     "doc_delete": f"WITH {CHUNKS} SELECT source, count(*) AS chunks FROM chunks WHERE NOT prefix(source, 'de/') GROUP BY source",
     "force_reindex": f"WITH {CHUNKS} SELECT source, count(*) AS chunks FROM chunks WHERE contains(lower(source), 'en/src3') OR contains(lower(source), 'doc7') GROUP BY source",
+    "path_index_upkeep": f"WITH {SNAPSHOTS}, chunks AS (SELECT source FROM disk), {TOKENS} SELECT token, count(*) AS n_sources FROM token_index GROUP BY token",
     "sync_plan": f"WITH {SNAPSHOTS} SELECT source, state FROM plan",
     "sync_apply": f"WITH {SNAPSHOTS} SELECT source, source_hash FROM idx WHERE source NOT IN (SELECT source FROM plan WHERE state <> 'nuevo') UNION ALL SELECT source, source_hash FROM disk WHERE source IN (SELECT source FROM plan WHERE state IN ('nuevo', 'modificado'))",
     "sync_notice": f"WITH {SNAPSHOTS} SELECT CASE WHEN state = 'eliminado' THEN 'eliminados' ELSE 'procesados' END AS list, regexp_extract(source, '[^/]*$') AS nombre, source AS ruta FROM plan WHERE state <> 'oculto'",

@@ -14,12 +14,14 @@ from lodeleaf.functions import paths as ps
 from lodeleaf.functions import tables as tb
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, catalog, context, evaluate, near_pairs, rank, sync
+from lodeleaf.operators.path_index import PathIndex
 from lodeleaf.operators.vector import top_k
 from lodeleaf.operators.vector_index import VectorIndex
 from lodeleaf.plans import retrieval
 from lodeleaf.plans import tables as t
 from lodeleaf.sources import chunking, files, html
 from lodeleaf.sources.scratch import shared_path, stored
+from lodeleaf.sources.store import ChunkStore
 
 CONFIG, SETTINGS = t.CONFIG, Settings()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,8 +420,8 @@ def near_dup_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def context_concat(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of each source as one context, in order."""
-    rows = t.indexed_chunks(spark, d).select(F.col("source").alias("qid"), F.col("chunk_index").alias("place"), "text")
+    """Chunks of each document as one context, in order."""
+    rows = t.document_chunks(spark, d).select(F.col("source").alias("qid"), F.col("chunk_index").alias("place"), "text")
     return context.contexts(rows).select(F.col("qid").alias("source"), digest(F.col("context")).alias("context_md5"))
 
 
@@ -447,12 +449,25 @@ def source_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_list(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.documents(t.indexed_chunks(spark, d), folder="src1", text="ÁND").withColumn("chunks", F.col("chunks").cast("long"))
+    return catalog.documents(t.document_chunks(spark, d), folder="src1", text="ÁND").withColumn("chunks", F.col("chunks").cast("long"))
+
+
+def detail_rows(chunks: DataFrame) -> DataFrame:
+    return catalog.details(chunks).select("source", "part", F.col("chunks").cast("long").alias("chunks"), digest(F.col("content")).alias("content_md5"))
 
 
 @query
 def doc_detail(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.details(t.indexed_chunks(spark, d)).select("source", F.col("chunks").cast("long").alias("chunks"), digest(F.col("content")).alias("content_md5"))
+    """Contents of all documents, long ones in several rows."""
+    return detail_rows(t.document_chunks(spark, d))
+
+
+@query
+def stored_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Contents of the query set's documents, looked up in a store of all chunks."""
+    store = ChunkStore(spark, shared_path(spark))
+    store.append(t.document_chunks(spark, d))
+    return detail_rows(store.lookup(t.document_queries(spark, d)))
 
 
 @query
@@ -492,6 +507,16 @@ def sync_apply(spark: SparkSession, d: str) -> DataFrame:
     return sync.applied(index, steps, new)
 
 
+@query
+def path_index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """Sources by path token after the plan, from an index that was built before it and kept up since."""
+    disk, old, hidden = snapshots(spark, d)
+    index = PathIndex(spark, shared_path(spark))
+    index.update(old.select("source", F.lit("nuevo").alias("state")))
+    index.update(sync.plan(disk, old, hidden))
+    return index.numbers().select("token", F.col("n").alias("n_sources"))
+
+
 @query
 def sync_notice(spark: SparkSession, d: str) -> DataFrame:
     """Sources that the payloads of the notice name, by list, read back from them."""

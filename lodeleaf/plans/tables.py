@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lodeleaf.config import KeywordConfig
 
@@ -47,10 +46,19 @@ def named_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_words(spark, sf_dir).filter(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("doc_id").alias("qid"), question.alias("question"))
 
 
-def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the position in the source."""
-    own = Window.partitionBy("source").orderBy("chunk_id")
-    return chunks(spark, sf_dir).withColumn("chunk_index", (F.row_number().over(own) - 1).cast("long"))
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sources of their own, with their lines as chunks."""
+    docs = read(spark, sf_dir, "documents").select(document_source().alias("source"), F.sha1("text").alias("source_hash"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+    return docs.select(F.sha1(F.concat_ws("|", "source", F.col("chunk_index").cast("string"), "source_hash").cast("binary")).alias("chunk_id"), "source", "source_hash", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+def document_source() -> F.Column:
+    return F.concat("lang", F.lit("/"), "source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md"))
+
+
+def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source of the documents of the query set."""
+    return read(spark, sf_dir, "documents").filter(F.col("doc_id") % QUERY_EVERY == 0).select(document_source().alias("source"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small tables, and the queries with SQL on the smallest data."""
 
+import random
 import time
 
 import pytest
@@ -58,6 +59,7 @@ def test_conversation(spark):
 def test_catalog(spark):
     c = spark.createDataFrame([(1, "x/a.md", "A", 1), (2, "x/a.md", "B", 0), (3, "y/b.md", "C", 0)], "chunk_id int, source string, text string, chunk_index int").withColumn("source_hash", F.lit("h"))
     assert {(r["source"], r["content"]) for r in catalog.details(c).collect()} == {("x/a.md", "B\n\nA"), ("y/b.md", "C")}
+    assert sorted((r["source"], r["part"], r["content"]) for r in catalog.details(c, most=1).collect()) == [("x/a.md", 0, "B"), ("x/a.md", 1, "A"), ("y/b.md", 0, "C")]
     assert [r["path"] for r in catalog.folders(c).orderBy("path").collect()] == ["x", "y"]
     assert catalog.documents(c, text="c").count() == 1
 
@@ -116,6 +118,52 @@ def test_store(spark, tmp_path):
         store.delete("zzz")
 
 
+def test_store_is_bucketed(spark, tmp_path):
+    """Lookups read the folders of their sources; joins and groups by source move no chunk."""
+    store = ChunkStore(spark, str(tmp_path / "store"), parts=8)
+    rows = spark.createDataFrame([(f"s{i % 50}", i // 50, f"text {i}") for i in range(300)] + [(None, 0, "of no source")], "source string, chunk_index int, text string")
+    store.append(rows)
+    store.replace(store.read().select("source").limit(0), spark.createDataFrame([("s3", 0, "new", 7)], "source string, chunk_index int, text string, more int"))
+    every = store.read()
+    assert every.columns == ["source", "chunk_index", "text", "more"] and every.count() == 301 - 6 + 1
+    assert ChunkStore(spark, str(tmp_path / "store"), parts=8).read().filter("more = 7").count() == 1
+    some = spark.createDataFrame([("s3",), ("s7",)], "source string")
+    found = store.lookup(some)
+    files = lambda df: [f for f in df.inputFiles() if "/store/part=" in f]
+    assert found.count() == 7 and len(files(found)) <= 2 < len(files(every))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (catalog.details(every.withColumn("chunk_id", F.col("chunk_index"))), every.groupBy("source").count())]
+        assert not any("Exchange" in p for p in plans)
+        for kind in ("inner", "left_anti", "full_outer"):
+            plan = every.join(some, "source", kind)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1, kind
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_path_index_is_kept_up(spark, tmp_path):
+    """After any number of plans, also repeated ones, it equals an index built anew."""
+    from lodeleaf.operators import augment
+    from lodeleaf.operators.path_index import PathIndex
+
+    r, index, there = random.Random(3), PathIndex(spark, str(tmp_path / "index"), parts=4), set()
+    names = [f"{a}/{b}{c}-x{i % 7}.md" for i, (a, b, c) in enumerate((a, b, c) for a in ("Manual", "guias") for b in ("Alta", "Baja") for c in ("Cliente", "Factura", "ñandú"))] + ["a/b.c"]
+    for _ in range(4):
+        now = set(r.sample(names, 6))
+        steps = [(s, "nuevo") for s in now - there] + [(s, "eliminado") for s in there - now] + [(s, "modificado") for s in there & now]
+        plan = spark.createDataFrame(steps, "source string, state string")
+        index.update(plan)
+        index.update(plan)
+        there = now
+        anew = augment.token_index(spark.createDataFrame([(s,) for s in there], "source string"))
+        assert sorted(index.read().collect()) == sorted(anew.collect())
+        assert sorted(index.numbers().collect()) == sorted(anew.groupBy("token").count().collect())
+    before = sorted(index.numbers().collect())
+    index.recount()
+    assert sorted(index.numbers().collect()) == before
+
+
 def test_synchronise(spark, tmp_path):
     """New, changed, hidden and vanished files."""
     from lodeleaf.sources.chunking import chunked
