@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import paths as ps
+from lodeleaf.functions import stems as st
 from lodeleaf.functions import text as tx
 from lodeleaf.operators.catalog import CONTENT_CHARS
 from lodeleaf.plans.tables import CONFIG
@@ -134,6 +135,35 @@ plan AS (SELECT coalesce(d.source, i.source) AS source, CASE WHEN i.source IS NU
     FROM disk d FULL JOIN idx i ON d.source = i.source WHERE d.source_hash IS DISTINCT FROM i.source_hash UNION ALL SELECT source, 'oculto' FROM hidden)"""
 CLEANED = trimmed(r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')")
 
+def end_of(value: str, *suffixes: str) -> str:
+    return f"regexp_extract({value}, '{st.ending(*suffixes)}')"
+
+
+def cut(value: str, end: str) -> str:
+    return f"left({value}, length({value}) - length({end}))"
+
+
+def dropped(value: str, region: str, *suffixes: str) -> str:
+    end = end_of(value, *suffixes)
+    return f"CASE WHEN {end} <> '' AND length({value}) - length({end}) >= {region} THEN {cut(value, end)} ELSE {value} END"
+
+
+def upto(value: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches({value}, '{pattern}') THEN length(regexp_extract({value}, '{pattern}')) ELSE length({value}) END"
+
+
+#: From words(word) to stems(word, stem).
+STEMS = f"""s0 AS (SELECT word, word AS w, {upto('word', st.TO_R1)} AS r1, {upto('word', st.TO_RV)} AS rv FROM words),
+s1 AS (SELECT *, r1 + {upto('substr(w, r1 + 1)', st.TO_R1)} AS r2, {end_of('w', *st.PRONOUNS)} AS pron FROM s0), s2 AS (SELECT *, {cut('w', 'pron')} AS base FROM s1), s3 AS (SELECT *, {end_of('base', *st.BEFORE_PRONOUNS)} AS v FROM s2),
+s4 AS (SELECT *, CASE WHEN pron <> '' AND v <> '' AND length(base) - length(v) >= rv AND (v <> 'yendo' OR suffix(base, 'uyendo')) THEN {cut('base', 'v')} || translate(v, '{st.ACUTE}', '{st.BARE}') ELSE w END AS a FROM s3),
+s5 AS (SELECT *, {end_of('a', *st.STANDARD)} AS s FROM s4), s6 AS (SELECT *, {cut('a', 's')} AS c FROM s5), s7 AS (SELECT *, {dropped('c', 'r2', 'iv')} AS civ, length(c) >= r2 AS inside FROM s6),
+s8 AS (SELECT *, CASE WHEN s = '' THEN a WHEN s = 'amente' THEN CASE WHEN length(c) < r1 THEN a WHEN suffix(c, 'iv') THEN CASE WHEN length(civ) < length(c) THEN {dropped('civ', 'r2', 'at')} ELSE c END ELSE {dropped('c', 'r2', 'os', 'ic', 'ad')} END
+    WHEN NOT inside THEN a WHEN list_contains({array(st.PLAIN)}, s) THEN c WHEN list_contains({array(st.AFTER_IC)}, s) THEN {dropped('c', 'r2', 'ic')} WHEN list_contains({array(st.LOGY)}, s) THEN c || 'log' WHEN list_contains({array(st.UTION)}, s) THEN c || 'u'
+    WHEN list_contains({array(st.ENCE)}, s) THEN c || 'ente' WHEN s = 'mente' THEN {dropped('c', 'r2', 'ante', 'able', 'ible')} WHEN list_contains({array(st.IDAD)}, s) THEN {dropped('c', 'r2', 'abil', 'ic', 'iv')} ELSE {dropped('c', 'r2', 'at')} END AS b FROM s7),
+s9 AS (SELECT *, {end_of('substr(a, rv + 1)', *st.Y_VERBS)} AS y, {end_of('substr(a, rv + 1)', *st.GU_VERBS, *st.VERBS)} AS e FROM s8), s10 AS (SELECT *, {cut('a', 'y')} AS cy, {cut('a', 'e')} AS ce FROM s9),
+s11 AS (SELECT *, CASE WHEN b <> a THEN b WHEN y <> '' AND suffix(cy, 'u') THEN cy WHEN e = '' THEN a WHEN list_contains({array(st.GU_VERBS)}, e) AND suffix(ce, 'gu') THEN left(ce, length(ce) - 1) ELSE ce END AS d FROM s10),
+s12 AS (SELECT *, {end_of('d', *st.RESIDUES)} AS t FROM s11), s13 AS (SELECT *, {cut('d', 't')} AS ct FROM s12),
+stems AS (SELECT word, translate(CASE WHEN t = '' OR length(d) - length(t) < rv THEN d WHEN t IN ('e', 'é') AND suffix(ct, 'gu') AND length(ct) - 1 >= rv THEN left(ct, length(ct) - 1) ELSE ct END, '{st.ACUTE}', '{st.BARE}') AS stem FROM s13)"""
 EXPANDED = f"""a AS (SELECT conv_id, turn, lower(trim(text)) AS low FROM conversations WHERE role = 'user'),
 b AS (SELECT *, {norm('low')} AS base, regexp_extract_all({norm('low')}, '{WORDS}+') AS own FROM a),
 c AS (SELECT *, flatten(list_transform(own, lambda word: {verbs()})) AS verbs, flatten(list_transform(own, lambda word: {nouns()})) AS nouns FROM b),
@@ -250,7 +280,8 @@ ORACLE_SQL: dict[str, str] = {
     "case_variants": f"""WITH c AS (SELECT DISTINCT unnest(regexp_extract_all(text, {CODE})) AS code FROM documents),
         v AS (SELECT code, [code, lower(code), array_to_string(list_transform(regexp_extract_all(lower(code), '[a-z]+|[^a-z]+'), lambda p: upper(p[1]) || p[2:]), ''), upper(code)] AS every FROM c)
         SELECT code, array_to_string({in_order('every')}, ' ') AS variants FROM v""",
-    "query_expansion": f"WITH {EXPANDED} SELECT conv_id, turn, md5(array_to_string(list_filter([low, CASE WHEN base <> low THEN base ELSE '' END, array_to_string(v, ' '), array_to_string(n, ' ')], lambda p: p <> ''), ' ')) AS expanded_md5 FROM d",
+    "query_expansion": f"WITH {EXPANDED}, o AS (SELECT conv_id, turn, unnest(own) AS word, generate_subscripts(own, 1) AS i FROM d), words AS (SELECT DISTINCT word FROM o), {STEMS}, f AS (SELECT conv_id, turn, stem, min(i) AS i FROM o JOIN stems USING (word) WHERE length(stem) >= 3 GROUP BY ALL), g AS (SELECT conv_id, turn, string_agg(stem, ' ' ORDER BY i) AS stemmed FROM f GROUP BY ALL) SELECT conv_id, turn, md5(array_to_string(list_filter([low, CASE WHEN base <> low THEN base ELSE '' END, coalesce(stemmed, ''), array_to_string(v, ' '), array_to_string(n, ' ')], lambda p: p <> ''), ' ')) AS expanded_md5 FROM d LEFT JOIN g USING (conv_id, turn)",
+    "spanish_stems": f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORDS}+')) AS word FROM documents), {STEMS} SELECT word, stem FROM stems",
     "table_markdown": f"WITH {CELLS} SELECT conv_id, turn, md5(array_to_string(list_transform(list_concat([head, rule], CASE WHEN len(body) = 0 THEN [nothing] ELSE body END), lambda r: array_to_string(r, ' | ')), chr(10))) AS table_md5 FROM d",
     "prioritize_dedup": f"WITH {CHOSEN} SELECT qid, place, chunk_id FROM chosen",
     "source_lists": f"WITH {CHOSEN}, {LISTED} SELECT qid, array_to_string({in_order('every')}, chr(10)) AS sources FROM given",

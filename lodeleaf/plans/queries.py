@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from lodeleaf.config import Settings
 from lodeleaf.functions import keywords as kw
 from lodeleaf.functions import paths as ps
+from lodeleaf.functions import stems
 from lodeleaf.functions import tables as tb
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, catalog, context, evaluate, near_pairs, rank, sync
@@ -167,10 +168,17 @@ def nominalizations(spark: SparkSession, d: str) -> DataFrame:
     return distinct_words(spark, d).select("word", F.array_join(kw.nominalisations(F.col("word")), " ").alias("variants")).filter("variants <> ''")
 
 
+@query
+def spanish_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Of every distinct word in the corpus, accents kept."""
+    words = t.read(spark, d, "documents").select(F.explode(tx.words(F.lower("text"))).alias("word")).distinct()
+    return words.select("word", stems.spanish_stem(F.col("word")).alias("stem"))
+
+
 @query
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     rows = t.read(spark, d, "conversations").filter("role = 'user'")
-    return rows.select("conv_id", "turn", digest(kw.expanded(F.col("text"))).alias("expanded_md5"))
+    return rows.select("conv_id", "turn", digest(kw.expanded(F.col("text"), stems.stems(F.col("text")))).alias("expanded_md5"))
 
 
 def question_features(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from lodeleaf.config import KeywordConfig, Settings
 from lodeleaf.functions import keywords as kw
+from lodeleaf.functions import stems
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, rank
 from lodeleaf.operators.context import contexts, conversation_text, source_lists
@@ -157,7 +158,7 @@ def retrieve(
     """
     config, settings = config or KeywordConfig(), settings or Settings()
     text = F.col("question")
-    qvecs = questions.select("qid", (embedder(kw.expanded(text)) if embedder else F.col("qvec")).alias("qvec"), (embedder(text) if embedder else F.col("raw_qvec" if "raw_qvec" in questions.columns else "qvec")).alias("raw"))
+    qvecs = questions.select("qid", (embedder(kw.expanded(text, stems.stems(text))) if embedder else F.col("qvec")).alias("qvec"), (embedder(text) if embedder else F.col("raw_qvec" if "raw_qvec" in questions.columns else "qvec")).alias("raw"))
     talk = conversation_text(F.col("conversation"), text, settings.conversation_chars) if "conversation" in questions.columns else F.lit("")
     f = stored(features(questions.select("qid", "question", talk.alias("talk")), config, settings))
     asked = f.filter("greeting is null")
