@@ -18,22 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodeleaf.operators.vector import QUERY_BYTES
+from lodeleaf.operators.vector import QUERY_BYTES, matrix, scanning
 from lodeleaf.sources.scratch import bounded_batches, stored
 
 #: Lists, at most, and rows of the sample for each. Both bound what the driver and every task hold: centroids and sample.
 LISTS, SAMPLE_PER_LIST = 4096, 64
 #: Lists that each query probes first, and how many times as many each further round adds.
 PROBES, WIDEN = 8, 4
-#: Distances that a task holds at once.
-PAIRS = 1 << 21
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Lists of equal length as rows."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
-
 
 def centre_distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     squares = (rows * rows).sum(1)[:, None] - 2 * rows @ centres.T + (centres * centres).sum(1)
@@ -55,66 +48,6 @@ def assigning(sent, keep: list[str]):
     return run
 
 
-class Nearest:
-    """The k nearest rows of each query so far, ties by id."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.cut = k, np.full(n, np.inf)
-        self.rows, self.dist, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-
-    def add(self, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
-        rows, dist, ids = np.concatenate([self.rows, rows]), np.concatenate([self.dist, dist]), np.concatenate([self.ids, ids])
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], dist, rows))
-        rows, dist, ids = rows[order], dist[order], ids[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        kept = rank < self.k
-        self.rows, self.dist, self.ids = rows[kept], dist[kept], ids[kept]
-        last = rank == self.k - 1
-        self.cut[rows[last]] = dist[last]
-
-
-def scanned(best: Nearest, queries: np.ndarray, asking: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-    """Rows of a list against the queries that probe it. Products choose the rows; their distances are then summed in the order of their coordinates."""
-    norms = (x * x).sum(1)
-    for part in np.array_split(asking, -(-len(asking) * len(x) // PAIRS)):
-        q = queries[part]
-        own = (q * q).sum(1)
-        about = own[:, None] - 2 * q @ x.T + norms
-        slack = 1e-9 * (own + norms.max()) + 1e-300
-        bound = best.cut[part]
-        if len(x) > best.k:
-            bound = np.minimum(bound, np.partition(about, best.k - 1, axis=1)[:, best.k - 1] + slack)
-        r, c = np.nonzero(about <= (bound + slack)[:, None])
-        for some in np.array_split(np.arange(len(r)), max(1, len(r) * x.shape[1] // (4 * PAIRS))):
-            if len(some):
-                apart = q[r[some]] - x[c[some]]
-                exact = np.cumsum(apart * apart, axis=1)[:, -1] if x.shape[1] else np.zeros(len(some))
-                near = exact <= best.cut[part[r[some]]]
-                best.add(part[r[some]][near], exact[near], ids[c[some]][near])
-
-
-def scanning(sent, k: int, name: str, query: str):
-    """Rows (id, vec, list) to the k nearest of each query that probes their lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, queries, probing = sent.value
-        best = Nearest(len(queries), k)
-        kind = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists, ids, x = batch.column("list").to_numpy(), np.array(batch.column(name).to_pylist(), object), matrix(batch.column("vec"))
-            kind = batch.column(name).type
-            for own in np.unique(lists):
-                if len(asking := probing.get(int(own), ())):
-                    here = np.flatnonzero(lists == own)
-                    scanned(best, queries, asking, x[here], ids[here])
-        if kind is not None and len(best.rows):
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(best.rows)), pa.array(best.ids.tolist(), kind), pa.array(best.dist)], [query, name, "dist"])
-
-    return run
-
-
 def probes_of(sent, query: str, most: int):
     """Queries (query, qvec, cut, done) to the lists to probe next: the nearest ``most`` that are not done and may hold rows within cut."""
 
@@ -130,7 +63,7 @@ def probes_of(sent, query: str, most: int):
                 open_[i, done] = False
             order = np.argsort(far, axis=1, kind="stable")
             probes = [[int(j) for j in o[open_[i, o]][:most]] for i, o in enumerate(order)]
-            yield pa.RecordBatch.from_arrays([batch.column(query), batch.column("qvec"), pa.array(probes, pa.list_(pa.int32()))], [query, "qvec", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column(query), batch.column("qvec"), batch.column("cut"), pa.array(probes, pa.list_(pa.int32()))], [query, "qvec", "cut", "probes"])
 
     return run
 
@@ -212,14 +145,14 @@ class VectorIndex:
         asked = queries.withColumn("cut", F.lit(None).cast("double")).withColumn("done", F.array().cast("array<int>"))
         found, most = None, probes or PROBES
         while True:
-            sent = asked.mapInArrow(probes_of(centres, query, most), f"`{query}` {kind[query]}, qvec array<double>, probes array<int>").toArrow()
+            sent = asked.mapInArrow(probes_of(centres, query, most), f"`{query}` {kind[query]}, qvec array<double>, cut double, probes array<int>").toArrow()
             lists = sent["probes"].to_pylist()
             probing: dict[int, list[int]] = {}
             for i, own in enumerate(lists):
                 for x in own:
                     probing.setdefault(x, []).append(i)
             if probing:
-                to_all = (sent[query].combine_chunks(), matrix(sent["qvec"].combine_chunks()), {x: np.array(q) for x, q in probing.items()})
+                to_all = (sent[query].combine_chunks(), matrix(sent["qvec"].combine_chunks()), {x: np.array(q) for x, q in probing.items()}, np.array([np.inf if c is None else c for c in sent["cut"].to_pylist()]))
                 near = rows.filter(F.col("list").isin(list(probing))).mapInArrow(scanning(spark.sparkContext.broadcast(to_all), k, self.row, query), f"`{query}` {kind[query]}, `{self.row}` {kind[self.row]}, dist double")
                 near = near if found is None else near.unionByName(found.drop("rank"))
                 found = stored(near.withColumn("rank", order).filter(F.col("rank") < k))
