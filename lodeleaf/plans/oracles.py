@@ -174,7 +174,10 @@ c AS (SELECT *, list_transform(cells, lambda r: list_resize(list_transform(r, la
 d AS (SELECT *, CASE WHEN array_to_string(clean[1], '') = '' THEN list_transform(range(1, width + 1), lambda i: 'Columna ' || i) ELSE clean[1] END AS head,
     list_filter(clean[2:], lambda r: array_to_string(r, '') <> '') AS body, list_resize(['']::VARCHAR[], width, '') AS nothing, list_resize(['---']::VARCHAR[], width, '---') AS rule FROM c)"""
 # Chunks in the order of choice, then one step of the recursion for each: taken unless five are, or a taken one is its twin.
-CHOSEN = f"""{MATCHES.replace("chunks AS (", "RECURSIVE chunks AS (", 1)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) - 1 AS rank, CASE WHEN n <= 1 THEN 1 ELSE 2 END AS req FROM matches JOIN n USING (qid)),
+#: Candidates: of the 150 nearest chunks of each question those that match.
+RANKED = f"""{MATCHES}, q AS (SELECT qid, embedding::DOUBLE[] AS qvec FROM asked JOIN embeddings ON vec_id = qid // 1000), {nearest('SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS vec FROM embeddings', 150)},
+r AS (SELECT * EXCLUDE (dist), CASE WHEN n <= 1 THEN 1 ELSE 2 END AS req FROM matches JOIN near USING (qid, chunk_id) JOIN n USING (qid))"""
+CHOSEN = f"""{RANKED.replace("chunks AS (", "RECURSIVE chunks AS (", 1)},
 s AS (SELECT *, CASE WHEN m + p < req THEN false WHEN p > 0 THEN true ELSE m >= least(n, 3) END AS strong,
     5000 * p + 1000 * m + 500 * useful + 1500 * quality + 6000 * priority - rank - CASE WHEN p = 0 AND priority = 0 THEN 2000 ELSE 0 END AS score FROM r),
 o AS (SELECT *, count(*) FILTER (strong) OVER (PARTITION BY qid) AS n_strong FROM s QUALIFY strong OR n_strong < 5),
@@ -210,11 +213,11 @@ ORACLE_SQL: dict[str, str] = {
     "infinitive_variants": f"WITH {DISTINCT_WORDS} SELECT word, array_to_string({verbs()}, ' ') AS variants FROM words WHERE len({verbs()}) > 0",
     "nominalizations": f"WITH {DISTINCT_WORDS} SELECT word, array_to_string({nouns()}, ' ') AS variants FROM words WHERE len({nouns()}) > 0",
     "chunk_matches": f"WITH {MATCHES} SELECT qid, chunk_id, m, p, quality, priority FROM matches",
-    "strong_and_score": f"""WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) - 1 AS rank, CASE WHEN n <= 1 THEN 1 ELSE 2 END AS req FROM matches JOIN n USING (qid))
+    "strong_and_score": f"""WITH {RANKED}
         SELECT qid, chunk_id, CASE WHEN m + p < req THEN false WHEN p > 0 THEN true ELSE m >= least(n, 3) END AS strong, CASE WHEN m + p < req THEN false WHEN p > 0 THEN true ELSE m >= greatest(req + 1, n) END AS strong_legacy,
         m >= req AND (p > 0 OR m >= least(greatest(req + 1, n), 3)) AS admitted,
         round(5000 * p + 1000 * m + 500 * useful + 1500 * quality + 6000 * priority - rank - CASE WHEN p = 0 AND priority = 0 THEN 2000 ELSE 0 END, 3)::DOUBLE AS score FROM r""",
-    "coverage_ratio": f"""WITH {MATCHES}, c AS (SELECT qid, keyword, max(CASE WHEN {held('lower(text)', 'forms')} OR {held('lower(source)', 'forms')} THEN 1 ELSE 0 END) AS hit FROM forms LEFT JOIN matches USING (qid) GROUP BY qid, keyword)
+    "coverage_ratio": f"""WITH {RANKED}, c AS (SELECT qid, keyword, max(CASE WHEN {held('lower(text)', 'forms')} OR {held('lower(source)', 'forms')} THEN 1 ELSE 0 END) AS hit FROM forms LEFT JOIN r USING (qid) GROUP BY qid, keyword)
         SELECT qid, count(*) AS n_keywords, sum(hit)::BIGINT AS covered FROM c GROUP BY qid""",
     "path_tokens": f"WITH {CHUNKS}, {TOKENS} SELECT source, array_to_string(list_sort(tokens), ' ') AS tokens FROM path_tokens",
     "source_token_index": f"WITH {CHUNKS}, {TOKENS} SELECT token, count(*) AS n_sources FROM token_index GROUP BY token",
@@ -239,7 +242,7 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY min({{'o': o, 't': token}}), source) AS i FROM l12 JOIN token_index USING (token) GROUP BY qid, source QUALIFY i <= 12),
         b AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY p DESC, m DESC, length(text) DESC, chunk_id) AS j FROM s JOIN matches USING (qid, source) JOIN n USING (qid) WHERE p > 0 OR m >= greatest(1, CASE WHEN n <= 1 THEN 0 ELSE 1 END) QUALIFY j <= 2)
         SELECT qid, chunk_id FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i, j) <= 12"""),
-    "batch_evaluation": f"""WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) - 1 AS rank, CASE WHEN n <= 1 THEN 1 ELSE 2 END AS req FROM matches JOIN n USING (qid)),
+    "batch_evaluation": f"""WITH {RANKED},
         s AS (SELECT *, CASE WHEN m + p < req THEN false WHEN p > 0 THEN true ELSE m >= greatest(req + 1, n) END AS strong FROM r),
         k AS (SELECT * FROM s QUALIFY strong OR NOT bool_or(strong) OVER (PARTITION BY qid)),
         g AS (SELECT qid, source, min(rank) AS first, sum(1.0::DOUBLE / (rank + 1)) * count(*) * (1 + 0.4::DOUBLE * sum(m) + 1.5::DOUBLE * sum(p)) * CASE WHEN sum(p) = 0 THEN 0.4::DOUBLE ELSE 1 END AS score FROM k GROUP BY qid, source),

@@ -189,6 +189,11 @@ def found_in(f: DataFrame, chunks: DataFrame) -> DataFrame:
     return retrieval.matches(f, retrieval.form_hits([f], chunks))
 
 
+def found_for(f: DataFrame, chunks: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """From pairs of questions and chunks to their matches, for which the texts of these chunks alone are searched."""
+    return lambda pairs: retrieval.matches(f, retrieval.form_hits([f], chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")), pairs)
+
+
 def named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Features of questions that name paths and codes, and the chunks that have them."""
     return retrieval.features(t.named_questions(spark, d), CONFIG, SETTINGS), t.named_chunks(spark, d)
@@ -213,22 +218,18 @@ def chunk_matches_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def strong_and_score(spark: SparkSession, d: str) -> DataFrame:
-    """Strength by both rules and the score, with the order of ids as rank."""
-    f = question_features(spark, d)
-    rows = found_in(f, t.chunks(spark, d)).join(F.broadcast(f.select("qid", "n_keywords")), "qid")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")) - 1)
+    """Strength by both rules and the score of candidates."""
+    f, rows = ranked_candidates(spark, d)
     m, p, n = F.col("m"), F.col("p"), F.col("n_keywords")
-    score = rank.score(m, p, F.col("useful"), F.col("quality"), F.col("priority"), F.col("rank"))
-    return rows.select("qid", "chunk_id", rank.is_strong(m, p, n).alias("strong"), rank.is_strong_legacy(m, p, n).alias("strong_legacy"), rank.admitted_after_answer(m, p, n).alias("admitted"), F.round(score, 3).alias("score"))
+    return rows.select("qid", "chunk_id", rank.is_strong(m, p, n).alias("strong"), rank.is_strong_legacy(m, p, n).alias("strong_legacy"), rank.admitted_after_answer(m, p, n).alias("admitted"), F.round("score", 3).alias("score"))
 
 
 def ranked_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(features, candidates): every matched chunk as a candidate, by id."""
-    f = question_features(spark, d)
-    chunks = t.chunks(spark, d)
-    found = stored(found_in(f, chunks))
-    picked = found.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")) - 1).alias("rank"))
-    return f, retrieval.scored(f, picked, chunks, found)
+    """(features, candidates): those of each question's nearest chunks that match any keyword, by distance."""
+    f, chunks = question_features(spark, d), t.chunks(spark, d)
+    near = stored(top_k(t.question_vectors(spark, d), t.vectors(spark, d), SETTINGS.wide_k).select("qid", "chunk_id", "rank"))
+    found = stored(found_for(f, chunks)(near))
+    return f, retrieval.scored(f, near.join(found.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi"), chunks, found)
 
 
 @query
@@ -310,23 +311,20 @@ def path_token_match(spark: SparkSession, d: str) -> DataFrame:
 def source_augment(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by path for questions that have no candidates yet."""
     f, chunks = named(spark, d)
-    found = stored(found_in(f, chunks))
-    return augment.by_path(f, chunks, found, found.select("qid", "chunk_id").limit(0), SETTINGS).select("qid", "chunk_id")
+    return augment.by_path(f, chunks, found_for(f, chunks), no_candidates(chunks), SETTINGS).select("qid", "chunk_id")
 
 
 @query
 def legacy_source_augment(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by path as the batch evaluator adds them, for questions that have no candidates yet."""
     f, chunks = named(spark, d)
-    found = stored(found_in(f, chunks))
-    return augment.by_path_legacy(f, chunks, found, found.select("qid", "chunk_id").limit(0)).select("qid", "chunk_id")
+    return augment.by_path_legacy(f, chunks, found_for(f, chunks), no_candidates(chunks)).select("qid", "chunk_id")
 
 
 @query
 def priority_search(spark: SparkSession, d: str) -> DataFrame:
     f, chunks = named(spark, d)
-    found = stored(found_in(f, chunks))
-    return augment.by_priority(f, chunks, found, found.select("qid", "chunk_id").limit(0)).select("qid", "chunk_id")
+    return augment.by_priority(f, chunks, found_for(f, chunks), no_candidates(chunks)).select("qid", "chunk_id")
 
 
 @query
@@ -405,7 +403,7 @@ def best_source_eval(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def batch_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Results from the best source of each question, with every matched chunk as a candidate."""
+    """Results from the best source of each question, with the nearest chunks that match as candidates."""
     f, rows = ranked_candidates(spark, d)
     out = evaluate.batch_results(f.select("qid", "question"), rows.withColumn("phase", F.lit("vector")), retrieval.first_sentences, retrieval.SYSTEM)
     return out.select("qid", F.array_join("sources", ",").alias("sources"), "documents_used", digest(F.col("context")).alias("context_md5"))

@@ -54,15 +54,17 @@ def form_hits(features: list[DataFrame], chunks: DataFrame, index: GramIndex | N
     return stored(occurrences(searchable_rows(chunks), ["text", "path"], forms) if index is None else index.occurrences(forms))
 
 
-def matches(f: DataFrame, hits: DataFrame) -> DataFrame:
+def matches(f: DataFrame, hits: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id) with any keyword match: m in the text, p in the path, quality, priority, useful, useful_chars.
 
-    Questions meet form_hits() by an equi-join on the form.
+    Questions meet form_hits() by an equi-join on the form. pairs(qid, chunk_id): only these, which meet the hits of
+    their chunks first, so that no question meets a chunk that is none of its candidates.
     """
     k = f.select("qid", F.posexplode("forms").alias("pos", "k")).select("qid", "pos", "k.priority", "k.core", F.explode("k.forms").alias("term"))
     k = k.select("qid", "pos", "priority", F.array_contains("core", F.col("term")).alias("core"), "term").distinct()
+    joined = hits.join(k, "term") if pairs is None else pairs.select("qid", "chunk_id").distinct().join(hits, "chunk_id").join(k, ["qid", "term"])
     inside = F.col("place") == "text"
-    met = hits.join(k, "term").groupBy("qid", "chunk_id", "pos").agg(
+    met = joined.groupBy("qid", "chunk_id", "pos").agg(
         F.bool_or(inside).alias("t"), F.bool_or(~inside).alias("p"), F.bool_or(inside & F.col("core")).alias("c"), F.bool_or(~inside & F.col("priority")).alias("priority"),
         F.first("useful").alias("useful"), F.first("useful_chars").alias("useful_chars"),
     )
@@ -73,15 +75,14 @@ def matches(f: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataFrame, found: DataFrame, settings: Settings, scope: Column | None = None, after_answer: bool = False, index: VectorIndex | None = None, literals: GramIndex | None = None) -> DataFrame:
+def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataFrame, found: Callable[[DataFrame], DataFrame], settings: Settings, scope: Column | None = None, after_answer: bool = False, index: VectorIndex | None = None, literals: GramIndex | None = None) -> DataFrame:
     """(qid, chunk_id, rank, phase): vector search, widened where few strong sources are met, then paths, codes and priority words.
 
-    qvecs(qid, qvec, raw): raw is the vector of the question as it was asked, which the wider search uses.
+    found: from pairs(qid, chunk_id) to their matches(). qvecs(qid, qvec, raw): raw is the vector of the question as it was asked, which the wider search uses.
     A later phase sees what earlier ones found; its ranks go on from their number, in the order it finds them.
     after_answer: the stricter rules of the search after an answer without information.
     index: an inverted file of the vectors, which is searched instead of them until its results are certain.
     """
-    info = found.select("qid", "chunk_id", "m", "p")
     need = f.select("qid", "n_keywords", "required")
     within = None if scope is None else chunks.filter(scope).select("chunk_id")
     rows = vectors if within is None else vectors.join(within, "chunk_id", "left_semi")
@@ -89,7 +90,8 @@ def candidates(f: DataFrame, qvecs: DataFrame, chunks: DataFrame, vectors: DataF
 
     def nearest(queries: DataFrame, k: int) -> DataFrame:
         near = top_k(queries, rows, k) if index is None else index.search(queries, k, within=within)
-        near = near.select("qid", "chunk_id", "rank")
+        near = stored(near.select("qid", "chunk_id", "rank"))
+        info = found(near).select("qid", "chunk_id", "m", "p")
         return stored(near.join(info, ["qid", "chunk_id"], "left").fillna(0, ["m", "p"]).join(need, "qid").join(chunks.select("chunk_id", "source"), "chunk_id"))
 
     first = nearest(asking.select("qid", "qvec"), settings.k)
@@ -167,8 +169,9 @@ def retrieve(
     hits = form_hits([asked, in_order], chunks, forms)
 
     def attempt(own: DataFrame, after_answer: bool = False) -> DataFrame:
-        found = stored(matches(own, hits))
-        return stored(scored(own, candidates(own, qvecs, chunks, vectors, found, settings, scope, after_answer, index, literals), chunks, found, guard=not after_answer))
+        found = lambda pairs: matches(own, hits, pairs)
+        picked = candidates(own, qvecs, chunks, vectors, found, settings, scope, after_answer, index, literals)
+        return stored(scored(own, picked, chunks, found(picked), guard=not after_answer))
 
     def selected(r: DataFrame) -> DataFrame:
         return stored(rank.prioritised(r, settings.context_chunks, settings.duplicate_above).join(r.select("qid", "chunk_id", "source", "text"), ["qid", "chunk_id"]))
@@ -196,8 +199,8 @@ def retrieve(
     empty = stored(asked.join(context.filter("context <> ''"), "qid", "left_anti"))
     if not empty.isEmpty():
         literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total, literals)
-        literal = literal.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("place")) - 1).alias("rank"), F.lit("literal").alias("phase"))
-        last = selected(stored(scored(empty, literal, chunks, matches(empty, hits))))
+        literal = stored(literal.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("place")) - 1).alias("rank"), F.lit("literal").alias("phase")))
+        last = selected(stored(scored(empty, literal, chunks, matches(empty, hits, literal))))
         best, context = best.unionByName(last), context.unionByName(contexts(last)).groupBy("qid").agg(F.max("context").alias("context"))
     out = answered(f, best, context)
     # After an answer without information; what has been tried in this order already is not tried again.
