@@ -24,9 +24,14 @@ def one_edit_apart(token: Column, word: Column) -> Column:
     return F.when(F.abs(F.length(token) - F.length(word)) > 1, F.lit(False)).otherwise((F.levenshtein(token, word) <= 1) | ((F.length(token) == F.length(word)) & (F.length(token) > 1) & swapped))
 
 
-def keywords(text: Column, config: KeywordConfig, most: int = 7, by_length: bool = True) -> Column:
-    """Codes first, then other words of three letters or more, without stopwords and their misspellings and without parts of longer ones; at most ``most``."""
-    stop = literals(config.stopwords)
+def keywords(text: Column, config: KeywordConfig, most: int = 7, by_length: bool = True, stopped: tuple[Column, Column] | None = None) -> Column:
+    """Codes first, then other words of three letters or more, without stopwords and their misspellings and without parts of longer ones; at most ``most``.
+
+    stopped: of the text's words the stopwords and the misspelled ones, as operators.stopwords.stopped() finds them for
+    lists of any length; without it each word is compared with the configured list.
+    """
+    stop = literals(config.stopwords) if stopped is None else stopped[0]
+    near = (lambda t: F.exists(stop, lambda s: one_edit_apart(t, s))) if stopped is None else (lambda t: F.array_contains(stopped[1], t))
 
     def chosen(norm: Column) -> Column:
         codes = F.filter(F.array_distinct(F.transform(compound_codes(norm), F.lower)), lambda c: ~F.array_contains(stop, c))
@@ -35,7 +40,7 @@ def keywords(text: Column, config: KeywordConfig, most: int = 7, by_length: bool
             seen = F.concat(own, F.flatten(F.transform(own, lambda c: F.split(c, "-"))))
             plain = F.filter(
                 F.array_except(F.array_distinct(F.filter(words(norm), lambda t: F.length(t) >= 3)), F.concat(seen, stop)),
-                lambda t: (F.length(t) < 4) | ~F.exists(stop, lambda s: one_edit_apart(t, s)),
+                lambda t: (F.length(t) < 4) | ~near(t),
             )
             return let(F.concat(own, plain), lambda a: F.filter(a, lambda t: ~F.exists(a, lambda o: (F.length(o) > F.length(t)) & F.contains(o, t))))
 
@@ -89,24 +94,6 @@ def searchable(text: Column) -> Column:
     return normalised(without_images(F.lower(F.coalesce(text, F.lit("")))))
 
 
-def holds(text: Column, forms: Column) -> Column:
-    return F.exists(forms, lambda f: F.contains(text, f))
-
-
-def match_count(text: Column, forms: Column) -> Column:
-    """Keywords with a form inside the (normalised) text or path."""
-    return F.size(F.filter(forms, lambda k: holds(text, k["forms"])))
-
-
-def match_quality(text: Column, forms: Column) -> Column:
-    """One for each keyword met by itself, a half for one met by a synonym only."""
-    return F.aggregate(forms, F.lit(0.0), lambda a, k: a + F.when(holds(text, k["core"]), 1.0).when(holds(text, k["forms"]), 0.5).otherwise(0.0))
-
-
-def priority_count(path: Column, forms: Column) -> Column:
-    return F.size(F.filter(forms, lambda k: k["priority"] & holds(path, k["forms"])))
-
-
 # Verb endings with the infinitive endings they may stand for (the first that fits counts), and noun endings by infinitive ending.
 VERB_ENDINGS = (
     ("amos", ("ar",)), ("emos", ("er",)), ("imos", ("ir",)), ("ando", ("ar",)), ("iendo", ("er", "ir")), ("yendo", ("er", "ir")),

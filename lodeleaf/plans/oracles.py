@@ -7,7 +7,7 @@ from lodeleaf.functions import paths as ps
 from lodeleaf.functions import stems as st
 from lodeleaf.functions import text as tx
 from lodeleaf.operators.catalog import CONTENT_CHARS
-from lodeleaf.plans.tables import CONFIG
+from lodeleaf.plans.tables import CONFIG, STOPWORDS
 
 WORDS = r"[\p{L}\p{N}_]"
 
@@ -33,6 +33,11 @@ def norm(value: str) -> str:
     return f"strip_accents(lower({value}))"
 
 
+def one_byte(value: str) -> str:
+    """Letters without accents that take two bytes as one, since damerau_levenshtein counts bytes."""
+    return f"translate({value}, 'ßæœøłđðþ', '#$%&*+,;')"
+
+
 def trimmed(value: str) -> str:
     return rf"regexp_replace({value}, '^\s+|\s+$', '', 'g')"
 
@@ -50,17 +55,18 @@ NAMED_ASKED = "asked AS (SELECT doc_id AS qid, w[1] || ' ' || w[2] || ' ' || w[3
 TURNS = "asked AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
 
 
-def keywords(keys: str) -> str:
-    """CTEs from asked(keys, question) to kw(keys, in_order, found)."""
-    stop = array(CONFIG.stopwords)
+def keywords(keys: str, lists: bool = False) -> str:
+    """CTEs from asked(keys, question) to kw(keys, in_order, found). With lists, asked has stopwords and misspelled ones as arrays too."""
+    stop = "stops" if lists else array(CONFIG.stopwords)
+    near = "list_contains(nears, w)" if lists else f"len(list_filter({stop}, lambda s: damerau_levenshtein(w, s) <= 1)) > 0"
     codes = in_order(f"list_transform(regexp_extract_all(norm, {CODE}), lambda c: lower(c))")
     tokens = f"list_filter(regexp_extract_all(norm, '{WORDS}+'), lambda w: length(w) >= 3)"
     return f"""
-k0 AS (SELECT {keys}, {norm('question')} AS norm FROM asked),
+k0 AS (SELECT *, {norm('question')} AS norm FROM asked),
 k1 AS (SELECT *, list_filter({codes}, lambda c: NOT list_contains({stop}, c)) AS codes, {tokens} AS words FROM k0),
 k2 AS (SELECT *, list_concat(codes, flatten(list_transform(codes, lambda c: string_split(c, '-')))) AS seen, {in_order('words')} AS own FROM k1),
 k3 AS (SELECT *, list_concat(codes, list_filter(own, lambda w: NOT list_contains(seen, w) AND NOT list_contains({stop}, w)
-    AND (length(w) < 4 OR len(list_filter({stop}, lambda s: damerau_levenshtein(w, s) <= 1)) = 0))) AS every FROM k2),
+    AND (length(w) < 4 OR NOT {near}))) AS every FROM k2),
 k4 AS (SELECT *, list_filter(every, lambda w: len(list_filter(every, lambda o: length(o) > length(w) AND contains(o, w))) = 0) AS kept FROM k3),
 kw AS (SELECT {keys}, kept[1:7] AS in_order, CASE WHEN len(kept) <= 7 THEN kept ELSE list_transform(list_sort(list_transform(kept, lambda w, i:
     {{'k': -(length(w) + CASE WHEN list_contains({array(CONFIG.synonyms)}, w) THEN 3 ELSE 0 END), 'i': i, 'w': w}}))[1:7], lambda x: x.w) END AS found FROM k4)"""
@@ -207,6 +213,10 @@ ORACLE_SQL: dict[str, str] = {
     "caption_filter": f"SELECT conv_id, turn, md5(t) AS caption_md5, length(t) < 40 OR {any_of('t', tx.EMPTY_CAPTIONS)} AS is_empty FROM (SELECT conv_id, turn, {trimmed('text')} AS t FROM conversations)",
     "source_labels": f"WITH {CHUNKS} SELECT chunk_id, source || ' (fragmento: ' || replace(substr(text, 1, 150), chr(10), ' ') || '...)' AS label FROM chunks",
     "prompt_build": "SELECT conv_id, turn, md5('Responde solo con la información del contexto.' || chr(10) || chr(10) || 'Contexto:' || chr(10) || reverse(text) || chr(10) || chr(10) || 'Pregunta:' || chr(10) || text || chr(10) || chr(10) || 'Respuesta:') AS prompt_md5 FROM conversations WHERE role = 'user'",
+    "keyword_extract_long_list": f"""WITH held AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({norm('text')}, '{WORDS}+')) AS word FROM documents), often AS (SELECT word FROM held GROUP BY word ORDER BY count(*) DESC, word LIMIT {STOPWORDS}),
+        turns AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'), own AS (SELECT DISTINCT unnest(regexp_extract_all({norm('question')}, '{WORDS}+')) AS w FROM turns),
+        near AS (SELECT DISTINCT w FROM own JOIN often ON abs(length(w) - length(word)) <= 1 AND damerau_levenshtein({one_byte('w')}, {one_byte('word')}) <= 1),
+        asked AS (SELECT *, (SELECT list(word) FROM often) AS stops, (SELECT list(w) FROM near) AS nears FROM turns), {keywords('conv_id, turn', lists=True)} SELECT conv_id, turn, array_to_string(in_order, ' ') AS in_order FROM kw""",
     "keyword_extract": f"WITH {TURNS}, {keywords('conv_id, turn')} SELECT conv_id, turn, array_to_string(found, ' ') AS keywords, array_to_string(in_order, ' ') AS in_order FROM kw",
     "legacy_keywords": f"SELECT conv_id, turn, array_to_string({in_order('w')}, ' ') AS keywords FROM (SELECT conv_id, turn, list_filter(regexp_extract_all({norm('text')}, '{WORDS}+'), lambda w: length(w) >= 4) AS w FROM conversations WHERE role = 'user')",
     "keyword_forms": f"WITH {TURNS}, {keywords('conv_id, turn')}, kw_rows AS (SELECT DISTINCT unnest(found) AS keyword FROM kw), {forms()} SELECT keyword, array_to_string(list_sort(list_distinct(core)), ' ') AS core, array_to_string(list_sort(list_distinct(forms)), ' ') AS forms FROM forms",

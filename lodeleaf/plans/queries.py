@@ -16,6 +16,7 @@ from lodeleaf.functions import tables as tb
 from lodeleaf.functions import text as tx
 from lodeleaf.operators import augment, catalog, context, evaluate, near_pairs, rank, sync
 from lodeleaf.operators.path_index import PathIndex
+from lodeleaf.operators.stopwords import stopped
 from lodeleaf.operators.vector import top_k
 from lodeleaf.operators.vector_index import VectorIndex
 from lodeleaf.plans import retrieval
@@ -140,6 +141,16 @@ def keyword_extract(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(kw.keywords(F.col("text"), CONFIG), " ").alias("keywords"), F.array_join(kw.keywords(F.col("text"), CONFIG, by_length=False), " ").alias("in_order"))
 
 
+@query
+def keyword_extract_long_list(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of every user turn, with the corpus's t.STOPWORDS most widespread words and their misspellings as stopwords. The list is a top-k report."""
+    held = t.read(spark, d, "documents").select(F.explode(F.array_distinct(tx.words(tx.normalised(F.col("text"))))).alias("word"))
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(t.STOPWORDS).select("word")
+    rows = stopped(t.read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text"), "text", stored(often))
+    found = kw.keywords(F.col("text"), CONFIG, by_length=False, stopped=(F.col("stop_exact"), F.col("stop_near")))
+    return rows.select("conv_id", "turn", F.array_join(found, " ").alias("in_order"))
+
+
 @query
 def legacy_keywords(spark: SparkSession, d: str) -> DataFrame:
     rows = t.read(spark, d, "conversations").filter("role = 'user'")

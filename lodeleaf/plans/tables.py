@@ -9,6 +9,8 @@ from lodeleaf.config import KeywordConfig
 
 #: Search queries are the rows whose id is divisible by this.
 QUERY_EVERY = 50
+#: Words of the longest list of stopwords.
+STOPWORDS = 10_000
 
 
 #: Words that occur in the tables, so that synonyms and priority words are met.
