@@ -285,6 +285,8 @@ ORACLE_SQL: dict[str, str] = {
     "doc_delete": f"WITH {CHUNKS} SELECT source, count(*) AS chunks FROM chunks WHERE NOT prefix(source, 'de/') GROUP BY source",
     "force_reindex": f"WITH {CHUNKS} SELECT source, count(*) AS chunks FROM chunks WHERE contains(lower(source), 'en/src3') OR contains(lower(source), 'doc7') GROUP BY source",
     "path_index_upkeep": f"WITH {SNAPSHOTS}, chunks AS (SELECT source FROM disk), {TOKENS} SELECT token, count(*) AS n_sources FROM token_index GROUP BY token",
+    "caption_cache": """WITH h AS (SELECT page_id, html, sha1(base64(encode(html))) AS hash FROM pages), c AS (SELECT DISTINCT hash FROM h WHERE page_id % 3 = 0), m AS (SELECT page_id, h.hash, c.hash IS NOT NULL AS hit FROM h LEFT JOIN c USING (hash))
+        SELECT page_id, CASE WHEN hit THEN 'cached' ELSE 'new ' || substr(hash, 1, 8) END AS caption, count(*) FILTER (hit) OVER () AS hits, count(*) FILTER (NOT hit) OVER () AS misses FROM m""",
     "sync_plan": f"WITH {SNAPSHOTS} SELECT source, state FROM plan",
     "sync_apply": f"WITH {SNAPSHOTS} SELECT source, source_hash FROM idx WHERE source NOT IN (SELECT source FROM plan WHERE state <> 'nuevo') UNION ALL SELECT source, source_hash FROM disk WHERE source IN (SELECT source FROM plan WHERE state IN ('nuevo', 'modificado'))",
     "sync_notice": f"WITH {SNAPSHOTS} SELECT CASE WHEN state = 'eliminado' THEN 'eliminados' ELSE 'procesados' END AS list, regexp_extract(source, '[^/]*$') AS nombre, source AS ruta FROM plan WHERE state <> 'oculto'",

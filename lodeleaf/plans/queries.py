@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -51,6 +51,24 @@ def flagship_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.retrieve(t.question_vectors(spark, d), t.chunks(spark, d), t.vectors(spark, d), CONFIG, SETTINGS)
 
 
+@query
+def retrieval_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Searches made and candidates by phase, of every question of the query set."""
+    out = retrieval.retrieve(t.question_vectors(spark, d), t.chunks(spark, d), t.vectors(spark, d), CONFIG, SETTINGS, trace=True)
+    rows = out.select("qid", F.array_join("searches", " ").alias("searches"), F.explode_outer("candidates").alias("c"))
+    return rows.groupBy("qid", "searches", F.col("c.phase").alias("phase")).agg(F.count("c").alias("n"))
+
+
+@query
+def caption_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of pages as images of which a third is in the cache, and the counts that the same run observed, on each row."""
+    pages = t.read(spark, d, "pages").select(F.col("page_id").alias("image_id"), F.encode("html", "UTF-8").alias("content"))
+    cache = pages.filter("image_id % 3 = 0").select(files.image_hash(F.col("content")).alias("hash"), F.lit("cached").alias("caption")).distinct()
+    seen = Observation("captions")
+    made = stored(files.captions(pages, lambda new: new.withColumn("caption", F.concat(F.lit("new "), F.substr("hash", F.lit(1), F.lit(8)))), cache, seen))
+    return made.select(F.col("image_id").alias("page_id"), "caption", F.lit(seen.get["hits"]).cast("long").alias("hits"), F.lit(seen.get["misses"]).cast("long").alias("misses"))
+
+
 # ---------------------------------------------------------------- text
 
 

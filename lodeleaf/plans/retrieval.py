@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -147,6 +147,8 @@ def retrieve(
     index: VectorIndex | None = None,
     forms: GramIndex | None = None,
     literals: GramIndex | None = None,
+    trace: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """questions(qid, question, qvec), chunks(chunk_id, source, source_hash, text), vectors(chunk_id, vec) to one answer a question.
 
@@ -156,14 +158,18 @@ def retrieve(
     keywords in their order and stricter rules; an answer with information then replaces the first.
     With an index of the vectors, that is searched instead of all of them; so are forms and literals, form_index() and literal_index() of the chunks.
     With an embedder the vectors of expanded and raw questions are made here; else qvec serves, and raw_qvec if there is one.
-    questions may bring conversation: array of (role, text), earlier turns for the prompt.
+    questions may bring conversation: array of (role, text), earlier turns for the prompt. Those without text are refused: they have no answer.
+    trace: with searches, the attempts made for a question, and candidates, an array of those of the attempt that
+    stands, by phase and rank. seen: gets the numbers of questions, of found answers and of searches of each kind when the result is used.
     """
     config, settings = config or KeywordConfig(), settings or Settings()
     text = F.col("question")
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    waiting = F.col("greeting").isNull() & ~blank
     qvecs = questions.select("qid", (embedder(kw.expanded(text, stems.stems(text))) if embedder else F.col("qvec")).alias("qvec"), (embedder(text) if embedder else F.col("raw_qvec" if "raw_qvec" in questions.columns else "qvec")).alias("raw"))
     talk = conversation_text(F.col("conversation"), text, settings.conversation_chars) if "conversation" in questions.columns else F.lit("")
     f = stored(features(questions.select("qid", "question", talk.alias("talk")), config, settings))
-    asked = f.filter("greeting is null")
+    asked = f.filter(waiting)
     in_order = features(asked.select("qid", "question", "talk", F.col("keywords").alias("had")), config, settings, by_length=False)
     in_order = stored(in_order.filter(~F.array_sort("keywords").eqNullSafe(F.array_sort("had"))).drop("had"))
     hits = form_hits([asked, in_order], chunks, forms)
@@ -179,9 +185,9 @@ def retrieve(
     def answered(own: DataFrame, best: DataFrame, context: DataFrame) -> DataFrame:
         out = own.join(context, "qid", "left").join(source_lists(best, own), "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
         said = generator(tx.prompt(SYSTEM, F.col("context"), F.col("talk"), F.col("question")))
-        answer = F.when(F.col("greeting").isNotNull(), F.lit("")).when(F.col("context") == "", NOT_FOUND).otherwise(said)
+        answer = F.when(blank, F.lit(None).cast("string")).when(F.col("greeting").isNotNull(), F.lit("")).when(F.col("context") == "", NOT_FOUND).otherwise(said)
         out = out.withColumn("answer", answer).withColumn("asks", tx.clarification(F.col("answer")))
-        return stored(out.select("qid", "question", "greeting", "keywords", "sources", "context", F.col("asks.text").alias("answer"), F.col("asks.asks").alias("needs_clarification"), ((F.col("context") != "") & tx.answer_found(F.col("answer"))).alias("found")))
+        return stored(out.select("qid", "question", "greeting", "keywords", "sources", "context", F.col("asks.text").alias("answer"), F.col("asks.asks").alias("needs_clarification"), ((F.col("context") != "") & F.coalesce(tx.answer_found(F.col("answer")), F.lit(False))).alias("found")))
 
     rows = attempt(asked)
     poor = augment.coverage(asked, rows).filter((F.col("n_keywords") >= 4) & (F.col("covered") / F.col("n_keywords") < 0.5)).select("qid")
@@ -193,20 +199,38 @@ def retrieve(
         better = stored(better)
         rows = stored(rows.join(better, "qid", "left_anti").unionByName(second.join(better, "qid", "left_semi")))
         f = stored(f.join(better, "qid", "left_anti").unionByName(again.join(better, "qid", "left_semi")))
-        asked = f.filter("greeting is null")
+        asked = f.filter(waiting)
     best = selected(rows)
     context = contexts(best)
     empty = stored(asked.join(context.filter("context <> ''"), "qid", "left_anti"))
     if not empty.isEmpty():
         literal = augment.by_literal(empty, chunks, rows.select("qid", "chunk_id"), settings.literal_length, settings.literal_per_term, settings.literal_total, literals)
         literal = stored(literal.select("qid", "chunk_id", (F.row_number().over(Window.partitionBy("qid").orderBy("place")) - 1).alias("rank"), F.lit("literal").alias("phase")))
-        last = selected(stored(scored(empty, literal, chunks, matches(empty, hits, literal))))
+        late = stored(scored(empty, literal, chunks, matches(empty, hits, literal)))
+        rows = rows.unionByName(late)
+        last = selected(late)
         best, context = best.unionByName(last), context.unionByName(contexts(last)).groupBy("qid").agg(F.max("context").alias("context"))
     out = answered(f, best, context)
     # After an answer without information; what has been tried in this order already is not tried again.
-    left = stored(in_order.join(out.filter(~F.col("found") & F.col("greeting").isNull()), "qid", "left_semi").join(again.select("qid"), "qid", "left_anti").filter("n_keywords > 0"))
+    left = stored(in_order.join(out.filter(~F.col("found") & waiting), "qid", "left_semi").join(again.select("qid"), "qid", "left_anti").filter("n_keywords > 0"))
+    searches = [asked.select("qid", F.lit("first").alias("search")), again.select("qid", F.lit("order").alias("search")), empty.select("qid", F.lit("literal").alias("search")), left.select("qid", F.lit("answer").alias("search"))]
     if not left.isEmpty():
-        best = selected(attempt(left, after_answer=True))
+        last = attempt(left, after_answer=True)
+        best = selected(last)
         new = answered(left, best, contexts(best)).filter("found")
         out = out.join(new.select("qid"), "qid", "left_anti").unionByName(new)
-    return out.select("qid", "question", "greeting", F.array_join("keywords", " ").alias("keywords"), F.coalesce(F.array_join("sources", "\n"), F.lit("")).alias("sources"), "context", "answer", "needs_clarification", "found")
+        rows = rows.join(new.select("qid"), "qid", "left_anti").unionByName(last.join(new.select("qid"), "qid", "left_semi"))
+    columns = ["qid", "question", "greeting", F.array_join("keywords", " ").alias("keywords"), F.coalesce(F.array_join("sources", "\n"), F.lit("")).alias("sources"), "context", "answer", "needs_clarification", "found"]
+    if trace or seen is not None:
+        made = reduce(DataFrame.unionByName, searches).groupBy("qid").agg(F.array_sort(F.collect_list("search")).alias("searches"))
+        out = out.join(made, "qid", "left").withColumn("searches", F.coalesce("searches", F.array().cast("array<string>")))
+    if trace:
+        step = F.struct("phase", "rank", "chunk_id", "m", "p", "score")
+        own = rows.groupBy("qid").agg(F.array_sort(F.collect_list(step)).alias("candidates"))
+        out = out.join(own, "qid", "left")
+        out = out.withColumn("candidates", F.coalesce("candidates", F.array().cast(own.schema["candidates"].dataType)))
+        columns += ["searches", "candidates"]
+    if seen is not None:
+        counts = [F.count_if(F.array_contains("searches", kind)).alias(kind) for kind in ("first", "order", "literal", "answer")]
+        out = out.observe(seen, F.count(F.lit(1)).alias("questions"), F.count_if("found").alias("found"), *counts)
+    return out.select(*columns)

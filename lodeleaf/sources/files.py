@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodeleaf.functions.paths import basename, extension, source_key
@@ -59,12 +59,23 @@ def image_admitted(size: Column, width: Column, height: Column) -> Column:
     return (size >= LEAST_IMAGE_BYTES) & big(width) & big(height)
 
 
-def captions(images: DataFrame, captioner, cache: DataFrame | None = None) -> DataFrame:
+def image_hash(content: Column) -> Column:
+    """Digest of an image's bytes in base64. Spark's base64 has line breaks, which are taken out."""
+    return F.sha1(F.translate(F.base64(content), "\r\n", ""))
+
+
+def captions(images: DataFrame, captioner, cache: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """images(image_id, content) to image_id, caption: each distinct image is captioned once, those in cache(hash, caption) never.
 
-    captioner: function from a DataFrame(hash, content) to one with caption added.
+    captioner: function from a DataFrame(hash, content) to one with caption added. seen: gets the images that the cache
+    had (hits), the others (misses) and those left without a caption (none) when the result is used.
     """
-    keyed = images.withColumn("hash", F.sha1(F.base64("content")))
+    keyed = images.withColumn("hash", image_hash(F.col("content")))
     known = cache.select("hash", "caption") if cache is not None else keyed.select("hash", F.lit(None).cast("string").alias("caption")).limit(0)
     new = captioner(keyed.select("hash", "content").dropDuplicates(["hash"]).join(known, "hash", "left_anti")).select("hash", "caption")
-    return keyed.select("image_id", "hash").join(known.unionByName(new), "hash", "left").select("image_id", "caption")
+    both = known.withColumn("cached", F.lit(True)).unionByName(new.withColumn("cached", F.lit(False)))
+    out = keyed.select("image_id", "hash").join(both, "hash", "left")
+    if seen is not None:
+        hit = F.coalesce("cached", F.lit(False))
+        out = out.observe(seen, F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(F.col("caption").isNull()).alias("none"))
+    return out.select("image_id", "caption")

@@ -215,6 +215,27 @@ def test_answers_without_information_are_searched_again(spark):
     assert not out["found"]
 
 
+def test_trace_and_observed_counts(spark, sf):
+    """What a run observes equals what its rows say; a question without text is refused."""
+    from pyspark.sql import Observation
+
+    from lodeleaf.plans import retrieval
+    from lodeleaf.plans import tables as t
+
+    asked = t.question_vectors(spark, sf)
+    more = asked.limit(1).select(F.lit(-1).cast("long").alias("qid"), F.lit("  ").alias("question"), "qvec")
+    seen = Observation("retrieval")
+    out = retrieval.retrieve(asked.unionByName(more), t.chunks(spark, sf), t.vectors(spark, sf), t.CONFIG, trace=True, seen=seen).collect()
+    assert seen.get["questions"] == len(out) and seen.get["found"] == sum(r["found"] for r in out)
+    assert all(seen.get[k] == sum(k in r["searches"] for r in out) for k in ("first", "order", "literal", "answer"))
+    (blank,) = [r for r in out if r["qid"] == -1]
+    assert blank["answer"] is None and not blank["found"] and blank["searches"] == [] and blank["candidates"] == []
+    for r in out:
+        ranks = [c["rank"] for c in r["candidates"] if c["phase"] == "vector"]
+        assert len(ranks) <= 20 and len(ranks) == len(set(ranks)) and (not r["context"] or r["candidates"])
+    assert any(r["candidates"] for r in out)
+
+
 def test_batch_results(spark, tmp_path):
     """Strong candidates of the best source only; questions without candidates stay."""
     asked = spark.createDataFrame([(1, "uno"), (2, "dos")], "qid long, question string")
