@@ -29,15 +29,10 @@ ACCENTED, PLAIN = _folding()
 
 
 def strip_accents(text: Column) -> Column:
-    """Accents off precomposed Latin letters, in the JVM; strip_accents_exact covers all of Unicode."""
+    """Accents off precomposed Latin letters."""
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents_exact(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
-
-
 def normalised(text: Column) -> Column:
     return strip_accents(F.lower(text))
 
@@ -120,6 +115,7 @@ ALTERNATIVES = (
     r"s[ií]\s+(tengo|tenemos|hay|existe[n]?|encuentro)\s+.{3,60}\b(relacionad[oa]s?|disponibles?)",
     r"se\s+(centra|enfoca|refiere)\s+(en|a)\b",
 )
+# Fixed value: the mark of answers that ask back.
 CLARIFICATION = r"^\s*\[ACLARACI[OÓ]N\]\s*"
 # Patterns of captions without content, and of phrases put before a caption.
 EMPTY_CAPTIONS = (
