@@ -32,20 +32,16 @@ class PathIndex:
         Sources that are there already or not at all change nothing, so a plan may be applied again. Only folders of
         these sources and of their tokens are written. If that ends between the two tables, recount() mends the numbers.
         """
-        new = stored(steps.filter("state = 'nuevo' and source is not null").select("source").distinct())
-        gone = stored(steps.filter("state = 'eliminado'").select("source").distinct())
-        known = stored(self.tokens.lookup(new.unionByName(gone)).select("source", "token")) if self.tokens.exists() else self.spark.createDataFrame([], "source string, token string")
+        steps = stored(steps.filter("state in ('nuevo', 'eliminado') and source is not null").select("source", "state").distinct())
+        known = stored(self.tokens.lookup(steps).select("source", "token")) if self.tokens.exists() else self.spark.createDataFrame([], "source string, token string")
         # A path without tokens is known by a row with none.
-        came = new.join(known, "source", "left_anti").select("source", F.explode_outer(path_tokens(F.col("source"))).alias("token"))
-        went = known.join(gone, "source", "left_semi")
-        came, went = stored(came.select("token", "source")), stored(went.select("token", "source"))
-        signed = came.select("token", F.lit(1).alias("sign")).unionByName(went.select("token", F.lit(-1).alias("sign")))
-        delta = stored(signed.filter("token is not null").groupBy("token").agg(F.sum("sign").alias("n")).filter("n <> 0"))
-        self.tokens.replace(went.select("source").distinct(), None if came.isEmpty() else came)
-        if not delta.isEmpty():
-            old = self.counts.lookup(delta) if self.counts.exists() else delta.limit(0)
-            merged = stored(old.unionByName(delta).groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0"))
-            self.counts.replace(delta, merged)
+        came = steps.filter("state = 'nuevo'").join(known, "source", "left_anti").select("source", F.explode_outer(path_tokens(F.col("source"))).alias("token"), F.lit(1).alias("sign"))
+        went = known.join(steps.filter("state = 'eliminado'"), "source", "left_semi").select("source", "token", F.lit(-1).alias("sign"))
+        change = stored(came.unionByName(went))
+        delta = stored(change.filter("token is not null").groupBy("token").agg(F.sum("sign").alias("n")).filter("n <> 0"))
+        new = change.filter("sign = 1").select("source", "token")
+        self.tokens.replace(change.filter("sign = -1").select("source"), None if new.isEmpty() else new)
+        self.counts.rewrite(delta, lambda there: (delta if there is None else there.unionByName(delta)).groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0"))
 
     def recount(self) -> None:
         """The numbers anew, from all tokens."""

@@ -520,10 +520,11 @@ def force_reindex(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """disk, index and hidden: documents are indexed; those labelled good have changed on disk, toxic ones are hidden, unlabelled German ones are gone; pages are new."""
-    docs = t.read(spark, d, "documents").join(t.read(spark, d, "labels"), "doc_id", "left").withColumn("source", F.concat("lang", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md")))
-    index = docs.select("source", F.sha1("text").alias("source_hash"))
+    docs = t.read(spark, d, "documents").select("doc_id", "lang", F.sha1("text").alias("own"), F.sha1(F.reverse("text")).alias("changed"))
+    docs = docs.join(t.read(spark, d, "labels"), "doc_id", "left").withColumn("source", F.concat("lang", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md")))
+    index = docs.select("source", F.col("own").alias("source_hash"))
     there = docs.filter((F.coalesce("toxic", F.lit(0)) == 0) & ~(F.col("toxic").isNull() & (F.col("lang") == "de")))
-    disk = there.select("source", F.sha1(F.when(F.col("quality") == 1, F.reverse("text")).otherwise(F.col("text"))).alias("source_hash"))
+    disk = there.select("source", F.when(F.col("quality") == 1, F.col("changed")).otherwise(F.col("own")).alias("source_hash"))
     pages = t.read(spark, d, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.sha1("html").alias("source_hash"))
     return disk.unionByName(pages), index, docs.filter("toxic = 1").select("source")
 

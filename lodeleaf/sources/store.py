@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,14 @@ from lodeleaf.sources.scratch import stored
 class KeyedTable:
     """Rows(key, ...) under root/part=0 to root/part=parts-1; part is the number that Spark's buckets have.
 
-    The files are registered in the session's catalog as a partitioned and bucketed table, under a name of this object's own.
+    The files are registered in the session's catalog as an external table, partitioned and bucketed, under a name of this object's own.
     One writer at a time. A reader that listed files before a change has to read anew if they are gone.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, parts: int = 64, order: tuple[str, ...] = ()):
         self.spark, self.root, self.key, self.parts, self.order = spark, root.rstrip("/"), key, parts, order
-        self.name, self.schema = f"lodeleaf_{uuid.uuid4().hex}", None
+        self.name: str | None = None
+        self.schema: T.StructType | None = None
 
     def _path(self, name: str = ""):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
@@ -35,16 +37,24 @@ class KeyedTable:
         return fs.exists(path) and any(s.getPath().getName().startswith("part=") for s in fs.listStatus(path))
 
     def _register(self, more: T.StructType | None = None) -> None:
-        """The table over what is stored, with columns that rows to come have more."""
-        there = self.schema or (self.spark.read.option("mergeSchema", "true").parquet(self.root).drop("part").schema if self.exists() else T.StructType())
-        new = [f for f in (more.fields if more else []) if f.name not in there.names]
-        self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*there.fields, *new]])
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        sorted_ = ", ".join(f"`{c}`" for c in (self.order or (self.key,)))
-        self.spark.sql(f"CREATE TABLE {self.name} ({columns}, part INT) USING parquet PARTITIONED BY (part) CLUSTERED BY (`{self.key}`) SORTED BY ({sorted_}) INTO {self.parts} BUCKETS LOCATION '{self.root}'")
-        if self.exists():
-            self.spark.catalog.recoverPartitions(self.name)
+        """The table over what is stored, with columns that rows to come have more.
+
+        It is made once, and again under another name if columns come; each use brings its folders up to date. It is
+        never dropped, since a DataFrame read before asks for it when it runs.
+        """
+        fs, path = self._path()
+        if self.schema is None:
+            self.schema = self.spark.read.option("mergeSchema", "true").parquet(self.root).drop("part").schema if self.exists() else T.StructType()
+        new = [f for f in (more.fields if more else []) if f.name not in self.schema.names]
+        if new or self.name is None:
+            self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*self.schema.fields, *new]])
+            name = f"lodeleaf_{uuid.uuid4().hex}"
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+            sorted_ = ", ".join(f"`{c}`" for c in (self.order or (self.key,)))
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, part INT) USING parquet PARTITIONED BY (part) CLUSTERED BY (`{self.key}`) SORTED BY ({sorted_}) INTO {self.parts} BUCKETS LOCATION '{self.root}'")
+            self.name = name
+        if fs.exists(path):
+            self.spark.sql(f"MSCK REPAIR TABLE {self.name} SYNC PARTITIONS")
 
     def _table(self) -> DataFrame:
         if not self.exists():
@@ -78,18 +88,13 @@ class KeyedTable:
         """More rows; what is there stays as it is."""
         self._write(rows, False)
 
-    def replace(self, gone: DataFrame, new: DataFrame | None = None) -> None:
-        """The rows of the keys in gone(key) go, and so do those of keys that new brings anew.
+    def rewrite(self, keys: DataFrame, change: Callable[[DataFrame | None], DataFrame | None]) -> None:
+        """The folders of keys(key) anew, with what change makes of their rows (null if there is no table); it keeps rows of other keys as they are.
 
         Folders that are left without rows go first: a failure after that leaves some keys out, which a next synchronisation brings again, and none that should be gone.
         """
-        keys = gone.select(self.key) if new is None else gone.select(self.key).unionByName(new.select(self.key))
-        keys = stored(keys.distinct())
         touched = [r[0] for r in keys.select(self._part()).distinct().collect()]
-        if not touched:
-            return
-        kept = self._table().filter(F.col("part").isin(touched)).drop("part").join(keys, self.key, "left_anti") if self.exists() else None
-        rows = kept if new is None else new if kept is None else kept.unionByName(new, allowMissingColumns=True)
+        rows = change(self._table().filter(F.col("part").isin(touched)).drop("part") if self.exists() else None) if touched else None
         if rows is None:
             return
         rows = stored(rows)
@@ -100,6 +105,16 @@ class KeyedTable:
         if left:
             self._write(rows, True)
 
+    def replace(self, gone: DataFrame, new: DataFrame | None = None) -> None:
+        """The rows of the keys in gone(key) go, and so do those of keys that new brings anew."""
+        keys = stored((gone.select(self.key) if new is None else gone.select(self.key).unionByName(new.select(self.key))).distinct())
+
+        def change(there: DataFrame | None) -> DataFrame | None:
+            kept = None if there is None else there.join(keys, self.key, "left_anti")
+            return kept if new is None else new if kept is None else kept.unionByName(new, allowMissingColumns=True)
+
+        self.rewrite(keys, change)
+
 
 class ChunkStore(KeyedTable):
     """Chunks(source, ...) by source."""
