@@ -53,10 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodeleaf-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: a cut in the lineage that survives lost executors."""
+def stored(df: DataFrame, *folders: str) -> DataFrame:
+    """df written once to the shared folder and read back: a cut in the lineage that survives lost executors. folders: columns to partition it by."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
