@@ -7,8 +7,9 @@ the file's start keeps the reachable candidates only; a version line inside a
 payload is not reachable and goes back into the payload around it.
 
 Offsets of a file's candidates meet in one task (16 bytes each; a file of
-usual size has at most some millions), payloads do not, except those which
-contain a version line.
+usual size has at most some millions), payloads do not: of records which
+contain a version line, the chunks are joined again by a shuffle on the record.
+Payloads are UTF-8 text.
 
 Edge cases: a null payload is empty; a null URL or id is left out of the
 header and read as null; equal rows of one id are all responses; white space in a URL is percent-encoded; an
@@ -131,6 +132,14 @@ def chained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part[reachable(part["at"].to_numpy(), part["following"].to_numpy())]
 
 
+def pieces(found: DataFrame, real: DataFrame, cut: DataFrame) -> DataFrame:
+    """The chunks of cut records: file, split, seq, size, at, owner. Offsets and sizes only, no payload, meet in a file's task."""
+    starts = real.select("file", "at", F.col("at").alias("start"))
+    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    owned = found.select("file", "split", "seq", "size", "at").join(starts, ["file", "at"], "left").withColumn("owner", F.last("start", ignorenulls=True).over(order)).drop("start")
+    return owned.join(cut.select("file", F.col("at").alias("owner"), "following"), ["file", "owner"]).filter("at < following").drop("following")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives in a folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
     found = stored(placed(candidates(spark, path)))
@@ -143,12 +152,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return records.select(*out)
     # Records with a version line inside: all chunks from their start to their end, joined again.
     cut = stored(cut.select("file", "at", "following", "kind", "digest", "page_id", "refers_to", "url"))
-    files = cut.select("file").distinct()
-    texts = placed(chunks(spark, path).join(small(files), "file", "left_semi").withColumn("size", F.octet_length("value").cast("long")))
-    starts = real.select(F.col("file").alias("of"), F.col("at").alias("start"))
-    order = Window.partitionBy("file").orderBy("at")
-    owned = texts.join(starts, (F.col("file") == F.col("of")) & (F.col("at") == F.col("start")), "left").select("file", "at", "value", F.last("start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("owner"))
-    owned = owned.join(cut.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi")
+    places = small(stored(pieces(found, real, cut)))
+    owned = chunks(spark, path).join(places, ["file", "split", "seq"]).filter(F.octet_length("value") == F.col("size"))
     joined = owned.groupBy("file", F.col("owner").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     mended = joined.join(cut, ["file", "at"]).withColumn("head", F.substring_index("value", BREAK, 1))
     block = F.col("value").substr(F.length("head") + len(BREAK) + 1, F.length("value") - F.length("head") - 2 * len(BREAK))

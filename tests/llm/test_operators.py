@@ -258,6 +258,24 @@ def test_bad_hosts_reject_good_documents(spark):
     assert kept == {i for i, t, s in rows if t == good and "Bad" not in s}
 
 
+def test_payloads_of_cut_records_alone_move(spark, tmp_path, monkeypatch):
+    """In a file of many records of which one holds version lines, that record's chunks are the only payloads read again, and all payloads are right."""
+    html = {i: f"page {i} " + "x" * 50 for i in range(400)} | {200: f"a{warc.MAGIC}b{warc.MAGIC}{warc.MAGIC}c"}
+    warc.write(spark.createDataFrame([(i, "u", h) for i, h in html.items()], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    counts, plain = [], warc.pieces
+
+    def counted(*args):
+        out = plain(*args)
+        counts.append(out.count())
+        assert out.select("file", "owner").distinct().count() == 1
+        return out
+
+    monkeypatch.setattr(warc, "pieces", counted)
+    got = {x["page_id"]: x for x in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert counts == [4]
+    assert {i: (x["payload_bytes"], x["payload_digest"]) for i, x in got.items()} == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in html.items()}
+
+
 def test_warc_with_version_lines_inside(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     big = "x" * 1200
