@@ -31,6 +31,24 @@ def test_strong_and_score_of_chunks_without_vectors(spark, far):
     assert oracle.compare(spark, far, "strong_and_score").endswith("equal")
 
 
+def test_prioritize_dedup_of_chunks_without_vectors(spark, far):
+    """The first candidates are near copies of one; others come after many of them."""
+    rows = entry.queries()["prioritize_dedup"](spark, far).collect()
+    assert {r["chunk_id"] for r in rows if r["qid"] == 0} >= {70, 85}
+    assert oracle.compare(spark, far, "prioritize_dedup").endswith("equal")
+
+
+def test_prioritised_rounds_drop_twins(spark, monkeypatch):
+    """Hundreds of near copies take no more rounds than chunks are selected."""
+    made, real = [], rank.stored
+    monkeypatch.setattr(rank, "stored", lambda df: made.append(df) or real(df))
+    texts = [f"alpha beta gamma delta epsilon zeta eta{i % 3}" for i in range(300)] + ["other words here", "lone house", "red fox"]
+    rows = [(1, i, text, 3, 0, 3, 1000.0 - i, i) for i, text in enumerate(texts)]
+    c = spark.createDataFrame(rows, "qid long, chunk_id long, text string, m int, p int, n_keywords int, score double, rank int")
+    assert [tuple(r) for r in rank.prioritised(c).orderBy("place").collect()] == [(1, 0, 0), (1, 1, 300), (1, 2, 301), (1, 3, 302)]
+    assert len(made) <= 5
+
+
 def test_numbered_over_ranges_of_ids(spark, monkeypatch):
     monkeypatch.setattr(rank, "ID_BITS", 2)
     ids = {1: [-9, -4, -1, 0, 3, 4, 17, 1 << 40], 2: [5], 3: list(range(-20, 20, 3))}
