@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from lodeleaf.operators import rank
+from lodeleaf.operators import augment, rank
 
 
 @pytest.fixture
@@ -38,6 +38,22 @@ def test_prioritize_dedup_of_chunks_without_vectors(spark, far):
     assert oracle.compare(spark, far, "prioritize_dedup").endswith("equal")
 
 
+def test_coverage_ratio_of_chunks_without_vectors(spark, far):
+    """Chunk 89 alone holds "zebra" beside "unica" with an accent, which coverage keeps; no vector leads to it."""
+    assert {tuple(r) for r in entry.queries()["coverage_ratio"](spark, far).select("qid", "covered").collect()} == {(0, 1), (50000, 1)}
+    assert oracle.compare(spark, far, "coverage_ratio").endswith("equal")
+
+
+def test_coverage_by_hits_equals_coverage_by_texts(spark):
+    """Terms of chunks that are no candidates of the question do not count."""
+    f = spark.createDataFrame([(1, [("azul", ["azul"]), ("rojo", ["rojo", "roja"])]), (2, [("verde", ["verd", "verde"]), ("nada", ["nada"])]), (3, [])], "qid long, forms array<struct<keyword:string,forms:array<string>>>")
+    chunks = spark.createDataFrame([(1, "Casa ROJA", "es/a.md"), (2, "azul", "es/b.md"), (3, "x", "es/Verde.md"), (4, None, "es/nada.md")], "chunk_id long, text string, source string")
+    pairs = spark.createDataFrame([(1, 1), (1, 3), (2, 3), (2, 1)], "qid long, chunk_id long")
+    hits = spark.createDataFrame([(1, "roja"), (2, "azul"), (3, "verd"), (3, "verde"), (4, "nada")], "chunk_id long, term string")
+    want = {tuple(r) for r in augment.coverage(f, pairs.join(chunks, "chunk_id")).collect()}
+    assert {tuple(r) for r in augment.coverage_by_hits(f, pairs, hits).collect()} == want == {(1, 2, 1), (2, 2, 1)}
+
+
 def test_prioritised_rounds_drop_twins(spark, monkeypatch):
     """Hundreds of near copies take no more rounds than chunks are selected."""
     made, real = [], rank.stored
