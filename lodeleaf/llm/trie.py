@@ -1,11 +1,11 @@
 """Prefix trie of conversations by Spark SQL's ROLLUP over positional turn columns.
 
-A turn is its MD5 of role and text with the text's length behind it. A block of columns holds a stretch of
-positions; ROLLUP over them, by the node at which the stretch starts, makes all prefixes of a block at once, and
-grouping_id tells their depth. A node is named by its depth and its smallest member. Conversations that go on past
-a block continue in the next one under the node that they have reached. Sums over subtrees come from a second
-ROLLUP of each block, from the last to the first: every node counts at its smallest member, and what hangs below a
-block counts at the block's deepest nodes. Blocks are as many as the longest conversation needs; few reach the later ones.
+A turn is its MD5 of role and text with the text's length behind it. A stretch of columns holds so many positions of
+a conversation; ROLLUP over them, by the node at which the stretch starts, makes all prefixes of all stretches at once,
+and grouping_id tells their depth. A node at the start of a stretch is known beforehand by an MD5 over the one at the start
+of the stretch before and the turns between, so that no stretch waits for another and the number of jobs does not
+depend on the longest conversation. A node is named by its depth and its smallest member. Sums over subtrees come from a
+second ROLLUP: every node counts at its smallest member, which brings to each stretch what it has from there on.
 
 A node's ids of conversations that end there are hashed in their order: they pass through one task as a sorted
 stream of numbers, of which it keeps the running hash alone. Texts are never shuffled.
@@ -27,8 +27,8 @@ from pyspark.sql import Window
 
 from lodeleaf.llm.common import stored, table
 
-#: Columns of the first blocks; the last number holds for all further ones.
-WIDTHS = (8, 16, 32)
+#: Positions of the first stretches; the last number holds for all further ones.
+WIDTHS = (8,)
 #: Bytes of a turn's id: MD5 and length.
 TURN_BYTES = 20
 FAMILY, LONGEST = 100, 5
@@ -67,67 +67,74 @@ def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(own.select("conv_id").join(lengths, "conv_id", "left").fillna(0, ["n"])), turns
 
 
-def names(width: int) -> list[str]:
-    return [f"t{i}" for i in range(1, width + 1)]
+def names() -> list[str]:
+    return [f"t{i}" for i in range(1, max(WIDTHS) + 1)]
 
 
-def path(width: int, upto: Column | None = None) -> Column:
-    """Hash of a row's turns in the block, or of the first of them."""
-    whole = F.concat(*(F.coalesce(t, F.lit(b"")) for t in names(width)))
-    return F.md5(whole if upto is None else F.substr(whole, F.lit(1), TURN_BYTES * upto))
+def base_of(pos: Column) -> Column:
+    """Positions before the stretch of a position."""
+    bases = [sum(WIDTHS[:i]) for i in range(len(WIDTHS))]
+    base = pos - 1 - (pos - 1 - bases[-1]) % WIDTHS[-1]
+    for i in range(len(bases) - 1, 0, -1):
+        base = F.when(pos <= bases[i], bases[i - 1]).otherwise(base)
+    return base.cast("int")
 
 
-def block(members: DataFrame, turns: DataFrame, base: int, width: int) -> DataFrame:
-    """members(conv_id, n, node) with the turns at base + 1 to base + width as columns."""
-    own = turns.filter((F.col("pos") > base) & (F.col("pos") <= base + width))
-    wide = own.groupBy("conv_id").agg(*(F.max(F.when(F.col("pos") == base + i, F.col("turn"))).alias(t) for i, t in enumerate(names(width), 1)))
-    return stored(members.join(wide, "conv_id", "left"))
+def hashed(node: Column, turns: Column) -> Column:
+    """The node under another one after some turns."""
+    return F.unhex(F.md5(F.concat(node, turns)))
 
 
-def rolled(rows: DataFrame, width: int, measures: str) -> DataFrame:
-    """rows(node, t1, ...) to one row for each node and prefix, with depth (in the block) and measures."""
-    listed = ", ".join(names(width))
-    sql = f"SELECT node, {listed}, {width} - bit_count(grouping_id(node, {listed})) AS depth, {measures} FROM {{rows}} GROUP BY node, ROLLUP({listed})"
-    at = F.element_at(F.array(*names(width)), F.greatest("depth", F.lit(1)))
-    return rows.sparkSession.sql(sql, rows=rows).filter((F.col("depth") == 0) | at.isNotNull())
+def whole() -> Column:
+    """A row's turns in the stretch."""
+    return F.concat(*(F.coalesce(t, F.lit(b"")) for t in names()))
 
 
-def prefixes(rows: DataFrame, base: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """A block's nodes (node, depth, conv_id, parent_conv_id, n_convs, chars, leaf) and where its members (conv_id, n, node) have got to."""
-    found = rolled(rows, width, "min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest")
-    last = turn_chars(F.element_at(F.array(*names(width)), F.greatest("depth", F.lit(1))))
-    found = found.select(
-        "node", "depth", "conv_id", "n_convs", F.when(F.col("depth") > 0, last).otherwise(0).alias("chars"), (F.col("longest") == F.col("depth") + base).alias("leaf"),
-        path(width).alias("path"), F.when(F.col("depth") > 0, path(width, F.col("depth") - 1)).alias("above"),
-    )
-    found = stored(found)
-    upper = found.select("node", F.col("path").alias("above"), F.col("conv_id").alias("parent_conv_id"))
-    # A block's members are those that go on; the node they hang under may have a smaller one.
-    parent = F.when(F.lit(base > 0) & (F.col("depth") == 1), F.col("node")).otherwise(F.col("parent_conv_id"))
-    nodes = found.join(upper, ["node", "above"], "left").select("node", "depth", "conv_id", parent.alias("parent_conv_id"), "n_convs", "chars", "leaf")
-    reached = rows.select("conv_id", "n", "node", path(width).alias("path")).join(found.select("node", "path", F.col("conv_id").alias("cell")), ["node", "path"])
-    return stored(nodes), stored(reached.select("conv_id", "n", F.col("cell").alias("node")))
+def stretches(members: DataFrame, turns: DataFrame) -> DataFrame:
+    """(conv_id, n, base, node, t1, ...): each conversation's stretches, of which one without turns has an empty first. node: where it starts."""
+    own = turns.select("conv_id", base_of(F.col("pos")).alias("base"), "pos", "turn")
+    wide = stored(own.groupBy("conv_id", "base").agg(*(F.max(F.when(F.col("pos") - F.col("base") == i, F.col("turn"))).alias(t) for i, t in enumerate(names(), 1))))
+    line = wide.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("base", whole().alias("turns")))).alias("line"))
+    chain = F.aggregate(F.slice("line", F.lit(1), F.size("line") - 1), F.array(F.lit(b"")), lambda done, x: F.array_append(done, hashed(F.element_at(done, -1), x["turns"])))
+    starts = line.select("conv_id", F.explode(F.arrays_zip(F.col("line")["base"].alias("base"), chain.alias("node"))).alias("x")).select("conv_id", "x.base", "x.node")
+    rows = members.join(wide.join(starts, ["conv_id", "base"]), "conv_id", "left")
+    return stored(rows.select("conv_id", "n", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("node", F.lit(b"")).alias("node"), *names()))
 
 
-def subtree_sums(rows: DataFrame, nodes: DataFrame, below: DataFrame | None, width: int) -> DataFrame:
-    """(node, depth, conv_id, n_leaves, saved_tokens) of a block's nodes, depth 0 included.
+def rolled(rows: DataFrame, measures: str) -> DataFrame:
+    """rows(base, node, t1, ...) to one row for each node and prefix, with at (depth in the stretch) and measures; starts of later stretches stand in those before."""
+    listed = ", ".join(names())
+    sql = f"SELECT base, node, {listed}, {len(names())} - bit_count(grouping_id(base, node, {listed})) AS at, {measures} FROM {{rows}} GROUP BY base, node, ROLLUP({listed})"
+    last = F.element_at(F.array(*names()), F.greatest("at", F.lit(1)))
+    return rows.sparkSession.sql(sql, rows=rows).filter(((F.col("at") == 0) & (F.col("base") == 0)) | ((F.col("at") > 0) & last.isNotNull())).withColumn("depth", F.col("base") + F.col("at"))
 
-    below(conv_id, n_leaves, saved_tokens): what hangs under the block's deepest nodes, by their smallest member.
-    """
-    own = [F.coalesce(F.sum(F.when(F.col("depth") >= i, (F.col("n_convs") - 1) * F.col("chars"))), F.lit(0)).alias(f"s{i}") for i in range(1, width + 1)]
-    owned = nodes.filter("depth > 0").groupBy("conv_id").agg(F.count_if("leaf").alias("leaves"), *own)
-    # The root is a leaf where no conversation has turns.
-    lone = nodes.filter("depth = 0 and leaf").select("conv_id", F.lit(1).cast("long").alias("lone"))
-    rows = rows.select("conv_id", "node", *names(width)).join(owned.join(lone, "conv_id", "full_outer"), "conv_id").fillna(0)
-    if below is not None:
-        rows = rows.join(below.select("conv_id", F.col("n_leaves").alias("l"), F.col("saved_tokens").alias("s")), "conv_id", "left").fillna(0, ["l", "s"])
-        rows = rows.select("conv_id", "node", *names(width), (F.col("leaves") + F.col("lone") + F.col("l")).alias("leaves"), *((F.col(f"s{i}") + F.col("s")).alias(f"s{i}") for i in range(1, width + 1)))
-    else:
-        rows = rows.withColumn("leaves", F.col("leaves") + F.col("lone"))
-    sums = ", ".join(f"sum(s{i}) AS s{i}" for i in range(1, width + 1))
-    saved = F.element_at(F.array(*(f"s{i}" for i in range(1, width + 1))), F.greatest("depth", F.lit(1)))
-    out = rolled(rows, width, f"min(conv_id) AS conv_id, sum(leaves) AS n_leaves, {sums}")
-    return stored(out.select("node", "depth", "conv_id", "n_leaves", saved.alias("saved_tokens")))
+
+def here() -> Column:
+    """The node of a row of rolled()."""
+    return F.when(F.col("at") == 0, F.col("node")).otherwise(hashed(F.col("node"), whole()))
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """The nodes: (depth, id, conv_id, parent_conv_id, n_convs, chars, leaf)."""
+    found = rolled(rows, "min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest")
+    last = turn_chars(F.element_at(F.array(*names()), F.greatest("at", F.lit(1))))
+    above = F.when(F.col("at") == 1, F.col("node")).when(F.col("at") > 1, hashed(F.col("node"), F.substr(whole(), F.lit(1), TURN_BYTES * (F.col("at") - 1))))
+    found = stored(found.select("depth", here().alias("id"), above.alias("above"), "conv_id", "n_convs", F.when(F.col("at") > 0, last).otherwise(0).alias("chars"), (F.col("longest") == F.col("depth")).alias("leaf")))
+    upper = found.select((F.col("depth") + 1).alias("depth"), F.col("id").alias("above"), F.col("conv_id").alias("parent_conv_id"))
+    return stored(found.join(upper, ["depth", "above"], "left").drop("above"))
+
+
+def subtree_sums(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(depth, conv_id, n_leaves, saved_tokens) of all nodes."""
+    at = [f"s{i}" for i in range(1, len(names()) + 1)]
+    owned = nodes.filter("depth > 0").select("conv_id", "depth", base_of(F.col("depth")).alias("base"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
+    owned = owned.groupBy("conv_id", "base").agg(*(F.coalesce(F.sum(F.when(F.col("depth") - F.col("base") >= i, F.col("saved"))), F.lit(0)).alias(s) for i, s in enumerate(at, 1)))
+    leaves = nodes.filter("leaf").select("conv_id", F.lit(1).cast("long").alias("leaf"))
+    rows = rows.join(owned, ["conv_id", "base"], "left").join(leaves, "conv_id", "left").fillna(0, [*at, "leaf"])
+    further = F.coalesce(F.sum("s1").over(Window.partitionBy("conv_id").orderBy(F.desc("base")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("further", further).select("conv_id", "base", "node", *names(), "leaf", *((F.col(s) + F.col("further")).alias(s) for s in at))
+    out = rolled(rows, "min(conv_id) AS conv_id, sum(leaf) AS n_leaves, " + ", ".join(f"sum({s}) AS {s}" for s in at))
+    return out.select("depth", "conv_id", "n_leaves", F.element_at(F.array(*at), F.greatest("at", F.lit(1))).alias("saved_tokens"))
 
 
 def running_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,33 +160,12 @@ def running_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def trie(conversations: DataFrame, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = rebuilt) -> DataFrame:
     """The nodes of all conversations' prefixes, as op12 returns them; build(positions) makes the conversations and their turns."""
     members, turns = build(stored(positions(conversations)))
-    longest = members.agg(F.max("n")).first()[0] or 0
-    blocks, base = [], 0
-    while not blocks or base < longest:
-        width = WIDTHS[min(len(blocks), len(WIDTHS) - 1)]
-        blocks.append((base, width))
-        base += width
-    here = members.withColumn("node", F.lit(0).cast("long"))
-    done, ends = [], []
-    for base, width in blocks:
-        rows = block(here, turns, base, width)
-        nodes, reached = prefixes(rows, base, width)
-        ends.append(reached.filter(F.col("n") <= base + width).select(F.col("n").alias("depth"), F.col("node").alias("conv_id"), F.col("conv_id").alias("end")))
-        here = reached.filter(F.col("n") > base + width)
-        done.append((rows, nodes))
-    out, below = None, None
-    for (base, width), (rows, nodes) in zip(reversed(blocks), reversed(done)):
-        sums = subtree_sums(rows, nodes, below, width)
-        own = nodes.filter(F.lit(base == 0) | (F.col("depth") > 0)).join(sums.select("node", "depth", "conv_id", "n_leaves", "saved_tokens"), ["node", "depth", "conv_id"], "left")
-        parent = F.when(F.col("depth") > 0, F.col("parent_conv_id"))
-        own = own.select((F.col("depth") + base).alias("depth"), "conv_id", parent.alias("parent_conv_id"), "n_convs", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"))
-        out = own if out is None else out.unionByName(own)
-        below = sums.filter("depth = 0").select(F.col("node").alias("conv_id"), "n_leaves", "saved_tokens")
-    out = stored(out)
+    rows = stretches(members, turns)
+    nodes = prefixes(rows)
+    out = stored(nodes.select("depth", "conv_id", "parent_conv_id", "n_convs").join(subtree_sums(rows, nodes), ["depth", "conv_id"]))
     children = out.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("parent_conv_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("n_children"))
-    ended = ends[0]
-    for e in ends[1:]:
-        ended = ended.unionByName(e)
+    last = rows.filter((F.col("n") == 0) | (F.col("base") == base_of(F.col("n")))).select(F.col("n").alias("depth"), F.when(F.col("n") == 0, F.col("node")).otherwise(hashed(F.col("node"), whole())).alias("id"), F.col("conv_id").alias("end"))
+    ended = last.join(nodes.select("depth", "id", "conv_id"), ["depth", "id"]).select("depth", "conv_id", "end")
     ended = ended.repartition("depth", "conv_id").sortWithinPartitions("depth", "conv_id", "end")
     hashes = ended.mapInArrow(running_hashes, "depth int, conv_id long, sha string")
     return out.join(children, ["depth", "conv_id"], "left").join(hashes, ["depth", "conv_id"], "left").select(

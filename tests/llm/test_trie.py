@@ -82,3 +82,12 @@ def test_one_that_goes_on_under_a_smaller_end(spark, tmp_path, monkeypatch):
 def test_only_turnless_conversations(spark, tmp_path):
     c = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 6 >= 1)
     assert run(spark, [(c, 1, "user", "gone")], tmp_path) == plain([(c, 1, "user", "gone")])
+
+
+def test_jobs_do_not_grow_with_the_longest_conversation(spark, tmp_path, monkeypatch):
+    """Each table written is some jobs, whose plans the driver holds."""
+    made, real = [], trie.stored
+    monkeypatch.setattr(trie, "stored", lambda df: made.append(df) or real(df))
+    rows = [(c, t, "user", f"{min(t, 90)}") for c, n in ((1, 3), (2, 200), (3, 203)) for t in range(n)]
+    assert run(spark, rows, tmp_path) == plain(rows)
+    assert len(made) <= 8
