@@ -16,6 +16,6 @@ def turns(tmp_path, monkeypatch):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["keyword_extract"])
+@pytest.mark.parametrize("name", ["keyword_extract", "keyword_forms"])
 def test_letters_of_two_bytes_are_two_edits(spark, turns, name):
     assert oracle.compare(spark, turns, name).endswith("equal")
