@@ -42,3 +42,61 @@ def test_every_match_equals_matches_by_hits(spark, asked, monkeypatch, term_byte
 
 def test_chunk_matches_moves_nothing(spark, sf):
     assert "Exchange" not in plan(entry.queries()["chunk_matches"](spark, sf))
+
+
+def test_strong_and_score_moves_no_match(spark, sf):
+    """Texts are dealt out for their order, and counts; matches are given out where they are made."""
+    assert "Exchange" not in plan(entry.queries()["strong_and_score"](spark, sf)).split("MapInArrow")[0]
+
+
+def test_numbered_over_ranges_of_ids(spark, asked, monkeypatch):
+    monkeypatch.setattr(matching, "RANGE_BITS", 4)
+    f, chunks = asked
+    want = rows(rank.numbered(retrieval.every_match(f, chunks)), *FOUND, "rank")
+    assert rows(matching.numbered(retrieval.searchable_rows(chunks), f), *FOUND, "rank") == want and max(x[-1] for x in want) > 100
+
+
+def test_covered_keywords_equal_coverage_by_hits(spark, asked):
+    f, chunks = asked
+    want = rows(augment.coverage_by_hits(f, retrieval.every_match(f, chunks), augment.covering(f, chunks)), "qid", "n_keywords", "covered")
+    assert rows(augment.coverage_by_keywords(f, retrieval.covered_keywords(f, chunks)), "qid", "n_keywords", "covered") == want
+
+
+def test_coverage_ratio_joins_no_match(spark, sf):
+    assert plan(entry.queries()["coverage_ratio"](spark, sf)).count("Join") == 1
+
+
+@pytest.mark.parametrize("held, term_bytes", [(1 << 20, 1 << 22), (3, 200)])
+def test_sources_that_tokens_point_at(spark, monkeypatch, held, term_bytes):
+    """One token stands in all paths; the sources of most tokens come first, then by name."""
+    monkeypatch.setattr(augment, "HELD", held)
+    monkeypatch.setattr(augment, "TERM_BYTES", term_bytes)
+    index = [(f"t{t}", f"s{s:03}") for s in range(150) for t in range(12) if t == 0 or s * 7 % (t + 3) == 0]
+    tokens = [(q, f"t{t}") for q in range(30) for t in range(14) if t == 0 or (q + t) % 4 == 0]
+    want = []
+    for q in range(30):
+        own = {t for p, t in tokens if p == q}
+        hits = {s: len([1 for t, x in index if x == s and t in own]) for s in {s for _, s in index}}
+        want += [(q, s, hits[s]) for s in sorted(hits, key=lambda s: (-hits[s], s))[:5]]
+    found = augment.pointed_at(spark.createDataFrame(tokens, "qid long, token string"), spark.createDataFrame(index, "token string, source string").repartition(3), 5)
+    assert rows(found, "qid", "source", "hits") == sorted(want)
+
+
+def test_priority_in_path_equals_priority_by_pairs(spark, asked):
+    """Of sources with two chunks both are taken, of larger ones the best two; no pair of question and chunk is made before it matches."""
+    f, chunks = asked
+    want = rows(augment.by_priority(f, chunks, lambda pairs: retrieval.every_match(f, chunks, pairs), queries.no_candidates(chunks)), "qid", "chunk_id")
+    found = augment.by_priority_in_path(f, chunks, lambda names, some: retrieval.called_matches(f, some, names))
+    assert rows(found, "qid", "chunk_id") == want and len(want) > 50
+
+
+def test_path_augmentation_with_candidates(spark, asked):
+    """Sources of candidates count by their own hits, however many others hold as many."""
+    f, chunks = asked
+    some = spark.createDataFrame([(q, c) for q in range(23) for c in (q, q + 50, 200)], "qid long, chunk_id long")
+    index = augment.token_index(chunks)
+    hits = augment.matched_tokens(f, index).join(index, "token").groupBy("qid", "source").agg(F.count(F.lit(1)).alias("hits"))
+    old = some.join(chunks, "chunk_id").select("qid", "source").distinct()
+    first = {(r["qid"], r["source"]) for r in hits.join(old, ["qid", "source"]).collect()}
+    found = augment.by_path(f, chunks, lambda pairs: retrieval.every_match(f, chunks, pairs), some, queries.SETTINGS).join(chunks, "chunk_id")
+    assert {(r["qid"], r["source"]) for r in found.collect()} & first
