@@ -100,3 +100,9 @@ def test_path_augmentation_with_candidates(spark, asked):
     first = {(r["qid"], r["source"]) for r in hits.join(old, ["qid", "source"]).collect()}
     found = augment.by_path(f, chunks, lambda pairs: retrieval.every_match(f, chunks, pairs), some, queries.SETTINGS).join(chunks, "chunk_id")
     assert {(r["qid"], r["source"]) for r in found.collect()} & first
+
+
+@pytest.mark.parametrize("name", ["source_lists", "batch_evaluation"])
+def test_keywords_are_extracted_once(spark, sf, name):
+    """What is left to do when candidates are known does not extract questions' keywords again."""
+    assert "levenshtein" not in plan(entry.queries()[name](spark, sf))
